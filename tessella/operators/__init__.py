@@ -1,0 +1 @@
+"""Operators of the engine, one module for each family."""

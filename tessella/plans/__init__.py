@@ -1,0 +1 @@
+"""Plans of the engine, one module for each family."""

@@ -1,0 +1 @@
+"""Sources of the engine, one module for each family."""

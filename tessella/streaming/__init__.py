@@ -1,0 +1 @@
+"""Streaming of the engine, one module for each family."""
