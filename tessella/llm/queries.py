@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding
+from . import embedding_dedup, html, packing, secrets, sharding
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cosine_links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
