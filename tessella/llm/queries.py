@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html, packing, secrets, sharding
+from . import embedding_dedup, html, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -34,10 +34,21 @@ def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train_chain(docs, toxicity.label_categories(table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
+    return toxicity.score(docs, chain).withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
+
+
 def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.cosine_links(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train_voters(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
