@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
@@ -19,6 +20,24 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def kept(key: tuple, make):
+    """What a Python worker makes once and keeps from task to task, such as a tokenizer."""
+    store = sys.modules["__main__"].__dict__.setdefault("_tessella_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+class Sent:
+    """A value of bounded size for every task; it travels with its class, like the functions."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __call__(self):
+        return pickle.loads(self.raw.value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

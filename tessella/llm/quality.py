@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, stash, text_batches
+from .common import Sent, by_value, stash, text_batches
 
 by_value(__name__)
 
@@ -147,12 +147,12 @@ def train_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank:
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text; an empty or null text, alike to nothing, gets the share of label 1."""
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(voters)
+    sent = Sent(docs.sparkSession, voters)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = Columns()
+        columns, voters = Columns(), sent()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": sent.value.vote(sent.value.space.place(list(batch["text"]), columns))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": voters.vote(voters.space.place(list(batch["text"]), columns))})
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(predict, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html, packing, quality, secrets, sharding, toxicity
+from . import embedding_dedup, html, language_model, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train_voters(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.train(docs.where(~language_model.held_out())))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, stash, text_batches
+from .common import Sent, by_value, stash, text_batches
 
 by_value(__name__)
 
@@ -137,12 +137,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> for every whole text. Null and empty texts get what the terms' absence tells; repeated rows repeat."""
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = Sent(docs.sparkSession, chain)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = sent()
         for batch in batches:
-            p = sent.value.predict(batch["text"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {f"p_{c}": p[:, k] for k, c in enumerate(sent.value.categories)})
+            p = chain.predict(batch["text"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {f"p_{c}": p[:, k] for k, c in enumerate(chain.categories)})
 
     fields = "".join(f", p_{c} double" for c in chain.categories)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(predict, f"doc_id long{fields}")
@@ -159,10 +160,11 @@ CATEGORIES = ["low_quality", "toxic"]
 def keep_clean(docs: DataFrame, chain: Chain, reject: float = REJECT) -> DataFrame:
     """documents whose last category is less likely than `reject`; all columns and kept rows as they were."""
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = Sent(docs.sparkSession, chain)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = sent()
         for batch in batches:
-            yield batch[sent.value.predict(batch["text"])[:, -1] < reject]
+            yield batch[chain.predict(batch["text"])[:, -1] < reject]
 
     return docs.mapInPandas(keep, docs.schema)
