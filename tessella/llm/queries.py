@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html, language_model, packing, quality, secrets, sharding, toxicity
+from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.document_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -40,6 +44,10 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
 
 
+def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.cosine_links(table(spark, sf_dir, "embeddings"), 0.9)
 
