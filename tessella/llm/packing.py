@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, ranked, stash, text_batches
+from .common import by_value, kept, ranked, stash, text_batches
 
 by_value(__name__)
 
 WINDOW = 4096
 END_ID = 2
-CACHE = 300_000
+CACHE = 1_500_000
+_PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789"
 _SCALE = 1 << 40
 
 
@@ -73,29 +74,55 @@ def plan_windows(counts: dict[int, int], window: int) -> list[tuple[int, int, in
     return rows
 
 
-class WordIds(dict):
-    """ids (little-endian unsigned 32-bit) of a chunk of text without white space; kept for the chunks met of late.
+class ChunkIds:
+    """ids (little-endian unsigned 32-bit) of chunks of text without white space, kept for the chunks met of late.
 
     The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are those of its chunks.
+    Chunks met for the first time are encoded many at once; the offsets tell whose ids are whose.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, "<u4").tobytes()
-        return out
-
-    def of(self, text: str | None) -> bytes:
-        raw = (text or "").encode()
-        if b"<|" not in raw:  # a special token's name counts only as it is spelt
-            raw = raw.lower()
-        return b"".join(map(self.__getitem__, raw.split()))
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        words = [c.decode() for c in chunks]
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ends = 4 * np.searchsorted(at, [*starts[1:], starts[-1] + len(words[-1]) + 1])
+        raw, begin = ids.tobytes(), 0
+        for chunk, end in zip(chunks, ends.tolist(), strict=True):
+            self.known[chunk] = raw[begin:end]
+            begin = end
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        split, found, new = [], [], set()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        for text in texts:
+            raw = (text or "").encode()
+            # a special token's name counts only as it is spelt
+            chunks = (raw if b"<|" in raw else raw.lower()).split()
+            ids = list(map(self.known.get, chunks))
+            if None in ids:
+                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
+                ids = None
+            split.append(None if ids else chunks)
+            found.append(ids)
+        # a comma or full stop after a letter or digit is a token of its own
+        tailed = [c for c in new if len(c) > 1 and c[-1] in b".," and c[-2] in _PLAIN]
+        new.difference_update(tailed)
+        new.update(part for c in tailed for part in (c[:-1], c[-1:]) if part not in self.known)
+        new = list(new)
+        for i in range(0, len(new), 200):
+            self._encode(new[i : i + 200])
+        for c in tailed:
+            self.known[c] = self.known[c[:-1]] + self.known[c[-1:]]
+        for chunks, ids in zip(split, found, strict=True):
+            yield b"".join(ids or map(self.known.__getitem__, chunks))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -104,11 +131,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)
+        words = kept(("chunk ids", tokenizer), lambda: ChunkIds(tokenizer))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = words.of(text) + end
+            for doc_id, ids in zip(batch["doc_id"], words.of(list(batch["text"])), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, text_batches
+from .common import by_value, kept, text_batches
 
 by_value(__name__)
 
@@ -88,7 +88,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     text_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = Efficiency(vocabulary, pattern)
+        test = kept(("efficiency", vocabulary), lambda: Efficiency(vocabulary, pattern))
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -125,7 +125,7 @@ def redacted_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFr
     columns = docs.columns
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = Efficiency(vocabulary, pattern)
+        test = kept(("efficiency", vocabulary), lambda: Efficiency(vocabulary, pattern))
         for batch in batches:
             texts, sizes = [], []
             for text, size in zip(batch["text"], batch["n_chars"], strict=True):
