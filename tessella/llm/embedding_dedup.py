@@ -30,6 +30,8 @@ def spanning(match: np.ndarray) -> list[tuple[int, int]]:
         while len(front):
             part = match[front] & cols_left
             cols = np.flatnonzero(part.any(0))
+            if not len(cols):
+                break
             out += zip(front[part[:, cols].argmax(0)].tolist(), cols.tolist(), strict=True)
             cols_left[cols] = False
             part = match[:, cols] & rows_left[:, None]
