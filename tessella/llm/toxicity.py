@@ -69,10 +69,11 @@ class Chain:
         self.index, self.categories, self.models = {t: i for i, t in enumerate(vocabulary)}, categories, []
         self.vocabulary = frozenset(vocabulary)
 
-    def fit(self, found: list[list[int]], labels: np.ndarray, fold: np.ndarray) -> Chain:
+    def fit(self, found: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
+        """found: the numbers of each row's terms."""
         n, width = len(found), len(self.index)
         rows = np.repeat(np.arange(n), [len(f) for f in found])
-        cols = np.array([c for f in found for c in f], np.int64)
+        cols = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
         earlier = np.zeros((n, 0))
         for k in range(len(self.categories)):
             y, out = labels[:, k].astype(float), np.zeros(n)
@@ -126,9 +127,16 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
         vocabulary |= {r["term"] for r in counted.orderBy(chi.desc(), "term").limit(width).select("term").collect()}
     ordered = sorted(vocabulary)
     chain = Chain(ordered, categories)
-    kept_ = F.array_intersect("terms", F.lit(ordered) if ordered else F.array().cast("array<string>"))
-    data = found.select("doc_id", kept_.alias("terms")).orderBy("doc_id").collect()
-    rows_ = [[chain.index[t] for t in r["terms"]] for r in data]
+    sent = Sent(docs.sparkSession, chain.index)
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = sent()
+        for batch in batches:
+            out = [np.array([index[t] for t in ts if t in index], "<i4").tobytes() for ts in batch["terms"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": out})
+
+    data = found.mapInPandas(numbers, "doc_id long, terms binary").orderBy("doc_id").collect()
+    rows_ = [np.frombuffer(r["terms"], "<i4") for r in data]
     y = np.array([known[r["doc_id"]] for r in data], float).reshape(-1, len(categories))
     fold = np.array([hash(r["doc_id"]) * 2654435761 % 2**32 % FOLDS for r in data], np.int64)
     return chain.fit(rows_, y, fold)
