@@ -38,6 +38,19 @@ class Sent:
         return pickle.loads(self.raw.value)
 
 
+def filter_texts(docs: DataFrame, start) -> DataFrame:
+    """Rows of docs whose text passes, all columns untouched. start() runs once in a task and returns texts -> mask."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        keep = start()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, kept, text_batches
+from .common import Sent, by_value, filter_texts, kept, text_batches
 
 by_value(__name__)
 
@@ -168,16 +168,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     """documents without those that overlap a test text; all columns and kept rows as they were, in one pass for each block of test texts."""
     text_batches(docs.sparkSession)
     for seeds in seed_blocks(benchmark, block_chars):
-        docs = docs.mapInPandas(_keeper(Sent(docs.sparkSession, seeds)), docs.schema)
+        docs = filter_texts(docs, _keeper(Sent(docs.sparkSession, seeds)))
     return docs
 
 
 def _keeper(sent: Sent):
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         seeds, numbers = sent(), kept(("leak words",), Numbers)
-        for batch in batches:
-            clean = np.ones(len(batch), bool)
-            clean[[d for d, _ in leaks(batch["text"], seeds, numbers)]] = False
-            yield batch[clean]
 
-    return keep
+        def clean(texts: list[str | None]) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[d for d, _ in leaks(texts, seeds, numbers)]] = False
+            return out
+
+        return clean
+
+    return start

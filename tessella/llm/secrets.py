@@ -122,22 +122,24 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """documents with secrets masked and n_chars brought up to date; every document stays, in one pass without a join."""
     text_batches(docs.sparkSession)
-    columns = docs.columns
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mask(batches):
+        import pyarrow as pa
+
         test = kept(("efficiency", vocabulary), lambda: Efficiency(vocabulary, pattern))
         for batch in batches:
-            texts, sizes = [], []
-            for text, size in zip(batch["text"], batch["n_chars"], strict=True):
+            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+            for i, text in enumerate(texts):
                 base = base_spans(text or "")
                 if spans := sorted(base + dense_spans(text or "", test, base)):
-                    text = redact(text, spans)
-                    size = len(text)
-                texts.append(text)
-                sizes.append(size)
-            yield batch.assign(text=texts, n_chars=pd.array(sizes, "Int64"))[columns]
-
-    return docs.mapInPandas(mask, docs.schema)
+                    texts[i] = redact(text, spans)
+                    sizes[i] = len(texts[i])
+            for name, values in (("text", texts), ("n_chars", sizes)):
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(mask, docs.schema)
 
 
 def sha256_of(spans: str) -> str:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, stash, text_batches
+from .common import Sent, by_value, filter_texts, stash, text_batches
 
 by_value(__name__)
 
@@ -170,9 +170,8 @@ def keep_clean(docs: DataFrame, chain: Chain, reject: float = REJECT) -> DataFra
     text_batches(docs.sparkSession)
     sent = Sent(docs.sparkSession, chain)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain = sent()
-        for batch in batches:
-            yield batch[chain.predict(batch["text"])[:, -1] < reject]
+    def start():
+        fitted = sent()
+        return lambda texts: fitted.predict(texts)[:, -1] < reject
 
-    return docs.mapInPandas(keep, docs.schema)
+    return filter_texts(docs, start)
