@@ -16,13 +16,16 @@ from .embedding_dedup import spanning
 
 by_value(__name__)
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Tokens that a set samples at a node of the tree, on average; buckets of up to so many sets are compared pair by pair.
-BRANCH, SMALL, DEPTH = 2.0, 32, 3
+BRANCH, SMALL = 2.0, 32
 #: A bucket that keeps this share of its sets in one branch is dense: splitting it further would only repeat it.
 DENSE = 0.5
-#: Bits of the sketches, and how many may differ: at a similarity of 0.8 a tenth does, and 52 are 5.5 deviations more.
-SKETCH, DIFFER = 256, 52
+#: Least hashes in a sketch, of two bits each, and how many may differ: at a similarity of 0.8 it is 9.6 on average, and 26
+#: is 5.7 deviations more.
+SKETCH, DIFFER = 64, 26
+#: Up to so many sets are looked up by a broadcast of their numbers (8 bytes each); more by a join that shuffles the texts.
+LOOKED_UP = 2_000_000
 #: Sets compared at once in a dense bucket, and in how many dense buckets a set takes part (pairs share 4 in 5 of them).
 BLOCK, PARTS = 512, 8
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -67,26 +70,32 @@ def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH
     return math.ceil(-math.log(1 - recall) / (branch * threshold)) + 2
 
 
-def choose(tokens: np.ndarray, node: int, branch: float) -> np.ndarray:
-    """Paths from a node through the tokens that are sampled there: those whose hash with the node is small for the set's size."""
-    if not len(tokens):
-        return tokens
-    h = mix(tokens ^ mix(np.array([node], np.uint64)))
-    share = branch / len(tokens)
-    chosen = tokens if share >= 1 else tokens[h < np.uint64(int(share * 2.0**64))]
-    return mix(chosen * _G + np.uint64(node))
+_FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * _G) | np.uint64(1)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """One bit of each of SKETCH least hashes."""
-    factors = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * _G) | np.uint64(1)
+def choose(tokens: np.ndarray, nodes: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the node, path) through the tokens sampled at each node: those whose hash with it is small for the set's size."""
+    share = branch / max(len(tokens), 1)
+    if share >= 1:
+        at, token = np.divmod(np.arange(len(nodes) * len(tokens)), max(len(tokens), 1))
+    else:
+        at, token = np.nonzero(mix(tokens[None, :] ^ mix(nodes)[:, None]) < np.uint64(int(share * 2.0**64)))
+    return at, mix(tokens[token] * _G + nodes[at])
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Two bits of each of SKETCH least hashes, in two numbers."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(tokens), 256):
-        np.minimum(least, (tokens[i : i + 256, None] * factors).min(0), out=least)
-    return np.packbits((least >> np.uint64(17) & np.uint64(1)).astype(bool)).tobytes()
+    for i in range(0, len(tokens), 1024):
+        np.minimum(least, (tokens[None, i : i + 1024] * _FACTORS[:, None]).min(1), out=least)
+    bits = least >> np.uint64(17) & np.uint64(3)
+    return np.bitwise_or.reduce((bits << np.arange(0, 2 * SKETCH, 2, dtype=np.uint64) % np.uint64(64)).reshape(-1, 32), axis=1).view(np.int64)
 
 
 def _paths(width: int, runs: int, branch: float):
+    """Each set with its paths of length one (in all runs), those of length two with the place of the first, and its sketch."""
+    roots = np.arange(1, runs + 1, dtype=np.uint64)
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = kept(("shingle words",), WordHashes)
         for batch in batches:
@@ -94,9 +103,10 @@ def _paths(width: int, runs: int, branch: float):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, hashes, width)
                 if len(s):
-                    paths = np.concatenate([choose(s, run + 1, branch) for run in range(runs)])
-                    rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), np.unique(paths).astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "paths"])
+                    paths = np.unique(choose(s, roots, branch)[1])
+                    at, kids = choose(s, paths, branch)
+                    rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), paths.view(np.int64), at.astype(np.int32), kids.view(np.int64), *sketch(s).tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "paths", "at", "kids", "s0", "s1"])
 
     return first
 
@@ -109,25 +119,12 @@ def _sets(width: int):
             for rep, key, text in zip(batch["rep"], batch["key"], batch["text"], strict=True):
                 s = shingles(text, hashes, width)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:
-                    rows.append((rep, len(s), s.tobytes(), *np.frombuffer(sketch(s), "<i8").tolist()))
-            yield pd.DataFrame(rows, columns=["rep", "n", "tokens", "s0", "s1", "s2", "s3"])
+                    rows.append((rep, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["rep", "tokens"])
 
     return again
 
 
-def _deeper(branch: float):
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for rep, raw, nodes in zip(batch["rep"], batch["tokens"], batch["nodes"], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                for node in nodes:
-                    rows += [(rep, node, p) for p in choose(s, int(node) & 0xFFFFFFFFFFFFFFFF, branch).astype(np.int64).tolist()]
-            yield pd.DataFrame(rows, columns=["rep", "parent", "path"], dtype="int64")
-
-    return split
-
-
 def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many tokens each set of a shares with each of b."""
     common = np.intersect1d(np.concatenate(a), np.concatenate(b))
@@ -208,52 +205,43 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SH
 
     Documents with equal shingle sets are one set with a size. In each run a set samples tokens by hashes that all sets
     share; sets that sampled the same token meet in a bucket. Buckets of at most SMALL sets are compared pair by pair
-    (sizes, then sketches, then the sets themselves); larger ones are split again on tokens sampled afresh, up to DEPTH
-    times. Buckets that splitting doesn't thin out hold sets that are alike: they are compared in blocks, which return
-    counts and spanning links. Every link is verified on the whole sets; a pair at the threshold is missed with a chance of
-    about 1 - recall. Null and empty texts have no shingles and link with nothing, not even with one another; a
-    document whose doc_id stands twice is linked through either text. An empty table gives an empty result.
+    (sizes, then sketches, then the sets themselves); larger ones are split again on tokens sampled afresh. Buckets
+    that splitting doesn't thin out, or that stay large, are compared whole, in blocks that return counts and spanning
+    links. Every link is verified on the whole sets; a pair at the threshold is missed with a chance of about
+    1 - recall. Null and empty texts have no shingles and link with nothing, not even with one another; a document
+    whose doc_id stands twice is linked through either text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = runs_for(recall, threshold)
-    sets = narrow.mapInPandas(_paths(width, runs, BRANCH), "doc_id long, key binary, n int, paths array<long>")
-    sets = stash(sets, "sets")
-    reps = sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("paths").alias("paths"))
+    fields = "doc_id long, key binary, n int, paths array<long>, at array<int>, kids array<long>, s0 long, s1 long"
+    sets = stash(narrow.mapInPandas(_paths(width, runs_for(recall, threshold), BRANCH), fields), "sets")
+    one = F.first(F.struct("n", "paths", "at", "kids", "s0", "s1")).alias("one")  # alike in all rows of a key
+    reps = sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), one).select("key", "rep", "size", "one.*")
     reps = stash(reps, "set-reps")
 
-    level = reps.select("rep", F.explode("paths").alias("path"))
-    small, large = _by_size(stash(level, "level"))
-    small = [small]
-    needed = reps.join(small[0].select("rep").unionByName(large.select("rep")).distinct(), "rep").select("rep", "key")
-    texts = narrow.join(needed, narrow["doc_id"] == needed["rep"]).select("rep", "key", "text")
-    tokens = texts.mapInPandas(_sets(width), "rep long, n int, tokens binary, s0 long, s1 long, s2 long, s3 long")
-    tokens = stash(tokens.dropDuplicates(["rep"]), "tokens")
-
-    dense = []
-    for depth in range(1, DEPTH + 1):
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            dense.append(large.select("path", "rep"))
-            break
-        nodes = large.groupBy("rep").agg(F.collect_set("path").alias("nodes"))
-        deeper = nodes.join(tokens.select("rep", "tokens"), "rep").mapInPandas(_deeper(BRANCH), "rep long, parent long, path long")
-        deeper = stash(deeper, "level")
-        most = deeper.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
-        sizes = large.groupBy("path").agg(F.count(F.lit(1)).alias("all"))
-        thick = most.join(sizes, F.col("parent") == F.col("path")).where(F.col("c") > DENSE * F.col("all")).select(F.col("parent").alias("thick"))
-        thick = stash(thick, "thick")
-        dense.append(large.join(thick, F.col("path") == F.col("thick"), "left_semi").select("path", "rep"))
-        thin = deeper.join(thick, F.col("parent") == F.col("thick"), "left_anti").select("rep", "path")
-        few, large = _by_size(stash(thin, "level"))
-        small.append(few)
+    small, large = _by_size(reps.select("rep", F.explode("paths").alias("path")))
+    kids = reps.select("rep", "paths", F.explode(F.arrays_zip("at", "kids")).alias("k"))
+    kids = kids.select("rep", F.get("paths", F.col("k.at")).alias("parent"), F.col("k.kids").alias("path"))
+    sizes = large.groupBy("path").agg(F.count(F.lit(1)).alias("all"))
+    deeper = kids.join(sizes, F.col("parent") == sizes["path"]).select("rep", "parent", kids["path"], "all")
+    deeper = stash(deeper, "deeper")
+    most = deeper.groupBy("parent", "path", "all").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max(F.col("c") / F.col("all")).alias("share"))
+    thick = stash(most.where(F.col("share") > DENSE).select(F.col("parent").alias("thick")), "thick")
+    few, still = _by_size(deeper.join(thick, F.col("parent") == F.col("thick"), "left_anti").select("rep", "path"))
+    dense = large.join(thick, F.col("path") == F.col("thick"), "left_semi").select("path", "rep").unionByName(still)
+
+    parts = dense.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("path")), 1, PARTS).alias("parts"))
+    parts = stash(parts, "parts")
+    pairs = stash(_small_pairs(small.unionByName(few), reps.select("rep", "n", "s0", "s1"), parts, threshold), "pairs")
+    needed = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(parts.select("rep")).distinct(), "needed")
+    keyed = reps.select("rep", "key").join(needed, "rep", "left_semi")
+    keyed = F.broadcast(keyed) if needed.count() <= LOOKED_UP else keyed
+    tokens = stash(narrow.join(keyed, narrow["doc_id"] == keyed["rep"]).select("rep", "key", "text").mapInPandas(_sets(width), "rep long, tokens binary"), "tokens")
+    tokens = tokens.groupBy("rep").agg(F.first("tokens").alias("tokens")) if _repeats(tokens) else tokens
 
     weight = reps.select("rep", "size")
-    thick = _dense_links(dense, tokens, weight, threshold) if dense else None
-    links, parts = thick if thick else (None, None)
-    pairs = _small_pairs(small, tokens, parts, threshold)
+    links = _dense_links(parts, tokens, weight, threshold)
     found = (
         pairs.join(weight.select(F.col("rep").alias("a"), F.col("size").alias("size_a")), "a")
         .join(weight.select(F.col("rep").alias("b"), F.col("size").alias("size_b")), "b")
@@ -267,10 +255,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SH
     counts = found.select(F.col("a").alias("rep"), F.col("size_b").alias("docs"), one.alias("texts")).unionByName(
         found.select(F.col("b").alias("rep"), F.col("size_a").alias("docs"), one.alias("texts"))
     )
-    edges = found.select("a", "b")
-    if links is not None:
-        counts = counts.unionByName(links.select("rep", "docs", "texts"))
-        edges = edges.unionByName(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    counts = counts.unionByName(links.select("rep", "docs", "texts"))
+    edges = found.select("a", "b").unionByName(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = counts.groupBy("rep").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts")).withColumnRenamed("rep", "_r")
     roots = components(edges)
     of_set = (
@@ -303,32 +289,27 @@ def _by_size(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.where(F.col("c") <= SMALL).select("path", "rep"), met.where(F.col("c") > SMALL).select("path", "rep")
 
 
-def _small_pairs(small: list[DataFrame], tokens: DataFrame, parts: DataFrame | None, threshold: float) -> DataFrame:
+def _repeats(tokens: DataFrame) -> bool:
+    """Whether a document that stands for a set is there twice, with the same text."""
+    return not tokens.groupBy("rep").count().where("count > 1").isEmpty()
+
+
+def _small_pairs(small: DataFrame, light: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a < b) of small buckets whose sizes and sketches allow the threshold, without those that dense buckets count."""
-    rows = small[0]
-    for more in small[1:]:
-        rows = rows.unionByName(more)
-    light = tokens.drop("tokens")
-    if parts is not None:
-        light = light.join(parts, "rep", "left")
-    else:
-        light = light.withColumn("parts", F.array().cast("array<long>"))
-    rows = stash(rows.join(light, "rep"), "small")
+    rows = small.join(light.join(parts, "rep", "left"), "rep")
     other = rows.select("path", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "path"])
-    differ = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SKETCH // 64))
+    even = F.lit(0x5555555555555555)
+    differ = F.lit(0)
+    for s in ("s0", "s1"):
+        x = F.col(s).bitwiseXOR(F.col(f"{s}_"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
     fits = (F.least("n", "n_") >= F.greatest("n", "n_") * (threshold - 1e-9)) & (differ <= DIFFER)
     apart = ~F.coalesce(F.arrays_overlap("parts", "parts_"), F.lit(False))
     return rows.join(other, "path").where((F.col("rep") < F.col("rep_")) & fits & apart).select(F.col("rep").alias("a"), F.col("rep_").alias("b")).distinct()
 
 
-def _dense_links(dense: list[DataFrame], tokens: DataFrame, weight: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
-    """Counts and spanning links of the dense buckets, and the buckets in which each set takes part."""
-    rows = dense[0]
-    for more in dense[1:]:
-        rows = rows.unionByName(more)
-    parts = stash(rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("path")), 1, PARTS).alias("parts")), "parts")
-    if parts.isEmpty():
-        return None
+def _dense_links(parts: DataFrame, tokens: DataFrame, weight: DataFrame, threshold: float) -> DataFrame:
+    """Counts and spanning links of the dense buckets. parts: the buckets in which each set takes part."""
     member = parts.select("rep", "parts", F.explode("parts").alias("path"))
     blocks = member.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = member.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -337,10 +318,10 @@ def _dense_links(dense: list[DataFrame], tokens: DataFrame, weight: DataFrame, t
     )
     full = paired.join(tokens.select("rep", "tokens"), "rep").join(weight, "rep")
     found = full.groupBy("path", "first", "second").applyInPandas(_dense(threshold), "rep long, docs long, texts long, other long")
-    return stash(found, "dense-links"), parts
+    return stash(found, "dense-links")
 
 
 def one_of_each(docs: DataFrame, links: DataFrame) -> DataFrame:
     """documents without those that are kept out: of each group the one with the least doc_id stays, and all without a doc_id."""
     gone = links.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
