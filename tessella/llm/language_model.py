@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, shared_dir, stash, text_batches
+from .common import Sent, by_value, kept, shared_dir, stash, text_batches
 
 by_value(__name__)
 
@@ -26,6 +26,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BUCKET = 500_000
 #: A context with more than this share of the training tokens is dealt by its pairs, not as a whole.
 HOT = 2_000
+#: One text in so many is looked at to plan the buckets.
+SAMPLED = 64
 WORD_FIELDS = ("count", "before", "after", "ones", "twos", "more")
 
 
@@ -41,13 +43,15 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class WordNumbers(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Numbers of words as eight bytes; kept for the words met of late."""
+
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 800_000:
             self.clear()
         n = xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF
-        out = self[word] = n if n < START else n - 2
+        out = self[word] = (n if n < START else n - 2).to_bytes(8, "little")
         return out
 
 
@@ -56,14 +60,12 @@ def tokens(texts, numbers: WordNumbers) -> tuple[np.ndarray, np.ndarray]:
 
     bytes.lower and bytes.split know ASCII alone: A-Z, and the white space that the contract names.
     """
-    flat: list[int] = []
-    sizes = []
+    flat, sizes, end = [], [], END.to_bytes(8, "little")
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        flat += map(numbers.__getitem__, words)
-        flat.append(END)
+        flat += [b"".join(map(numbers.__getitem__, words)), end]
         sizes.append(len(words) + 1)
-    return np.array(flat, np.uint64), np.array(sizes, np.int64)
+    return np.frombuffer(b"".join(flat), "<u8"), np.array(sizes, np.int64)
 
 
 def contexts(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -87,21 +89,10 @@ def _summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    numbers, parts, held = WordNumbers(), [], 0
+    numbers = kept(("model words",), WordNumbers)
     for batch in batches:
-        words, _ = tokens(batch["text"], numbers)
-        parts.append(np.unique(words, return_counts=True))
-        held += len(parts[-1][0])
-        if held > 4_000_000:
-            parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
-            held = len(parts[0][0])
-            if held > 3_000_000:
-                yield pd.DataFrame({"word": parts[0][0].astype(np.int64), "count": parts[0][1]})
-                parts, held = [], 0
-    if parts:
-        w, c = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-        for i in range(0, len(w), 200_000):
-            yield pd.DataFrame({"word": w[i : i + 200_000].astype(np.int64), "count": c[i : i + 200_000]})
+        words, counts = np.unique(tokens(batch["text"], numbers)[0], return_counts=True)
+        yield pd.DataFrame({"word": words.astype(np.int64), "count": counts})
 
 
 def _pair_blobs(hot: np.ndarray, buckets: int):
@@ -126,14 +117,14 @@ def _pair_blobs(hot: np.ndarray, buckets: int):
             yield pd.DataFrame(rows[i : i + 64], columns=["bucket", "a", "runs", "low", "high", "small", "large"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, parts, held = WordNumbers(), [], 0
+        numbers, parts, held = kept(("model words",), WordNumbers), [], 0
         for batch in batches:
             words, sizes = tokens(batch["text"], numbers)
             a = contexts(words, sizes)
             key, at, n = np.unique(pair_key(a, words), return_index=True, return_counts=True)
             parts.append((key, n, a[at], words[at]))
             held += len(key)
-            if held > 3_000_000:
+            if held > 2_000_000:
                 yield from flush(parts)
                 parts, held = [], 0
         if parts:
@@ -203,16 +194,16 @@ def _store_pairs(folder: str):
         head = np.array([once.sum(), (~once).sum()], "<u8")
         _write(folder, f"pairs-{key[0]}", head, keys[once].astype("<u8"), keys[~once].astype("<u8"), n[~once].astype("<u4"))
         wa, ia = np.unique(a, return_inverse=True)
-        wb, nb = np.unique(b, return_counts=True)
+        wb, ib, nb = np.unique(b, return_inverse=True, return_counts=True)
         size = len(wa)
         of_a = {
             "after": np.bincount(ia, n, size), "ones": np.bincount(ia, n == 1, size),
             "twos": np.bincount(ia, n == 2, size), "more": np.bincount(ia, n > 2, size),
         }
         out = pd.concat([
-            pd.DataFrame({"word": wa.astype(np.int64), "before": 0} | of_a),
-            pd.DataFrame({"word": wb.astype(np.int64), "before": nb} | dict.fromkeys(of_a, 0)),
-            pd.DataFrame({"word": [-1 - k for k in range(1, 5)], "before": [int((n == k).sum()) for k in range(1, 5)]} | dict.fromkeys(of_a, 0)),
+            pd.DataFrame({"word": wa.astype(np.int64), "count": 0, "before": 0} | of_a),
+            pd.DataFrame({"word": wb.astype(np.int64), "count": np.bincount(ib, n, len(wb)), "before": nb} | dict.fromkeys(of_a, 0)),
+            pd.DataFrame({"word": [-1 - k for k in range(1, 5)], "count": 0, "before": [int((n == k).sum()) for k in range(1, 5)]} | dict.fromkeys(of_a, 0)),
         ])
         return out.groupby("word", as_index=False).sum().astype("int64")
 
@@ -336,29 +327,30 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(texts: DataFrame) -> Model:
     """The model of a column `text`, of all its rows: null texts are empty and count as an end each; repeated rows count again.
 
-    Words, then pairs, are counted in tasks and summed by key. Pairs lie in buckets of their context (of their own,
-    where the context has over 1/2000 of all tokens), so no bucket grows with one frequent word. Each bucket becomes a
-    sorted array in the shared folder; only totals and at most 2000 frequent words come to the driver.
+    Pairs are counted in tasks and summed by key; a word's count is that of the pairs that it ends. Pairs lie in
+    buckets of their context (of their own, where the context has over 1/2000 of all tokens), so no bucket grows with
+    one frequent word; which words are so frequent, and how many buckets it takes, is estimated from a sample, and
+    decides only where a pair is counted. Each bucket becomes a sorted array in the shared folder; only totals and
+    at most 2000 frequent words come to the driver.
     """
     spark = texts.sparkSession
     text_batches(spark)
     folder = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
     _make(spark, folder)
-    counted = texts.select("text").mapInPandas(_word_counts, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    counted = stash(counted, "word-counts")
-    total, distinct = counted.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = np.array(sorted(r["word"] for r in counted.where(F.col("count") > total / HOT).select("word").collect()) + [START], np.uint64)
-    pair_buckets = max(1, math.ceil(total / max(BUCKET, 43 * math.sqrt(total))))
-    word_buckets = max(1, math.ceil(distinct / max(100_000, 50 * math.sqrt(distinct))))
+    counted = texts.select("text").sample(1 / SAMPLED, seed=7).mapInPandas(_word_counts, "word long, count long")
+    counted = stash(counted.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")
+    guess = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = counted.where(F.col("count") > guess / HOT).orderBy(F.desc("count")).limit(HOT).select("word").collect()
+    hot = np.array(sorted({START, *(r["word"] for r in hot)}), np.uint64)
+    guess *= SAMPLED
+    pair_buckets = max(1, math.ceil(guess / max(BUCKET, 43 * math.sqrt(guess))))
     blobs = texts.select("text").mapInPandas(
         _pair_blobs(hot, pair_buckets), "bucket int, a binary, runs binary, low binary, high binary, small binary, large binary"
     )
-    learnt = blobs.groupBy("bucket").applyInPandas(_store_pairs(folder), "word long, before long, after long, ones long, twos long, more long")
-    learnt = stash(learnt, "pair-words")
-    none = [F.lit(0).cast("long").alias(f) for f in WORD_FIELDS[1:]]
-    sums = [F.sum(f).alias(f) for f in WORD_FIELDS]
-    both = counted.select("word", "count", *none).unionByName(learnt.select("word", F.lit(0).cast("long").alias("count"), *WORD_FIELDS[1:]))
-    words = stash(both.groupBy("word").agg(*sums), "words")
+    learnt = blobs.groupBy("bucket").applyInPandas(_store_pairs(folder), ", ".join(f"{f} long" for f in ("word", *WORD_FIELDS)))
+    words = stash(learnt.groupBy("word").agg(*[F.sum(f).alias(f) for f in WORD_FIELDS]), "words")
+    total, distinct = words.where("word >= 0 and count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    word_buckets = max(1, math.ceil(distinct / max(100_000, 50 * math.sqrt(distinct))))
     pair_kinds = {r["word"]: r["before"] for r in words.where("word < 0").collect()}
     kind = F.when(F.col("before") > 4, 5).otherwise(F.col("before"))
     word_kinds = {r["kind"]: (r["n"], r["s"]) for r in words.where("word >= 0 and before > 0").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("before").alias("s")).collect()}
@@ -403,7 +395,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = Sent(docs.sparkSession, model)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, model = WordNumbers(), sent()
+        numbers, model = kept(("model words",), WordNumbers), sent()
         for batch in batches:
             out = model.score(batch["text"], numbers)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
