@@ -15,7 +15,7 @@ LABELS = {
 
 def patient_cards(obs: DataFrame) -> DataFrame:
     """(patient, card): a line for each measure, N<day>=<value> or a dash for each day."""
-    cell = F.concat(F.lit("N"), F.col("day").cast("string"), F.lit("="), F.coalesce(F.format_string("%.1f", "value"), F.lit("—")))
+    cell = F.concat(F.lit("N"), F.col("day").cast("string"), F.lit("="), F.when(F.col("value").isNotNull(), F.format_string("%.1f", "value")).otherwise("—"))
     row = obs.groupBy("patient", "measure").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", cell.alias("cell")))), lambda c: c["cell"]), " ").alias("line"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("measure", "line"))), lambda r: F.concat(r["measure"], F.lit(": "), r["line"]))
     return row.groupBy("patient").agg(F.array_join(lines, "\n").alias("card"))

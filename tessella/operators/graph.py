@@ -101,3 +101,15 @@ def keyword_density(text: Column, keywords: list[str]) -> Column:
     """How often keywords stand in a text."""
     low = F.lower(text)
     return sum((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) for k in keywords).cast("int")
+
+
+def built(evidence: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A graph from (page, concept): concepts on at least `least` pages, and how many pages two of them share.
+
+    Pairs are those of the concepts of one page, of which the pattern table holds few.
+    """
+    pages = evidence.select("page", "concept").distinct()
+    nodes = pages.groupBy("concept").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least).select(F.col("concept").alias("id"), "n_pages")
+    other = pages.select("page", F.col("concept").alias("dst"))
+    edges = pages.join(other, "page").where("concept < dst").groupBy(F.col("concept").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return nodes, edges

@@ -84,3 +84,12 @@ ADVICE = {"red flag": "urgent review", "warning": "close follow-up", "evidence":
 def advised(rules: DataFrame) -> DataFrame:
     """The recommendation of each level."""
     return rules.withColumn("advice", F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])[F.col("level")])
+
+
+def rebuilt(words: DataFrame, key: str) -> DataFrame:
+    """Text of each page from scanned words (key, line, place, word, confidence): words by line, lines in order, mean confidence."""
+    line = words.groupBy(key, "line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("said"), F.avg("confidence").alias("c")
+    )
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"])
+    return line.groupBy(key).agg(F.array_join(lines, "\n").alias("text"), F.avg("c").alias("confidence"))

@@ -103,3 +103,22 @@ def text_classifier(text: str, label: str, features: int = 1 << 14) -> Pipeline:
             LogisticRegression(labelCol=label, maxIter=20),
         ]
     )
+
+
+def save(model: PipelineModel, path: str, meta: dict) -> None:
+    """A fitted pipeline with what it was trained on beside it."""
+    import json
+
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    said = json.dumps(meta, ensure_ascii=False, sort_keys=True)
+    SparkSession.active().createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    import json
+
+    from pyspark.sql import SparkSession
+
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])

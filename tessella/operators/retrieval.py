@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,12 @@ from pyspark.sql import functions as F
 from tessella.functions import constants as C
 from tessella.functions import text as X
 
+from tessella.functions.shipping import by_value
+
 from .position import top
 
+by_value(__name__)
+
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, size): how often each term stands in each text, and the text's terms."""
@@ -165,3 +171,41 @@ def bounded(df: DataFrame, key: str, by: list, most: int) -> DataFrame:
     """At most `most` rows of each key, in an order that leaves no ties."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*by))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """A bag of words as a unit vector: each word adds 1 or -1 at a place that its hash names; no words, no length."""
+
+    @F.pandas_udf("array<double>")
+    def vector(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dims)
+            for w in re.findall(r"\w+", (t or "").lower()):
+                h = zlib.crc32(w.encode())
+                v[h // 2 % dims] += 1 - 2 * (h % 2)
+            norm = float(np.sqrt(v @ v))
+            out.append(v / norm if norm else v)
+        return pd.Series(out)
+
+    return vector(text)
+
+
+def evidence_cards(found: DataFrame, docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, step, key, text, relevance): the sentences of retrieved texts that are most like the query, in their order.
+
+    found: (query, key) of a bounded list each; queries: (query, text). Sentences below the threshold go, the best few
+    of a text stay (two if none passes), and the cards are chosen to be relevant and unlike one another.
+    """
+    q = queries.select("query", hashed_vector(F.col("text")).alias("q"))
+    texts = found.select("query", key).join(docs.select(key, F.col(text).alias("_t")), key)
+    each = texts.select("query", key, F.posexplode(X.sentences(F.col("_t"))).alias("place", "sentence"))
+    each = each.join(F.broadcast(q), "query").withColumn("v", hashed_vector(F.col("sentence")))
+    each = each.withColumn("score", F.round(dot(F.col("v"), F.col("q")), 9))
+    w = Window.partitionBy("query", key).orderBy(F.desc("score"), "place")
+    each = each.withColumn("r", F.row_number().over(w))
+    each = each.where(((F.col("score") >= C.SENTENCE_SIMILARITY) & (F.col("r") <= C.SENTENCES)) | (F.col("r") <= 2))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "sentence"))), lambda s: s["sentence"]), " ")
+    cards = each.groupBy("query", key).agg(F.substring(joined, 1, C.CARD_CHARS).alias("text"), F.avg("score").alias("score"))
+    cards = cards.withColumn("v", hashed_vector(F.col("text")))
+    return diverse(cards, key, "v", C.CARDS).select("query", "step", key, "text", F.col("score").alias("relevance"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
+from tessella.functions.shipping import by_value
+
+by_value(__name__)
 
 SERIES = ["patient", "measure"]
 

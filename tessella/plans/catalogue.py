@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import clinical, evaluation, search
+from . import clinical, evaluation, more, search
 
-FAMILIES = (clinical, evaluation, search)
+FAMILIES = (clinical, evaluation, search, more)
 
 
 def queries() -> dict[str, Callable]:

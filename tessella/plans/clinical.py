@@ -372,11 +372,11 @@ def train_holdout(spark, d):
 
 @query(
     "patient_card",
-    f"""WITH {OBS}, l AS (SELECT patient, measure, string_agg('N' || day || '=' || coalesce(printf('%.1f', value), '—'), ' ' ORDER BY day) AS line FROM obs GROUP BY ALL)
-SELECT patient, length(string_agg(measure || ': ' || line, chr(10) ORDER BY measure)) AS n_chars, count(*) AS n_lines FROM l GROUP BY patient""",
+    f"""WITH {OBS}, l AS (SELECT patient, measure, string_agg('N' || day || '=' || coalesce(printf('%.1f', value + 1e-9), '—'), ' ' ORDER BY day) AS line FROM obs GROUP BY ALL)
+SELECT patient, string_agg(measure || ': ' || line, chr(10) ORDER BY measure) AS card, count(*) AS n_lines FROM l GROUP BY patient""",
 )
 def patient_card(spark, d):
-    return forms.patient_cards(obs(spark, d)).select("patient", F.length("card").alias("n_chars"), F.size(F.split("card", "\n")).cast("long").alias("n_lines"))
+    return forms.patient_cards(obs(spark, d)).select("patient", "card", F.size(F.split("card", "\n")).cast("long").alias("n_lines"))
 
 
 @query("union_frames", "SELECT c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
