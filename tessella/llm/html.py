@@ -43,6 +43,7 @@ FURNITURE = set(
     "tracking widget".split()
 )
 CONTAINERS = set("aside div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What an open element of the first kind ends, up to the second.
 SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -122,8 +123,10 @@ def _furniture(node: Node, holds: set[Node]) -> bool:
     """Elements that no article is in and that say what they are."""
     if node.tag in DROPPED:
         return True
-    if node.tag == "header":
+    if node.tag == "header":  # an article's own holds its headings
         return not _inside(node, ("article", "main"))
+    if node.up is not None and node.up.tag == "header" and node.tag not in HEADINGS and _inside(node, ("article", "main")):
+        return not any(isinstance(k, Node) and k.tag in HEADINGS for k in node.kids)
     named = node.names & FURNITURE or any(x.startswith("comment") for x in node.names)
     return bool(named) and node.tag not in ("html", "body", "main") and node not in holds
 

@@ -202,11 +202,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>x("</p>")</script><
 def test_op5(spark, tiny):
     pages = [(i, f"http://h.example/{i}", PAGE.replace("{n}", str(i)).replace("{same}", "")) for i in range(8)]
     pages += [(90, "http://h.example/a", "<article><p>Kept <b>x<br><p>y</article><p>not"), (91, None, None), (92, "", ""), (93, "http://h.example/a", "<p>plain <i>te</i>xt"), (94, "x", "<div>" * 3000 + "deep")]
+    pages += [(95, "http://k.example/", "<main><article><header><h1>Title</h1><p>By me</p></header><p>Body</p><div class='ad'>Buy<footer>end</footer></div></article><article class='comment'><p>hi</p></article></main>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("subtrees", F.lit(1))
     for broadcast in (1000, 0):
         got = {r["page_id"]: r["text"] for r in html.extract(df, broadcast=broadcast).collect()}
         assert got[3] == "Head 3 First boldword & more line 3 Second one"
-        assert (got[90], got[91], got[92], got[93], got[94]) == ("Kept x y", "", "", "plain text", "deep")
+        assert [got[k] for k in range(90, 96)] == ["Kept x y", "", "", "plain text", "deep", "Title Body"]
     few = {r["page_id"]: r["text"] for r in html.extract(df.where("page_id = 3")).collect()}
     assert "Shared box" in few[3] and "join us today" in few[3]
     assert html.extract(df.limit(0)).count() == 0
