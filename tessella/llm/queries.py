@@ -66,5 +66,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS k, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, ka, kb FROM p WHERE 10 * i >= 8 * (na + nb - i)),
+r AS (SELECT doc_id AS v, doc_id AS x FROM documents UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.x),
+c AS (SELECT v, min(x) AS class_id FROM r GROUP BY v), n AS (SELECT a, count(*) AS n_links, count(DISTINCT kb) FILTER (kb <> ka) AS n_texts FROM l GROUP BY a)
+SELECT v AS doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts, v = class_id AS kept FROM c LEFT JOIN n ON a = v"""
+
+_COSINE = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e WHERE v IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS x FROM embeddings UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.x),
+c AS (SELECT v, min(x) AS component_id FROM r GROUP BY v), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v AS vec_id, coalesce(n_links, 0) AS n_links, component_id, v = component_id AS kept FROM c LEFT JOIN n ON a = v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators train models, tokenise or parse, which SQL can't express."""
+    return {"op1_ngram_jaccard_join": _JACCARD, "op8_pivot_range_join": _COSINE}
