@@ -21,9 +21,10 @@ by_value(__name__)
 
 
 def kept(key: tuple, make):
-    """What a Python worker makes once and keeps from task to task, such as a tokenizer."""
+    """What a Python worker makes once and keeps from task to task, such as a tokenizer, until another is asked for."""
     store = sys.modules["__main__"].__dict__.setdefault("_tessella_kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
