@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 
 
-def describe(value: str, prefix: str = "") -> list[Column]:
-    """Count, quartiles, mean, sample deviation, ends."""
+def moments(value: str) -> list[Column]:
+    """Count, mean, sample deviation, ends."""
     c = F.col(value)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.count(c).alias(f"{prefix}n"),
-        q[0].alias(f"{prefix}q1"),
-        q[1].alias(f"{prefix}median"),
-        q[2].alias(f"{prefix}q3"),
-        F.avg(c).alias(f"{prefix}mean"),
-        F.stddev_samp(c).alias(f"{prefix}sd"),
-        F.min(c).alias(f"{prefix}lowest"),
-        F.max(c).alias(f"{prefix}highest"),
-    ]
+    return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("lowest"), F.max(c).alias("highest")]
+
+
+def describe(value: str) -> list[Column]:
+    """Moments and quartiles. The quartiles' buffer holds a group's distinct values: for groups that outgrow a task, take
+    `moments` and `position.quantiles`."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return [*moments(value), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")]
 
 
 def long_form(wide: DataFrame, key: str, columns: dict[str, tuple[str, int]]) -> DataFrame:

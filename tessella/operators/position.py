@@ -91,3 +91,41 @@ def top(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
 def label_counts(neighbours: DataFrame, labels: DataFrame, key: str = "patient", label: str = "class") -> DataFrame:
     """Labels of the neighbours of each query, counted."""
     return neighbours.join(labels.select(key, label), key).groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -> DataFrame:
+    """(keys, value, n, start): each distinct value with its count and how many rows of its group are smaller.
+
+    For groups too large for one task: values are cut into ranges at approximate quantiles, and a range's offset is
+    a running sum over at most `blocks` ranges. The result is exact wherever the cuts lie. Nulls are left out.
+    """
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    cuts = tied.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)])).alias("cuts"))
+    joined = tied.join(cuts, keys) if keys else tied.crossJoin(F.broadcast(cuts))
+    dealt = joined.withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "block").agg(F.sum("n").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    inside = Window.partitionBy(*keys, "block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = dealt.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return below.join(starts, [*keys, "block"]).select(*keys, value, "n", (F.col("offset") + F.col("below")).alias("start"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of groups of any size, one column for each name."""
+    placed = ranges(df, keys, value)
+    totals = placed.groupBy(*keys).agg(F.sum("n").alias("total"))
+    joined = placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))
+    at = lambda rank: F.max(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("n")), F.col(value)))
+    place = {name: (F.col("total") - 1) * p for name, p in probabilities.items()}
+    ends = joined.groupBy(*keys, "total").agg(*[f for name, x in place.items() for f in (at(F.floor(x)).alias(f"lo_{name}"), at(F.ceil(x)).alias(f"hi_{name}"))])
+    line = [(F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * (x - F.floor(x))).alias(n) for n, x in place.items()]
+    return ends.select(*keys, *line)
+
+
+def thinned_values(df: DataFrame, keys: list[str], value: str, most: int = 100) -> DataFrame:
+    """(keys, place, value): `most` evenly spaced values, in order, of each group that has more."""
+    placed = ranges(df, keys, value)
+    totals = placed.groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") > most)
+    rank = lambda i: F.floor(i * (F.col("total") - 1) / F.lit(most - 1))
+    places = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (rank(i) >= F.col("start")) & (rank(i) < F.col("start") + F.col("n")))
+    return placed.join(totals, keys).select(*keys, F.explode(places).alias("place"), value)

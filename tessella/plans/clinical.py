@@ -35,7 +35,9 @@ def daily_stats(spark, d):
 
 @query("age_stats", f"SELECT {_DESCRIBE.format(c='o_totalprice')} FROM orders")
 def age_stats(spark, d):
-    return rounded(table(spark, d, "orders").agg(*cohort.describe("o_totalprice")))
+    orders = table(spark, d, "orders")
+    ends = orders.agg(*[c for c in cohort.moments("o_totalprice")])
+    return rounded(ends.crossJoin(position.quantiles(orders, [], "o_totalprice", {"q1": 0.25, "median": 0.5, "q3": 0.75})))
 
 
 @query(
@@ -391,7 +393,5 @@ def union_frames(spark, d):
     f"WITH {OBS}, a AS (SELECT measure, list(value ORDER BY value) AS v FROM obs WHERE value IS NOT NULL GROUP BY measure), i AS (SELECT measure, v, len(v) AS n, unnest(range(100)) AS i FROM a WHERE len(v) > 100) SELECT measure, i AS place, v[CAST(floor(i * (n - 1) / 99) AS INT) + 1] AS value FROM i",
 )
 def values_thinned(spark, d):
-    from tessella.sources.files import thinned
-
-    lists = obs(spark, d).where("value is not null").groupBy("measure").agg(F.sort_array(F.collect_list("value")).alias("v"), F.count(F.lit(1)).alias("n"))
-    return thinned(lists.where("n > 100"), "v").select("measure", F.posexplode("v").alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+    out = position.thinned_values(obs(spark, d), ["measure"], "value")
+    return out.withColumn("place", F.col("place").cast("long"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import cohort, evaluate, forms, graph, labtext, model, retrieval, series, sessions
+from tessella.operators import cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions
 from tessella.plans.common import MEASURES
 
 
@@ -195,3 +195,16 @@ def test_auc_counts_ties(spark):
     pairs = [(a > b) + 0.5 * (a == b) for y, a in rows if y for z, b in rows if not z]
     assert got == pytest.approx(sum(pairs) / len(pairs))
     assert evaluate.auc(spark.createDataFrame([(1, 0.5)], "y int, s double"), "y", "s").first()["auc"] is None
+
+
+def test_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 900)] + [("b", float(x)) for x in rng.random(301)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in position.quantiles(df, ["k"], "v", {"q1": 0.25, "q9": 0.9}).collect()}
+    for k in "ab":
+        v = [x for y, x in rows if y == k]
+        assert (got[k]["q1"], got[k]["q9"]) == pytest.approx((np.percentile(v, 25), np.percentile(v, 90)))
+    thin = sorted((r["place"], r["v"]) for r in position.thinned_values(df, ["k"], "v").where("k = 'a'").collect())
+    v = sorted(x for y, x in rows if y == "a")
+    assert thin == [(i, v[i * 899 // 99]) for i in range(100)]
