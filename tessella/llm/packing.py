@@ -16,7 +16,8 @@ by_value(__name__)
 
 WINDOW = 4096
 END_ID = 2
-CACHE = 1_500_000
+CACHE = 1_200_000
+_SIGNS = b".,;:!?#$%&*"
 _PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789"
 _SCALE = 1 << 40
 
@@ -107,22 +108,26 @@ class ChunkIds:
             # a special token's name counts only as it is spelt
             chunks = (raw if b"<|" in raw else raw.lower()).split()
             ids = list(map(self.known.get, chunks))
-            if None in ids:
-                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-                ids = None
-            split.append(None if ids else chunks)
-            found.append(ids)
-        # a comma or full stop after a letter or digit is a token of its own
-        tailed = [c for c in new if len(c) > 1 and c[-1] in b".," and c[-2] in _PLAIN]
-        new.difference_update(tailed)
-        new.update(part for c in tailed for part in (c[:-1], c[-1:]) if part not in self.known)
+            missing = [k for k, i in enumerate(ids) if i is None]
+            new.update([chunks[k] for k in missing])
+            split.append(chunks if missing else None)
+            found.append((ids, missing))
+        tailed = []  # signs after a letter or digit are tokens of their own
+        for c in new:
+            core = c.rstrip(_SIGNS)
+            if len(core) < len(c) and core and core[-1] in _PLAIN:
+                tailed.append((c, core, c[len(core) :]))
+        new.difference_update(c for c, _, _ in tailed)
+        new.update(part for _, *parts in tailed for part in parts if part not in self.known)
         new = list(new)
         for i in range(0, len(new), 200):
             self._encode(new[i : i + 200])
-        for c in tailed:
-            self.known[c] = self.known[c[:-1]] + self.known[c[-1:]]
-        for chunks, ids in zip(split, found, strict=True):
-            yield b"".join(ids or map(self.known.__getitem__, chunks))
+        for c, core, tail in tailed:
+            self.known[c] = self.known[core] + self.known[tail]
+        for chunks, (ids, missing) in zip(split, found, strict=True):
+            for k in missing:
+                ids[k] = self.known[chunks[k]]
+            yield b"".join(ids)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
