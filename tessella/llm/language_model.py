@@ -48,7 +48,7 @@ class WordNumbers(dict):
     def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        if len(self) > 800_000:
+        if len(self) > 400_000:
             self.clear()
         n = xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF
         out = self[word] = (n if n < START else n - 2).to_bytes(8, "little")
@@ -124,7 +124,7 @@ def _pair_blobs(hot: np.ndarray, buckets: int):
             key, at, n = np.unique(pair_key(a, words), return_index=True, return_counts=True)
             parts.append((key, n, a[at], words[at]))
             held += len(key)
-            if held > 2_000_000:
+            if held > 1_200_000:
                 yield from flush(parts)
                 parts, held = [], 0
         if parts:
@@ -334,7 +334,7 @@ def train(texts: DataFrame) -> Model:
     at most 2000 frequent words come to the driver.
     """
     spark = texts.sparkSession
-    text_batches(spark)
+    text_batches(spark, 500)
     folder = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
     _make(spark, folder)
     counted = texts.select("text").sample(1 / SAMPLED, seed=7).mapInPandas(_word_counts, "word long, count long")
@@ -391,7 +391,7 @@ def _fill(spark: SparkSession, folder: str, names: list[str], stored: int) -> No
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every whole text."""
-    text_batches(docs.sparkSession, 2000)
+    text_batches(docs.sparkSession, 500)
     sent = Sent(docs.sparkSession, model)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
