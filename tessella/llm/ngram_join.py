@@ -25,7 +25,7 @@ DENSE = 0.5
 #: is 5.7 deviations more.
 SKETCH, DIFFER = 64, 26
 #: Up to so many sets are looked up by a broadcast of their numbers (8 bytes each); more by a join that shuffles the texts.
-LOOKED_UP = 2_000_000
+LOOKED_UP = 1_000_000
 #: Sets compared at once in a dense bucket, and in how many dense buckets a set takes part (pairs share 4 in 5 of them).
 BLOCK, PARTS = 512, 8
 _G = np.uint64(0x9E3779B97F4A7C15)
