@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import words as tokens
+
 
 def paths(edges: DataFrame, seeds: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
     """Simple paths of 1 to `hops` edges from each seed (a column id): path, relations, hops, score.
@@ -51,16 +53,16 @@ def active(rows: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFr
 
 
 def named_in(texts: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
-    """(key, id) of nodes whose label stands in a text as a word: an equi-join on words.
-
-    Labels of several words are looked for by their first, then in full.
-    """
+    """(key, id) of nodes whose label stands in a text as a word; key is unique. An equi-join on words finds the labels'
+    first words where the texts are read; only labels of several words look at a text again."""
     label = F.lower("label")
     first = F.regexp_extract(label, r"^([\p{L}\p{N}_]+)", 1)
-    words = texts.select(key, F.lower(text).alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("word"))
-    joined = words.join(F.broadcast(nodes.select("id", label.alias("label"), first.alias("word"))), "word")
-    padded = F.concat(F.lit(" "), F.regexp_replace("low", r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    return joined.where(F.contains(padded, F.concat(F.lit(" "), F.regexp_replace("label", r"[^\p{L}\p{N}_]+", " "), F.lit(" ")))).select(key, "id")
+    words = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    met = words.join(F.broadcast(nodes.select("id", label.alias("label"), first.alias("word"))), "word")
+    whole = met.where(F.col("label") == F.col("word")).select(key, "id")
+    part = met.where(F.col("label") != F.col("word")).select(key, "id", "label").join(texts.select(key, F.lower(text).alias("_low")), key)
+    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    return whole.unionByName(part.where(F.contains(padded(F.col("_low")), padded(F.col("label")))).select(key, "id"))
 
 
 def difference(old: DataFrame, new: DataFrame, by: str, compared: str) -> DataFrame:

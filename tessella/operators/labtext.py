@@ -32,16 +32,18 @@ def exam_of(text: Column) -> Column:
 def lab_rows(report: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line, exam, value, word, unit) of the lines that name a test; a test read twice counts once, its first line."""
     names = "|".join(a.replace("(", r"\(").replace(")", r"\)") for names in C.EXAMS.values() for a in sorted(names, key=len, reverse=True))
-    found = lines(report, key, text).withColumn("exam", exam_of(F.col("text"))).where("exam is not null")
+    word = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{names})(?:$|[^\p{{L}}\p{{N}}_])"
+    near = lines(report, key, text).where(F.lower("text").rlike(word))  # one look before sixteen
+    found = near.withColumn("exam", exam_of(F.col("text"))).where("exam is not null")
     rest = F.regexp_replace(F.lower("text"), rf"(?:^|(?<=[^\p{{L}}\p{{N}}_]))(?:{names})(?=$|[^\p{{L}}\p{{N}}_])", " ")
     number = F.regexp_extract(rest, r"(-?\d+(?:[.,]\d+)?)", 1)
-    word = F.nullif(F.regexp_extract(rest, r"(positive|negative|dương tính|âm tính)", 1), F.lit(""))
+    said = F.nullif(F.regexp_extract(rest, r"(positive|negative|dương tính|âm tính)", 1), F.lit(""))
     rows = found.select(
         key,
         "line",
         "exam",
         X.number(number).alias("value"),
-        word.alias("word"),
+        said.alias("word"),
         F.nullif(F.regexp_extract(F.lower("text"), r"(k/ul|m/ul|g/dl|u/l|mmol/l|umol/l|%)", 1), F.lit("")).alias("unit"),
     )
     return rows.groupBy(key, "exam").agg(F.min(F.struct("line", "value", "word", "unit")).alias("r")).select(key, "exam", "r.*")
