@@ -98,22 +98,27 @@ class Seeds:
         return np.unique(np.concatenate(out), axis=0)
 
     def overlap(self, words: np.ndarray, lo: int, hi: int, text: int, start: int) -> tuple[int, int, int] | None:
-        """Agreeing tokens, first and end place of the best stretch along a diagonal, if it is long and alike enough.
+        """Agreeing tokens, first and end place of the stretch along a diagonal that agrees in the most tokens, if it is long enough.
 
-        The stretch is that with the largest sum of 1 for each agreeing token less 3 for each other one, so that at
-        least three in four agree; SHARE and AGREE decide.
+        Of all stretches that are alike enough (their sum of 1 - SHARE for each agreeing token less SHARE for each other
+        one is at least 0): for each end, the first place whose sum from the start is no larger is where the stretch
+        with the most agreeing tokens begins. AGREE decides.
         """
         item = self.words[self.edges[text] : self.edges[text + 1]]
         first, last = max(start, lo), min(start + len(item), hi)
         same = words[first:last] == item[first - start : last - start]
-        total = np.r_[0, np.cumsum(np.where(same, 1, -3))]
-        least = np.minimum.accumulate(total)
-        end = int(np.argmax(total - least))
-        begin = int(np.argmin(total[: end + 1]))
-        agree = int(same[begin:end].sum())
-        if agree < min(AGREE, len(item)) or agree < SHARE * (end - begin):
+        least = min(AGREE, len(item))
+        if np.count_nonzero(same) < least:
             return None
-        return agree, first + begin - lo, first + end - lo
+        agree = np.r_[0, np.cumsum(same)]
+        total = np.round(agree - SHARE * np.arange(len(agree)), 9)
+        begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+        found = agree - agree[begin]
+        end = int(np.argmax(found))
+        if found[end] < least:
+            return None
+        begin = int(np.searchsorted(agree, agree[begin[end]], "right")) - 1
+        return int(found[end]), first + begin - lo, first + end - lo
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -278,6 +278,36 @@ def test_op7(spark, docs, tiny):
     assert decontamination.find_leaks(both.limit(0), more).count() == 0 and decontamination.find_leaks(both, more.limit(0)).count() == 0
 
 
+
+def test_overlap_is_found_if_any_stretch_is_one(spark):
+    rng = np.random.default_rng(7)
+    numbers = decontamination.Numbers()
+    agreed = 0
+    for k in range(600):
+        n, changes = int(rng.integers(15, 26)), int(rng.integers(2, 6))
+        item = [f"w{k}_{j}" for j in range(n)]
+        said = item.copy()
+        for j in rng.choice(n, changes, replace=False):
+            said[j] = f"other{j}"
+        same = np.array([a == b for a, b in zip(item, said, strict=True)])
+        every = [(int(same[a:b].sum()), a, b) for a in range(n) for b in range(a + 1, n + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
+        most = max(x[0] for x in every)
+        seeds = decontamination.Seeds([(k, " ".join(item))])
+        words, _ = decontamination.numbered([" ".join(["a", *said, "z"])], numbers)
+        got = seeds.overlap(words, 0, n + 2, 0, 1)
+        assert (got is not None) == (most >= 11)
+        if got:
+            agreed += 1
+            assert got[0] == most and (most, got[1] - 1, got[2] - 1) in every
+    assert agreed > 300
+    item = [f"v{j}" for j in range(15)]
+    said = [w if j not in (2, 5) else "changed" for j, w in enumerate(item)]
+    docs = make(spark, ["before " + " ".join(said) + " after", "nothing of it"])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [r["agree"] for r in decontamination.find_leaks(docs, bench).collect()] == [13]
+    assert [r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()] == [1]
+
+
 def test_op8(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
