@@ -142,7 +142,7 @@ def keyword_overlap(spark, d):
 
 @query("query_expand")
 def query_expand(spark, d):
-    asked = F.concat(F.substring("text", 1, 40), F.when(F.col("turn") % 2 == 0, F.lit(" PLT và dengue shock")).otherwise(F.lit("")))
+    asked = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" PLT và dengue shock")).otherwise(F.lit("")))
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", retrieval.expanded(asked).alias("expanded"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions
+from tessella.plans import search
 from tessella.plans.common import MEASURES
 
 
@@ -208,3 +209,13 @@ def test_quantiles_of_large_groups(spark):
     thin = sorted((r["place"], r["v"]) for r in position.thinned_values(df, ["k"], "v").where("k = 'a'").collect())
     v = sorted(x for y, x in rows if y == "a")
     assert thin == [(i, v[i * 899 // 99]) for i in range(100)]
+
+
+def test_query_expand_reads_whole_messages(spark, tmp_path):
+    long = "a message without any name of a test so far, and " * 20 + "then platelet counts"
+    turns = [(1, 1, "user", long), (1, 2, "assistant", long), (2, 2, "user", long), (3, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["expanded"] for r in search.query_expand(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 1)}
+    assert got[1, 1].startswith(long + " ") and "tiểu cầu" in got[1, 1][len(long) :]
+    assert got[2, 2].startswith(f"{long} PLT và dengue shock ")
