@@ -16,7 +16,8 @@ from .common import by_value, stash, text_batches
 
 by_value(__name__)
 
-#: A subtree is template if it stands on pages of a host with so many different headings ...
+#: A subtree is template if it stands on so many different articles of a host; a heading on more than one in so many of the
+#: host's pages names no article ...
 PAGES = 5
 #: ... and up to so many templates are broadcast (8 bytes each); beyond, pages are joined with theirs.
 BROADCAST = 500_000
@@ -161,15 +162,19 @@ def _holders(tree: Tree) -> set[Node]:
     return out
 
 
-def heading(tree: Tree) -> int:
-    """Hash of what the page is about: its first heading, else its title; copies of a page have the same."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def heading(tree: Tree) -> int | None:
+    """Hash of what a marked page says it is about: its first heading outside furniture, else its title; None if it has neither."""
     for tags in (("h1", "h2"), ("title",)):
         for node in tree.nodes:
-            if node.tag in tags:
-                said = squeeze(_text(node))
+            if node.tag in tags and (node.tag == "title" or not node.mark):
+                said = squeeze(_text(node).replace("\0", " "))
                 if said:
-                    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    return 0
+                    return _hash(said)
+    return None
 
 
 def _text(top: Node) -> str:
@@ -180,7 +185,7 @@ def _text(top: Node) -> str:
         if isinstance(node, str):
             out.append(node)
             continue
-        if node.mark:
+        if node.mark and node is not top:
             out.append("\0" if node.tag in BLOCK else "")
             continue
         if node.tag == "br":
@@ -193,9 +198,11 @@ def _text(top: Node) -> str:
 
 def main_text(html: str | None, is_template) -> str:
     """Text of the page's article(s), or of its body if no element is one, without furniture and templates."""
-    if not html:
-        return ""
-    tree = Tree(html.replace("\0", " "))
+    return article(Tree(html.replace("\0", " ")), is_template) if html else ""
+
+
+def article(tree: Tree, is_template) -> str:
+    """Main text of a page, whose furniture and templates are marked."""
     holds = _holders(tree)
     for node in tree.nodes:
         node.mark = _furniture(node, holds)
@@ -223,23 +230,34 @@ def _salted(h: int, host_: str) -> int:
 
 
 def template_counts(pages: DataFrame, least: int) -> DataFrame:
-    """Subtrees (salted by host) that stand on pages with at least `least` different headings: subtree, headings.
+    """Subtrees (salted by host) that stand on at least `least` different articles of the host: subtree, articles.
 
-    Copies of one page count once, so that an article that was published many times is no template.
+    Pages with one heading are one article, so that one that was published many times is no template. A heading that
+    more than one in `least` pages of the host have (a site's name, say) names none; such pages, and those without a
+    heading or title, differ if their main texts do. All pages of a host can't share fewer than `least` other headings.
     """
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for html, host_ in zip(batch["html"], batch["host"], strict=True):
                 if html:
                     tree = Tree(html.replace("\0", " "))
-                    about = heading(tree)
-                    rows += [(_salted(h, host_), about) for h in set(subtree_hashes(tree).values())]
-            yield pd.DataFrame(rows, columns=["subtree", "about"], dtype="int64")
-
-    found = pages.select("html", host().alias("host")).mapInPandas(hashes, "subtree long, about long").distinct()
-    return found.groupBy("subtree").agg(F.count(F.lit(1)).alias("headings")).where(F.col("headings") >= least)
+                    subtrees = {_salted(h, host_) for h in subtree_hashes(tree).values()}
+                    said = _hash(article(tree, lambda h: False))
+                    head = heading(tree)
+                    rows.append((_salted(0, host_), said if head is None else _salted(head, host_), said, list(subtrees)))
+            yield pd.DataFrame(rows, columns=["site", "head", "said", "subtrees"])
+
+    found = pages.select("html", host().alias("host")).mapInPandas(read, "site long, head long, said long, subtrees array<long>")
+    found = stash(found, "page-subtrees")
+    n = F.count(F.lit(1))
+    sites = found.groupBy("site").agg(n.alias("pages")).where(F.col("pages") >= least)
+    often = found.groupBy("site", "head").agg(n.alias("n")).join(sites, "site").where(F.col("n") * least > F.col("pages"))
+    often = stash(often.select(F.col("head").alias("often")).distinct(), "site-headings")
+    about = F.when(F.col("often").isNull(), F.col("head")).otherwise(F.col("said"))
+    named = found.join(often, F.col("head") == F.col("often"), "left").select(F.explode("subtrees").alias("subtree"), about.alias("about"))
+    return named.distinct().groupBy("subtree").agg(n.alias("articles")).where(F.col("articles") >= least)
 
 
 def extract(pages: DataFrame, least: int = PAGES, broadcast: int = BROADCAST) -> DataFrame:

@@ -221,6 +221,30 @@ def test_op5(spark, tiny):
         assert got[r["page_id"]]["text"] == " ".join(p for p in parts if p) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+
+def test_templates_of_a_host_with_one_heading(spark):
+    box = "<div><p>box on all pages</p></div>"
+    said = lambda i: f"<p>text {i}</p>{box}<p>more {i}</p>"
+    shapes = {
+        "one": lambda i: f"<h1>Site</h1><article>{said(i)}</article>",
+        "header": lambda i: f"<header><h1>Site</h1></header><article><h2>Head {i}</h2>{said(i)}</article>",
+        "cookies": lambda i: f"<div class=cookies><h2>Cookies</h2></div><article><h2>Head {i}</h2>{said(i)}</article>",
+        "title": lambda i: f"<title>Site</title><body>{said(i)}",
+        "none": lambda i: f"<body>{said(i)}",
+        "empty": lambda i: f"<h1></h1><article>{said(i)}</article>",
+        "three": lambda i: f"<h1>Section {i % 3}</h1><article>{said(i)}</article>",
+        "copies": lambda i: f"<h1>Head {i if i < 30 else 99}</h1><article><p>text</p><div>{'copied' if i >= 30 else i}</div></article>",
+        "copy": lambda i: f"<h1>Head</h1><article>{said(0)}</article>",
+    }
+    pages = [(i, f"http://{k}.example/{i}", f(i)) for k, f in shapes.items() for i in range(36 if k == "copies" else 9)]
+    got = {r["url"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in shapes:
+        for i in (0, 8):
+            own = f"Head {i} " if k in ("header", "cookies") else ""
+            assert k in ("copies", "copy") or got[f"http://{k}.example/{i}"] == f"{own}text {i} more {i}", k
+    assert got["http://copies.example/35"] == "text copied" and got["http://copy.example/3"] == "text 0 box on all pages more 0"
+
+
 def test_op6(spark, docs, labels):
     chain = toxicity.train_chain(docs, toxicity.label_categories(labels), toxicity.CATEGORIES)
     got = {r["doc_id"]: r["p_toxic"] for r in toxicity.score(docs, chain).collect()}
