@@ -26,8 +26,8 @@ DENSE = 0.5
 SKETCH, DIFFER = 64, 26
 #: Up to so many sets are looked up by a broadcast of their numbers (8 bytes each); more by a join that shuffles the texts.
 LOOKED_UP = 1_000_000
-#: Sets compared at once in a dense bucket, and in how many dense buckets a set takes part (pairs share 4 in 5 of them).
-BLOCK, PARTS = 512, 8
+#: Sets compared at once in a dense bucket.
+BLOCK = 512
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,7 +231,7 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SH
     few, still = _by_size(deeper.join(thick, F.col("parent") == F.col("thick"), "left_anti").select("rep", "path"))
     dense = large.join(thick, F.col("path") == F.col("thick"), "left_semi").select("path", "rep").unionByName(still)
 
-    parts = dense.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("path")), 1, PARTS).alias("parts"))
+    parts = dense.groupBy("rep").agg(F.collect_set("path").alias("parts"))
     parts = stash(parts, "parts")
     pairs = stash(_small_pairs(small.unionByName(few), reps.select("rep", "n", "s0", "s1"), parts, threshold), "pairs")
     needed = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(parts.select("rep")).distinct(), "needed")
@@ -309,7 +309,7 @@ def _small_pairs(small: DataFrame, light: DataFrame, parts: DataFrame, threshold
 
 
 def _dense_links(parts: DataFrame, tokens: DataFrame, weight: DataFrame, threshold: float) -> DataFrame:
-    """Counts and spanning links of the dense buckets. parts: the buckets in which each set takes part."""
+    """Counts and spanning links of the dense buckets. parts: all dense buckets of each set."""
     member = parts.select("rep", "parts", F.explode("parts").alias("path"))
     blocks = member.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = member.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -487,6 +487,16 @@ def test_op1_odd_tables(spark):
     assert ngram_join.jaccard_links(twice).count() == 3
 
 
+
+def test_op1_links_through_any_dense_bucket(spark):
+    rng = np.random.default_rng(11)
+    sets = [frozenset(map(int, rng.choice(24, 10, replace=False))) for _ in range(450)]
+    df = make(spark, [" ".join(f"w{x}" for x in sorted(s)) for s in sets])
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_links(df, 0.3, 1).collect()}
+    want = {i: sum(i != j and len(a & b) >= 0.3 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values())
+
+
 def test_pipeline(spark, tiny):
     seen = spark.read.parquet(f"{tiny}/documents.parquet")
     columns, texts = seen.columns, {r["doc_id"]: r["text"] for r in seen.collect()}
