@@ -72,13 +72,15 @@ def alignments(obs: DataFrame, patients: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, query: DataFrame, dims: list[str], k: int) -> DataFrame:
     """The k rows nearest to each query row by Euclidean distance over z-scores of the base; a null difference counts 0.
 
+    Distances are rounded to six digits before they are ranked, so that equal ones go by patient.
+
     The base's means and deviations take one aggregate; queries (few, broadcast) meet the base where it is read.
     """
     moments = vectors.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = lambda d, c: (F.col(c) - F.lit(moments[f"m_{d}"])) / (F.lit(moments[f"s_{d}"]) + 1e-9)
     mine = F.broadcast(query.select(F.col("patient").alias("query"), *[F.col(d).alias(f"q_{d}") for d in dims]))
     square = sum(F.coalesce((z(d, d) - z(d, f"q_{d}")) ** 2, F.lit(0.0)) for d in dims)
-    pairs = vectors.join(mine, F.col("patient") != F.col("query")).select("query", "patient", F.sqrt(square).alias("distance"))
+    pairs = vectors.join(mine, F.col("patient") != F.col("query")).select("query", "patient", F.round(F.sqrt(square) + 1e-9, 6).alias("distance"))
     return top(pairs, "query", [F.col("distance"), F.col("patient")], k)
 
 

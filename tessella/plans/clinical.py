@@ -287,8 +287,7 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d
 
 def _neighbours(spark, d):
     vectors = _medians(spark, d)
-    found = position.nearest(vectors, vectors.where("patient % 100 = 0"), _DIMS, 40)
-    return position.top(found.drop("rank").withColumn("distance", F.round(F.col("distance") + 1e-9, 6)), "query", [F.col("distance"), F.col("patient")], 5)
+    return position.nearest(vectors, vectors.where("patient % 100 = 0"), _DIMS, 5)
 
 
 @query("knn_patients", f"WITH {OBS}, {_KNN} SELECT query, patient, distance, CAST(rank AS INT) AS rank FROM nn")

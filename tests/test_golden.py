@@ -219,3 +219,10 @@ def test_query_expand_reads_whole_messages(spark, tmp_path):
     assert set(got) == {(1, 1), (2, 2), (3, 1)}
     assert got[1, 1].startswith(long + " ") and "tiểu cầu" in got[1, 1][len(long) :]
     assert got[2, 2].startswith(f"{long} PLT và dengue shock ")
+
+
+def test_nearest_ties_go_by_patient(spark):
+    near = [(i, 1 + (60 - i) * 1e-11) for i in range(1, 61)]  # alike in six digits, lower ids a little farther
+    vectors = spark.createDataFrame([(0, 0.0), *near], "patient long, x double")
+    got = position.nearest(vectors, vectors.where("patient = 0"), ["x"], 5).orderBy("rank").collect()
+    assert [r["patient"] for r in got] == [1, 2, 3, 4, 5]
