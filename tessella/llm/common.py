@@ -1,12 +1,17 @@
-"""What several operators share: written tables, exact ranks without one task per key, connected components."""
+"""What several operators share: Arrow passes over texts, written tables, files for workers, exact ranks, connected components."""
 
 from __future__ import annotations
 
+import os
 import pickle
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +24,9 @@ def by_value(module: str) -> None:
 
 by_value(__name__)
 
+#: Rows that an operator's Python code looks at together; Spark bounds the bytes of a batch itself.
+TOGETHER = 500
+
 
 def kept(key: tuple, make):
     """What a Python worker makes once and keeps from task to task, such as a tokenizer, until another is asked for."""
@@ -39,23 +47,58 @@ class Sent:
         return pickle.loads(self.raw.value)
 
 
-def filter_texts(docs: DataFrame, start) -> DataFrame:
-    """Rows of docs whose text passes, all columns untouched. start() runs once in a task and returns texts -> mask."""
+def _arrow(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(_arrow(kind[6:-1]))
+    return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[kind]
+
+
+def mapped(df: DataFrame, keep: list[str], fields: dict[str, str], start: Callable, most: int = TOGETHER) -> DataFrame:
+    """Columns `keep` of df beside those that start() makes, in one pass without a shuffle.
+
+    start() runs once in a task and returns a function from a part of a batch (at most `most` rows) to (places, columns):
+    the row of the part that each result row belongs to (None: one for each, in order), and the values of each of
+    `fields`. The kept columns stay Arrow, so that whole numbers beside nulls stay what they are.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{c}` {t}" for c, t in fields.items()])
+    kinds = [_arrow(t) for t in fields.values()]
 
     def run(batches):
-        import pyarrow as pa
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                places, columns = make(part)
+                own = [part.column(c) for c in keep]
+                if places is not None:
+                    own = [c.take(pa.array(places, pa.int64())) for c in own]
+                made = [pa.array(v, t) for v, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *made], names=[*keep, *fields])
 
+    return df.mapInArrow(run, schema)
+
+
+def filter_texts(docs: DataFrame, start: Callable) -> DataFrame:
+    """Rows of docs whose text passes, all columns untouched. start() runs once in a task and returns texts -> mask."""
+
+    def run(batches):
         keep = start()
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. One of our own is made where it is unset on one machine
+    (tests); on a cluster that is an error, since executors couldn't see one another's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -72,11 +115,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Python gets at most so many of them at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files of workers, in the shared one."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
+def fill_folder(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Files that no task had anything for are made empty, so that a missing one is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {f.getPath().getName() for f in fs.listStatus(path(folder))}
+    for name in names:
+        if name not in there:
+            fs.create(path(f"{folder}/{name}")).close()
+
+
+def _mounted(folder: str) -> str | None:
+    u = urlparse(folder)
+    return u.path if u.scheme in ("", "file") else None
+
+
+def write_arrays(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Arrays one after another in a file of the shared folder; a task that runs again writes the same bytes and takes the name last."""
+    local = _mounted(folder)
+    if local is not None:
+        part = f"{local}/.{name}-{uuid.uuid4().hex}"
+        with open(part, "wb") as out:
+            for x in arrays:
+                out.write(np.ascontiguousarray(x).tobytes())
+        os.replace(part, f"{local}/{name}")
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        with store.open_output_stream(f"{path}/{name}") as out:
+            for x in arrays:
+                out.write(np.ascontiguousarray(x).tobytes())
+
+
+class Files:
+    """Files of a shared folder as bytes: memory-mapped, or, from a store that isn't mounted, the `held` bytes read of late."""
+
+    def __init__(self, folder: str, held: int = 256_000_000):
+        self.folder, self.held, self.open = folder, held, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            local = _mounted(self.folder)
+            if local is None:
+                from pyarrow import fs
+
+                store, path = fs.FileSystem.from_uri(self.folder)
+                with store.open_input_stream(f"{path}/{name}") as src:
+                    found = np.frombuffer(src.read(), np.uint8)
+                while self.open and sum(map(len, self.open.values())) + len(found) > self.held:
+                    del self.open[next(iter(self.open))]
+            else:
+                path = f"{local}/{name}"
+                found = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+            self.open[name] = found
+        return self.open[name]
 
 
 def ranked(df: DataFrame, key: str, ties: list[str], name: str = "rank", across: bool = False) -> DataFrame:
@@ -136,3 +240,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
             return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(roots)
         seen = now
     raise RuntimeError(f"components: not ended after {most} rounds")
+
+
+def blocks_of(most: int, task: int = 16_000_000) -> F.Column:
+    """Into how many blocks a group of `rows` rows and `bytes` bytes is cut that is joined with itself block by block: as many
+    as keep a block under `most` rows and `task` bytes, and up to 8 (from 256 rows each) so that several tasks share it.
+    What is shuffled, the group times its blocks, grows as the group until that fills 8 blocks."""
+    spread = F.least(F.lit(8), F.ceil(F.col("rows") / 256))
+    return F.greatest(spread, F.ceil(F.col("rows") / most), F.ceil(F.col("bytes") / task)).cast("int")

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, kept, shared_dir, stash, text_batches
+from .common import TOGETHER, Files, Sent, by_value, fill_folder, kept, mapped, new_folder, stash, write_arrays
 
 by_value(__name__)
 
@@ -90,11 +87,17 @@ def _summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     numbers = kept(("model words",), WordNumbers)
-    for batch in batches:
-        words, counts = np.unique(tokens(batch["text"], numbers)[0], return_counts=True)
+    for texts in _together(batches):
+        words, counts = np.unique(tokens(texts, numbers)[0], return_counts=True)
         yield pd.DataFrame({"word": words.astype(np.int64), "count": counts})
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch["text"].iloc[at : at + TOGETHER]
+
+
 def _pair_blobs(hot: np.ndarray, buckets: int):
     """Pairs counted in a task, as one row for each bucket: runs of a context (number, length), then what follows and how often."""
 
@@ -118,8 +121,8 @@ def _pair_blobs(hot: np.ndarray, buckets: int):
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, parts, held = kept(("model words",), WordNumbers), [], 0
-        for batch in batches:
-            words, sizes = tokens(batch["text"], numbers)
+        for texts in _together(batches):
+            words, sizes = tokens(texts, numbers)
             a = contexts(words, sizes)
             key, at, n = np.unique(pair_key(a, words), return_index=True, return_counts=True)
             parts.append((key, n, a[at], words[at]))
@@ -144,46 +147,6 @@ def _open_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(map(np.concatenate, (a, b, n)))
 
 
-def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Arrays one after another in a file of the shared folder; a task that runs again writes the same bytes and takes the name last."""
-    local = _local(folder)
-    if local is not None:
-        part = f"{local}/.{name}-{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
-            for x in arrays:
-                out.write(np.ascontiguousarray(x).tobytes())
-        os.replace(part, f"{local}/{name}")
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        with store.open_output_stream(f"{path}/{name}") as out:
-            for x in arrays:
-                out.write(np.ascontiguousarray(x).tobytes())
-
-
-def _local(folder: str) -> str | None:
-    u = urlparse(folder)
-    return u.path if u.scheme in ("", "file") else None
-
-
-def _bytes(folder: str, name: str) -> np.ndarray:
-    """A model file, memory-mapped; from a store that isn't mounted it is first copied to the worker's temporary folder."""
-    local = _local(folder)
-    if local is None:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{path}/{name}") as src, tempfile.NamedTemporaryFile(delete=False) as out:
-            while piece := src.read(1 << 22):
-                out.write(piece)
-        found = np.memmap(out.name, np.uint8, "r") if os.path.getsize(out.name) else np.zeros(0, np.uint8)
-        os.unlink(out.name)  # the map stays until it is dropped
-        return found
-    path = f"{local}/{name}"
-    return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-
-
 def _store_pairs(folder: str):
     """A bucket's pairs as a file (keys of those counted once; keys and counts of the others), and what words learn from them."""
 
@@ -192,7 +155,7 @@ def _store_pairs(folder: str):
         keys, n, a, b = _summed(pair_key(a, b), n, a, b)
         once = n == 1
         head = np.array([once.sum(), (~once).sum()], "<u8")
-        _write(folder, f"pairs-{key[0]}", head, keys[once].astype("<u8"), keys[~once].astype("<u8"), n[~once].astype("<u4"))
+        write_arrays(folder, f"pairs-{key[0]}", head, keys[once].astype("<u8"), keys[~once].astype("<u8"), n[~once].astype("<u4"))
         wa, ia = np.unique(a, return_inverse=True)
         wb, ib, nb = np.unique(b, return_inverse=True, return_counts=True)
         size = len(wa)
@@ -214,7 +177,7 @@ def _store_words(folder: str):
     def store(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("word")
         columns = [rows[f].to_numpy("<u8") for f in WORD_FIELDS]
-        _write(folder, f"words-{key[0]}", rows["word"].to_numpy("<u8"), *columns)
+        write_arrays(folder, f"words-{key[0]}", rows["word"].to_numpy("<u8"), *columns)
         return pd.DataFrame({"stored": [len(rows)]})
 
     return store
@@ -224,18 +187,10 @@ class Model:
     """Where the arrays lie, and the few numbers that belong to no word. It is this that goes to the workers."""
 
     def __init__(self, folder: str, hot: np.ndarray, pair_buckets: int, word_buckets: int, total: int, distinct: int, pair_kinds: list[int], word_kinds: list[int], discounts):
-        self.folder, self.hot, self.pair_buckets, self.word_buckets = folder, hot, pair_buckets, word_buckets
+        self.hot, self.pair_buckets, self.word_buckets = hot, pair_buckets, word_buckets
         self.total, self.distinct, self.discounts = total, distinct, discounts
         self.bigrams = sum(word_kinds)
-        self.files: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"files": {}}
-
-    def _file(self, name: str) -> np.ndarray:
-        if name not in self.files:
-            self.files[name] = _bytes(self.folder, name)
-        return self.files[name]
+        self.files = Files(folder)
 
     def _by_bucket(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(at, kind="stable")
@@ -247,7 +202,7 @@ class Model:
         """The fields of distinct words; zeros for those that weren't met."""
         out = {f: np.zeros(len(w), np.int64) for f in WORD_FIELDS}
         for bucket, rows in self._by_bucket((mix(w) % np.uint64(self.word_buckets)).astype(np.int64)):
-            table = self._file(f"words-{bucket}").view("<u8").reshape(1 + len(WORD_FIELDS), -1)
+            table = self.files[f"words-{bucket}"].view("<u8").reshape(1 + len(WORD_FIELDS), -1)
             if table.shape[1]:
                 place = np.minimum(np.searchsorted(table[0], w[rows]), table.shape[1] - 1)
                 met = table[0][place] == w[rows]
@@ -259,7 +214,7 @@ class Model:
         """Counts of distinct pairs."""
         out = np.zeros(len(key), np.int64)
         for bucket, rows in self._by_bucket(bucket_of(a, key, self.hot, self.pair_buckets)):
-            raw = self._file(f"pairs-{bucket}")
+            raw = self.files[f"pairs-{bucket}"]
             if not len(raw):
                 continue
             one, many = raw[:16].view("<u8").tolist()
@@ -273,7 +228,7 @@ class Model:
                     out[rows[met]] = 1 if values is None else values[place[met]]
         return out
 
-    def score(self, texts, numbers: WordNumbers) -> pd.DataFrame:
+    def score(self, texts, numbers: WordNumbers) -> dict[str, np.ndarray]:
         words, sizes = tokens(texts, numbers)
         a = contexts(words, sizes)
         vocabulary, place = np.unique(np.r_[words, np.uint64(START)], return_inverse=True)
@@ -299,12 +254,12 @@ class Model:
         c = fields["count"][place]
         ends = np.cumsum(sizes)
         sums = lambda x: np.add.reduceat(x, ends - sizes) if len(ends) else np.zeros(0)
-        return pd.DataFrame({
+        return {
             "n_tokens": sizes,
             "n_known": sums((c > 0).astype(np.int64)),
             "base_score": sums(np.log10((c + 1) / (self.total + self.distinct + 1))),
             "score": sums(np.log10(p)),
-        })
+        }
 
 
 def discounts(kinds: list[int]) -> tuple[float, float, float]:
@@ -334,9 +289,7 @@ def train(texts: DataFrame) -> Model:
     at most 2000 frequent words come to the driver.
     """
     spark = texts.sparkSession
-    text_batches(spark, 500)
-    folder = f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
-    _make(spark, folder)
+    folder = new_folder(spark, "language-model")
     counted = texts.select("text").sample(1 / SAMPLED, seed=7).mapInPandas(_word_counts, "word long, count long")
     counted = stash(counted.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")
     guess = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
@@ -361,8 +314,8 @@ def train(texts: DataFrame) -> Model:
     e1, e2, e3 = model.discounts[1]
     model.lower_mass = (e1 * one[0] + e2 * one[1] + e3 * more) / model.bigrams if model.bigrams else 1.0
     dealt = words.where("word >= 0").withColumn("bucket", _word_bucket(word_buckets))
-    stored = dealt.groupBy("bucket").applyInPandas(_store_words(folder), "stored long").agg(F.count(F.lit(1))).first()[0]
-    _fill(spark, folder, [f"pairs-{b}" for b in range(pair_buckets)] + [f"words-{b}" for b in range(word_buckets)], stored)
+    dealt.groupBy("bucket").applyInPandas(_store_words(folder), "stored long").agg(F.count(F.lit(1))).first()
+    fill_folder(spark, folder, [f"pairs-{b}" for b in range(pair_buckets)] + [f"words-{b}" for b in range(word_buckets)])
     return model
 
 
@@ -374,35 +327,25 @@ def _word_bucket(buckets: int):
     return bucket("word")
 
 
-def _make(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-
-
-def _fill(spark: SparkSession, folder: str, names: list[str], stored: int) -> None:
-    """Buckets that nothing fell into get an empty file, so that a missing one is an error."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = {f.getPath().getName() for f in fs.listStatus(path(folder))}
-    for name in names:
-        if name not in there:
-            fs.create(path(f"{folder}/{name}")).close()
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every whole text."""
-    text_batches(docs.sparkSession, 500)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every whole text.
+
+    A null text is empty, and an empty one has its end alone. Repeated rows give repeated results; a null doc_id stays
+    null and isn't held out; an empty table gives an empty result, and a model of an empty table one probability to all.
+    """
     sent = Sent(docs.sparkSession, model)
+    fields = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         numbers, model = kept(("model words",), WordNumbers), sent()
-        for batch in batches:
-            out = model.score(batch["text"], numbers)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
 
-    fields = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(apply, fields)
+        def apply(part: pa.RecordBatch):
+            out = model.score(part.column("text").to_pylist(), numbers)
+            return None, [out[f] for f in fields]
+
+        return apply
+
+    scored = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], fields, start)
     return scored.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -4,30 +4,35 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, components, kept, stash, text_batches
+from .common import blocks_of, by_value, components, kept, mapped, stash
 from .embedding_dedup import spanning
 
 by_value(__name__)
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Tokens that a set samples at a node of the tree, on average; buckets of up to so many sets are compared pair by pair.
-BRANCH, SMALL = 2.0, 32
-#: A bucket that keeps this share of its sets in one branch is dense: splitting it further would only repeat it.
-DENSE = 0.5
-#: Least hashes in a sketch, of two bits each, and how many may differ: at a similarity of 0.8 it is 9.6 on average, and 26
-#: is 5.7 deviations more.
-SKETCH, DIFFER = 64, 26
-#: Up to so many sets are looked up by a broadcast of their numbers (8 bytes each); more by a join that shuffles the texts.
-LOOKED_UP = 1_000_000
-#: Sets compared at once in a dense bucket.
-BLOCK = 512
+#: Paths that a pair at the threshold goes on to share from a node of the tree, on average (at least): over 1, or it would be
+#: lost on the way down. A set samples SHARED / threshold of its tokens at a node.
+SHARED = 1.6
+#: Buckets of up to so many sets are compared pair by pair.
+SMALL = 32
+#: Least hashes in a sketch, of two bits each.
+SKETCH = 64
+#: The tree ends here: what is still large is compared whole. Buckets whose sets are unlike shrink from level to level, by
+#: SHARED / threshold times the share of tokens that two of their sets have in common, so few come this far.
+DEEPEST = 8
+#: Up to so many sets are looked up by a broadcast of some 100 bytes each; more by a join that shuffles the texts.
+LOOKED_UP = 500_000
+#: Sets compared at once in a block of a dense bucket.
+BLOCK = 4096
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,14 +65,31 @@ def shingles(text: str | None, hashes: WordHashes, width: int = SHINGLE) -> np.n
     return np.unique(h)
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH) -> int:
-    """Repetitions after which a pair at the threshold has shared a path with the wanted chance.
+def dies_out(mean: float = SHARED) -> float:
+    """The chance that what a pair shares below a node comes to an end, of a tree that branches by Poisson's law."""
+    q = 0.0
+    for _ in range(200):
+        q = math.exp(mean * (q - 1))
+    return q
+
+
+def runs_for(recall: float) -> int:
+    """Repetitions after which a pair at the threshold shares a bucket at every depth with the wanted chance.
 
     Sets x and y choose a token of both with chance branch / max(|x|, |y|), so they share branch * |x & y| / max(|x|, |y|)
-    of them a run on average, which is at least branch * threshold, and none with the chance exp(-that). A dense or
-    deeper bucket can lose a pair once more, for which two runs are added.
+    of them at a node on average, which is at least SHARED. In all runs together the paths that lead on for ever number
+    runs * SHARED * (1 - dies_out) on average, and none is there with the chance exp(-that).
     """
-    return math.ceil(-math.log(1 - recall) / (branch * threshold)) + 2
+    return math.ceil(-math.log(1 - recall) / (SHARED * (1 - dies_out())))
+
+
+def differ_for(threshold: float, lost: float = 1e-8) -> int:
+    """Codes of a sketch in which a pair at the threshold differs at most, but for the chance `lost`. Codes differ with the
+    chance 3/4 * (1 - threshold) each."""
+    p, tail, k = 0.75 * (1 - threshold), 0.0, SKETCH
+    while k > 0 and tail + (now := math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) <= lost:
+        tail, k = tail + now, k - 1
+    return k
 
 
 _FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * _G) | np.uint64(1)
@@ -92,37 +114,69 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((bits << np.arange(0, 2 * SKETCH, 2, dtype=np.uint64) % np.uint64(64)).reshape(-1, 32), axis=1).view(np.int64)
 
 
-def _paths(width: int, runs: int, branch: float):
-    """Each set with its paths of length one (in all runs), those of length two with the place of the first, and its sketch."""
+def _key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _paths(width: int, runs: int, branch: float) -> Callable:
+    """Each set's key and size, its paths of length one (in all runs), those of length two with the place of the first, and its sketch."""
     roots = np.arange(1, runs + 1, dtype=np.uint64)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hashes = kept(("shingle words",), WordHashes)
-        for batch in batches:
+
+        def make(part: pa.RecordBatch):
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in part.column("text").to_pylist():
                 s = shingles(text, hashes, width)
-                if len(s):
-                    paths = np.unique(choose(s, roots, branch)[1])
-                    at, kids = choose(s, paths, branch)
-                    rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), paths.view(np.int64), at.astype(np.int32), kids.view(np.int64), *sketch(s).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "paths", "at", "kids", "s0", "s1"])
+                if not len(s):
+                    rows.append((None,) * 7)
+                    continue
+                paths = np.unique(choose(s, roots, branch)[1])
+                at, kids = choose(s, paths, branch)
+                rows.append((_key(s), len(s), paths.view(np.int64), at.astype(np.int32), kids.view(np.int64), *sketch(s).tolist()))
+            return None, list(zip(*rows, strict=True)) or [[]] * 7
+
+        return make
 
-    return first
+    return start
 
 
-def _sets(width: int):
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(width: int) -> Callable:
+    """Tokens of the texts whose set has the key; another text with the same mark goes."""
+
+    def start():
         hashes = kept(("shingle words",), WordHashes)
-        for batch in batches:
-            rows = []
-            for rep, key, text in zip(batch["rep"], batch["key"], batch["text"], strict=True):
+
+        def make(part: pa.RecordBatch):
+            places, found = [], []
+            for i, (key, text) in enumerate(zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True)):
                 s = shingles(text, hashes, width)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:
-                    rows.append((rep, s.tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "tokens"])
+                if _key(s) == key:
+                    places.append(i)
+                    found.append(s.tobytes())
+            return places, [found]
+
+        return make
 
-    return again
+    return start
+
+
+def _children(branch: float) -> Callable:
+    """The paths below given nodes of each set."""
+
+    def start():
+        def make(part: pa.RecordBatch):
+            places, found = [], []
+            for i, (nodes, tokens) in enumerate(zip(part.column("nodes").to_pylist(), part.column("tokens").to_pylist(), strict=True)):
+                kids = np.unique(choose(np.frombuffer(tokens, np.uint64), np.array(nodes, np.int64).view(np.uint64), branch)[1])
+                places += [i] * len(kids)
+                found.append(kids.view(np.int64))
+            return places, [np.concatenate(found) if found else []]
+
+        return make
+
+    return start
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -155,27 +209,30 @@ def alike(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -
 
 def _dense(threshold: float):
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """Links between two blocks of a dense bucket. A pair that shares several is counted in that with the least path."""
+        """Links between two blocks of a dense bucket. A pair that shares several buckets is counted in that with the least path:
+        sets are told apart by their lesser paths first, so those that share one with every other set aren't compared here."""
         path, first, second = key
         left = group[group["block"] == first].sort_values("rep")
         right = left if first == second else group[group["block"] == second].sort_values("rep")
         rows: list = []
+        if len(left) and len(right):
+            lesser = [[tuple(sorted(p for p in paths if p < path)) for paths in side["parts"]] for side in (left, right)]
+            kinds = {k: i for i, k in enumerate({k for side in lesser for k in side})}
+            number = {p: i for i, p in enumerate({p for k in kinds for p in k})}
+            marks = np.zeros((len(kinds), len(number) + 1), np.float32)
+            for k, i in kinds.items():
+                marks[i, [number[p] for p in k]] = 1
+            apart = marks @ marks.T == 0
+            kind = [np.array([kinds[k] for k in side]) for side in lesser]
+            there = [np.isin(np.arange(len(kinds)), k) for k in kind]
+            left, right = left[apart[:, there[1]].any(1)[kind[0]]], right[apart[:, there[0]].any(1)[kind[1]]]
+            kind = [k[apart[:, t].any(1)[k]] for k, t in zip(kind, there[::-1], strict=True)]
         if len(left) and len(right):
             sets = [[np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (left, right)]
             size = [np.array([len(s) for s in side]) for side in sets]
-            match = alike(shared(*sets), *size, threshold)
+            match = alike(shared(*sets), *size, threshold) & apart[kind[0]][:, kind[1]]
             if first == second:
                 np.fill_diagonal(match, False)
-            before = [[[p for p in paths if p < path] for paths in side["parts"]] for side in (left, right)]
-            number = {p: i for i, p in enumerate({p for side in before for ps in side for p in ps})}
-            if number:
-                marks = []
-                for side in before:
-                    x = np.zeros((len(side), len(number)), np.float32)
-                    for i, ps in enumerate(side):
-                        x[i, [number[p] for p in ps]] = 1
-                    marks.append(x)
-                match &= marks[0] @ marks[1].T == 0
             ids, others = left["rep"].to_numpy(), right["rep"].to_numpy()
             rows = [(r, int(w), int(n), None) for r, w, n in zip(ids, match @ right["size"].to_numpy(), match.sum(1), strict=True) if n]
             if first != second:
@@ -199,47 +256,89 @@ def _verify(threshold: float):
     return check
 
 
+class _Join:
+    """One join: the distinct sets, numbered, and the tables that the steps share."""
+
+    def __init__(self, docs: DataFrame, threshold: float, width: int, recall: float):
+        self.threshold, self.width, self.branch = threshold, width, SHARED / threshold
+        #: Two sets of such similarity go on to share one path from a node on average; if a bucket's are more alike, splitting it doesn't shrink it.
+        self.alike = (o := 1 / self.branch) / (2 - o)
+        self.narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+        fields = {"key": "binary", "n": "int", "paths": "array<long>", "at": "array<int>", "kids": "array<long>", "s0": "long", "s1": "long"}
+        self.sets = stash(mapped(self.narrow, ["doc_id", "mark"], fields, _paths(width, runs_for(recall), self.branch)), "sets")
+        one = F.first(F.struct("n", "paths", "at", "kids", "s0", "s1")).alias("one")  # alike in all rows of a key
+        where = F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "mark")).alias("where")
+        reps = self.sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), where, one)
+        reps = reps.select(F.monotonically_increasing_id().alias("rep"), "key", "least", "size", "where", "one.*")
+        self.reps = stash(reps, "set-reps")  # the numbers hold from here on, since only the written table is read
+
+    def buckets(self) -> tuple[DataFrame, DataFrame]:
+        """Memberships (path, rep) of small buckets, and of dense ones."""
+        level, small, dense, tokens = self.reps.select("rep", F.explode("paths").alias("path")), [], [], None
+        for depth in range(1, DEEPEST + 1):
+            few, large = _by_size(level)
+            small.append(few)
+            thick, sparse = self._by_likeness(large) if depth < DEEPEST else (large, None)
+            dense.append(thick)
+            if sparse is None or sparse.isEmpty():
+                break
+            if depth == 1:
+                level = self._second(sparse)
+            else:
+                tokens = self.tokens(sparse.select("rep").distinct()) if tokens is None else tokens
+                nodes = sparse.groupBy("rep").agg(F.collect_set("path").alias("nodes"))
+                level = mapped(nodes.join(tokens, "rep"), ["rep"], {"path": "long"}, _children(self.branch))
+        return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense)
+
+    def _second(self, sparse: DataFrame) -> DataFrame:
+        nodes = stash(sparse.select(F.col("path").alias("node")).distinct(), "nodes")
+        kids = self.reps.select("rep", "paths", F.explode(F.arrays_zip("at", "kids")).alias("k"))
+        kids = kids.select("rep", F.get("paths", F.col("k.at")).alias("parent"), F.col("k.kids").alias("path"))
+        nodes = F.broadcast(nodes) if nodes.count() <= LOOKED_UP else nodes
+        return kids.join(nodes, F.col("parent") == F.col("node")).select("rep", "path")
+
+    def _by_likeness(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Memberships of large buckets whose sets are alike on average, by the sketches of four of them against all, and of the others."""
+        rows = large.join(self.reps.select("rep", "s0", "s1"), "rep")
+        probes = rows.groupBy("path").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "s0", "s1")).alias(f"p{k}") for k in range(4)])
+        apart = reduce(lambda a, b: a + b, [differing(F.col("s0"), F.col("s1"), F.col(f"p{k}.s0"), F.col(f"p{k}.s1")) for k in range(4)])
+        told = rows.join(probes, "path").groupBy("path").agg((F.avg(apart) / (4 * SKETCH)).alias("apart"))
+        told = stash(told.select(F.col("path").alias("told"), (1 - F.col("apart") / 0.75 >= self.alike).alias("thick")), "likeness")
+        split = stash(large.join(told, F.col("path") == F.col("told")).select("path", "rep", "thick"), "large")
+        return split.where("thick").select("path", "rep"), split.where("not thick").select("path", "rep")
+
+    def tokens(self, wanted: DataFrame) -> DataFrame:
+        """(rep, tokens) of some sets, from a text of each: looked up by its document and hash, held against the set's key."""
+        wanted = stash(wanted, "wanted")
+        found = self.reps.join(wanted, "rep", "left_semi").select("rep", "key", F.col("where.doc_id").alias("_d"), F.col("where.mark").alias("_m"))
+        found = F.broadcast(found) if wanted.count() <= LOOKED_UP else found
+        rows = self.narrow.join(found, (F.col("mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("rep", "key", "text")
+        got = stash(mapped(rows, ["rep"], {"tokens": "binary"}, _sets(self.width)), "tokens")
+        twice = not got.groupBy("rep").count().where("count > 1").isEmpty()  # a row that stands twice
+        return stash(got.groupBy("rep").agg(F.first("tokens").alias("tokens")), "tokens") if twice else got
+
+
 def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """One row for each document: doc_id, class_id (least doc_id of its group), n_links (documents linked directly),
     n_texts (different texts linked), kept (doc_id = class_id).
 
     Documents with equal shingle sets are one set with a size. In each run a set samples tokens by hashes that all sets
     share; sets that sampled the same token meet in a bucket. Buckets of at most SMALL sets are compared pair by pair
-    (sizes, then sketches, then the sets themselves); larger ones are split again on tokens sampled afresh. Buckets
-    that splitting doesn't thin out, or that stay large, are compared whole, in blocks that return counts and spanning
-    links. Every link is verified on the whole sets; a pair at the threshold is missed with a chance of about
-    1 - recall. Null and empty texts have no shingles and link with nothing, not even with one another; a document
-    whose doc_id stands twice is linked through either text. An empty table gives an empty result.
+    (sizes, then sketches, then the sets themselves); larger ones are split again on tokens sampled afresh, until they
+    are small. Buckets whose sets are so much alike that splitting can't part them (groups of near copies) are compared
+    whole, in blocks that return counts and spanning links. Every link is verified on the whole sets; a pair at the
+    threshold is missed with a chance of about 1 - recall.
+
+    Null and empty texts have no shingles and link with nothing, not even with one another. Rows that repeat are linked
+    like copies; a doc_id that stands twice has a row for each text. A null doc_id counts in no least one and is kept.
+    An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = "doc_id long, key binary, n int, paths array<long>, at array<int>, kids array<long>, s0 long, s1 long"
-    sets = stash(narrow.mapInPandas(_paths(width, runs_for(recall, threshold), BRANCH), fields), "sets")
-    one = F.first(F.struct("n", "paths", "at", "kids", "s0", "s1")).alias("one")  # alike in all rows of a key
-    reps = sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), one).select("key", "rep", "size", "one.*")
-    reps = stash(reps, "set-reps")
-
-    small, large = _by_size(reps.select("rep", F.explode("paths").alias("path")))
-    kids = reps.select("rep", "paths", F.explode(F.arrays_zip("at", "kids")).alias("k"))
-    kids = kids.select("rep", F.get("paths", F.col("k.at")).alias("parent"), F.col("k.kids").alias("path"))
-    sizes = large.groupBy("path").agg(F.count(F.lit(1)).alias("all"))
-    deeper = kids.join(sizes, F.col("parent") == sizes["path"]).select("rep", "parent", kids["path"], "all")
-    deeper = stash(deeper, "deeper")
-    most = deeper.groupBy("parent", "path", "all").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max(F.col("c") / F.col("all")).alias("share"))
-    thick = stash(most.where(F.col("share") > DENSE).select(F.col("parent").alias("thick")), "thick")
-    few, still = _by_size(deeper.join(thick, F.col("parent") == F.col("thick"), "left_anti").select("rep", "path"))
-    dense = large.join(thick, F.col("path") == F.col("thick"), "left_semi").select("path", "rep").unionByName(still)
-
-    parts = dense.groupBy("rep").agg(F.collect_set("path").alias("parts"))
-    parts = stash(parts, "parts")
-    pairs = stash(_small_pairs(small.unionByName(few), reps.select("rep", "n", "s0", "s1"), parts, threshold), "pairs")
-    needed = stash(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(parts.select("rep")).distinct(), "needed")
-    keyed = reps.select("rep", "key").join(needed, "rep", "left_semi")
-    keyed = F.broadcast(keyed) if needed.count() <= LOOKED_UP else keyed
-    tokens = stash(narrow.join(keyed, narrow["doc_id"] == keyed["rep"]).select("rep", "key", "text").mapInPandas(_sets(width), "rep long, tokens binary"), "tokens")
-    tokens = tokens.groupBy("rep").agg(F.first("tokens").alias("tokens")) if _repeats(tokens) else tokens
-
+    join = _Join(docs, threshold, width, recall)
+    reps = join.reps
+    small, dense = join.buckets()
+    parts = stash(dense.groupBy("rep").agg(F.collect_set("path").alias("parts")), "parts")
+    pairs = stash(_small_pairs(small, reps.select("rep", "n", "s0", "s1"), parts, threshold), "pairs")
+    tokens = join.tokens(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(parts.select("rep")).distinct())
     weight = reps.select("rep", "size")
     links = _dense_links(parts, tokens, weight, threshold)
     found = (
@@ -258,7 +357,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SH
     counts = counts.unionByName(links.select("rep", "docs", "texts"))
     edges = found.select("a", "b").unionByName(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = counts.groupBy("rep").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts")).withColumnRenamed("rep", "_r")
-    roots = components(edges)
+    roots = stash(components(edges).join(reps.select(F.col("rep").alias("v"), "least"), "v"), "roots")
+    roots = roots.join(roots.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("v", "class_id")
     of_set = (
         reps.join(counts, F.col("rep") == F.col("_r"), "left")
         .join(roots, F.col("rep") == F.col("v"), "left")
@@ -266,19 +366,16 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = SH
             "key",
             (F.coalesce("docs", F.lit(0)) + F.col("size") - 1).alias("n_links"),
             F.coalesce("texts", F.lit(0)).alias("n_texts"),
-            F.coalesce("component", "rep").alias("class_id"),
+            F.coalesce("class_id", "least").alias("class_id"),
         )
     )
-    linked = sets.select("doc_id", "key").join(of_set, "key").groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("n_texts").alias("n_texts")
-    )
-    zero = F.lit(0).cast("long")
-    return narrow.select("doc_id").join(linked, "doc_id", "left").select(
+    zero, least = F.lit(0).cast("long"), F.coalesce("class_id", "doc_id")
+    return join.sets.select("doc_id", "key").join(of_set, "key", "left").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        least.alias("class_id"),
         F.coalesce("n_links", zero).alias("n_links"),
         F.coalesce("n_texts", zero).alias("n_texts"),
-        (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"),
+        F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"),
     )
 
 
@@ -289,30 +386,31 @@ def _by_size(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.where(F.col("c") <= SMALL).select("path", "rep"), met.where(F.col("c") > SMALL).select("path", "rep")
 
 
-def _repeats(tokens: DataFrame) -> bool:
-    """Whether a document that stands for a set is there twice, with the same text."""
-    return not tokens.groupBy("rep").count().where("count > 1").isEmpty()
+def differing(s0: F.Column, s1: F.Column, t0: F.Column, t1: F.Column) -> F.Column:
+    """Codes in which two sketches differ."""
+    even, out = F.lit(0x5555555555555555), F.lit(0)
+    for a, b in ((s0, t0), (s1, t1)):
+        x = a.bitwiseXOR(b)
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
+    return out
 
 
 def _small_pairs(small: DataFrame, light: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a < b) of small buckets whose sizes and sketches allow the threshold, without those that dense buckets count."""
     rows = small.join(light.join(parts, "rep", "left"), "rep")
     other = rows.select("path", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "path"])
-    even = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for s in ("s0", "s1"):
-        x = F.col(s).bitwiseXOR(F.col(f"{s}_"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
-    fits = (F.least("n", "n_") >= F.greatest("n", "n_") * (threshold - 1e-9)) & (differ <= DIFFER)
+    near = differing(F.col("s0"), F.col("s1"), F.col("s0_"), F.col("s1_")) <= differ_for(threshold)
+    fits = (F.least("n", "n_") >= F.greatest("n", "n_") * (threshold - 1e-9)) & near
     apart = ~F.coalesce(F.arrays_overlap("parts", "parts_"), F.lit(False))
     return rows.join(other, "path").where((F.col("rep") < F.col("rep_")) & fits & apart).select(F.col("rep").alias("a"), F.col("rep_").alias("b")).distinct()
 
 
 def _dense_links(parts: DataFrame, tokens: DataFrame, weight: DataFrame, threshold: float) -> DataFrame:
     """Counts and spanning links of the dense buckets. parts: all dense buckets of each set."""
+    sizes = tokens.select("rep", F.octet_length("tokens").alias("b"))
     member = parts.select("rep", "parts", F.explode("parts").alias("path"))
-    blocks = member.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = member.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    shape = member.join(sizes, "rep").groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes"))
+    member = member.join(shape.select("path", blocks_of(BLOCK).alias("blocks")), "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "path", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "rep", "parts"
     )
@@ -322,6 +420,9 @@ def _dense_links(parts: DataFrame, tokens: DataFrame, weight: DataFrame, thresho
 
 
 def one_of_each(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """documents without those that are kept out: of each group the one with the least doc_id stays, and all without a doc_id."""
-    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """documents without those that are kept out: of each group the one with the least doc_id stays, and all without a doc_id.
+
+    Rows that share a doc_id are one document: they stay if one of them does. Null and empty texts stay; columns are untouched.
+    """
+    gone = links.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("not _kept")
+    return docs.join(gone.select("_gone"), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -6,11 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, kept, ranked, stash, text_batches
+from .common import by_value, kept, mapped, ranked, stash
 
 by_value(__name__)
 
@@ -131,25 +131,30 @@ class ChunkIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Each document's ids and the end id, cut into whole windows and a rest: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
-    text_batches(docs.sparkSession)
+    """Each document's ids and the end id, cut into whole windows and a rest: doc_id, start, length, ids_crc32, doc_tokens (and ids).
+
+    A null text is empty and has the end id alone; a null doc_id stays null.
+    """
     end = np.array([end_id], "<u4").tobytes()
+    fields = dict.fromkeys(["start", "length", "ids_crc32", "doc_tokens"], "long") | ({"ids": "binary"} if keep_ids else {})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         words = kept(("chunk ids", tokenizer), lambda: ChunkIds(tokenizer))
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], words.of(list(batch["text"])), strict=True):
+
+        def cut(part: pa.RecordBatch):
+            places, rows = [], []
+            for place, ids in enumerate(words.of(part.column("text").to_pylist())):
                 ids += end
                 n = len(ids) // 4
-                for start in range(0, n, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, piece)[: 6 if keep_ids else 5])
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                for first in range(0, n, window):
+                    piece = ids[4 * first : 4 * (first + window)]
+                    places.append(place)
+                    rows.append((first, len(piece) // 4, zlib.crc32(piece), n, piece)[: len(fields)])
+            return places, list(zip(*rows, strict=True)) or [[]] * len(fields)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+        return cut
+
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], fields, start)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -157,22 +162,24 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Only the histogram of lengths (at most `window` numbers) comes to the driver. A piece's rank among those of its
     length tells its window and place. Pieces must be a written table, since they are read three times. Repeated rows
-    are packed each; an empty table gives an empty result; a window that isn't full is left short, not padded.
+    are packed each; an empty table gives an empty result; a window that isn't full is left short, not padded. Pieces of
+    one length are interchangeable; of fillings that are equally full the one found first, with the longest pieces, is taken.
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = np.array(sorted(plan_windows(histogram, window)), np.int64).reshape(-1, 5)
     keys = plan[:, 0] * _SCALE + plan[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch.pop("_rank").to_numpy(np.int64)
+    def start():
+        def place(part: pa.RecordBatch):
+            length, rank = (np.array(part.column(c), np.int64) for c in ("length", "_rank"))
             row = plan[np.searchsorted(keys, length * _SCALE + rank, "right") - 1]
             window_, place_ = np.divmod(rank - row[:, 1], row[:, 2])
-            yield batch.assign(sequence_id=row[:, 3] + window_, offset=row[:, 4] + place_ * length)
+            return None, [row[:, 3] + window_, row[:, 4] + place_ * length]
+
+        return place
 
-    placed = ranked(pieces, "length", ["doc_id", "start", "ids_crc32"], "_rank")
-    fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return placed.select(*pieces.columns, "_rank").mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    placed = ranked(pieces, "length", ["doc_id", "start", "ids_crc32"], "_rank").select(*pieces.columns, "_rank")
+    return mapped(placed, pieces.columns, {"sequence_id": "long", "offset": "long"}, start, 10_000)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:

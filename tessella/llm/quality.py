@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, stash, text_batches
+from .common import Sent, by_value, mapped, stash
 
 by_value(__name__)
 
@@ -54,13 +53,14 @@ def term_counts(text: str | None, columns: Columns) -> tuple[np.ndarray, np.ndar
     return cols, vals
 
 
-def _sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sparse():
     columns = Columns()
-    for batch in batches:
-        both = [term_counts(t, columns) for t in batch["text"]]
-        yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "cols": [c.astype("<u2").tobytes() for c, _ in both], "vals": [v.astype("<f4").tobytes() for _, v in both]}
-        )
+
+    def make(part: pa.RecordBatch):
+        both = [term_counts(t, columns) for t in part.column("text").to_pylist()]
+        return None, [[c.astype("<u2").tobytes() for c, _ in both], [v.astype("<f4").tobytes() for _, v in both]]
+
+    return make
 
 
 class Space:
@@ -131,13 +131,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Voters:
     """Voters from at most `sample` labelled rows that aren't held out (a documented bound; those least by a hash of doc_id).
 
-    Rows without a label are left out; a doc_id labelled twice counts once.
+    Rows without a doc_id or a label are left out; a doc_id labelled twice counts once, as good if one label says so. A
+    document that stands twice votes twice. Without labels, there are no voters.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).dropna()
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    found = stash(rows.select("doc_id", "text").mapInPandas(_sparse, "doc_id long, cols binary, vals binary"), "sparse")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    found = stash(mapped(rows.select("doc_id", "text"), ["doc_id"], {"cols": "binary", "vals": "binary"}, _sparse), "sparse")
     y = {r["_id"]: r["y"] for r in chosen.collect()}
     data = found.orderBy("doc_id").collect()
     sparse = [(np.frombuffer(r["cols"], "<u2").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(float)) for r in data]
@@ -145,14 +146,17 @@ def train_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank:
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text; an empty or null text, alike to nothing, gets the share of label 1."""
-    text_batches(docs.sparkSession)
+    """doc_id, held_out, score, predicted of every whole text.
+
+    An empty or null text, alike to nothing, gets the share of label 1 (0.5 without voters). Repeated rows give repeated
+    results; a null doc_id stays null and isn't held out; an empty table gives an empty result. Of voters that are
+    equally near to a text, and can't all be among the nearest, any may vote.
+    """
     sent = Sent(docs.sparkSession, voters)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         columns, voters = Columns(), sent()
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": voters.vote(voters.space.place(list(batch["text"]), columns))})
+        return lambda part: (None, [voters.vote(voters.space.place(part.column("text").to_pylist(), columns))])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(predict, "doc_id long, score double")
+    scored = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], {"score": "double"}, start)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

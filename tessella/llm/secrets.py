@@ -5,13 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, kept, text_batches
+from .common import by_value, kept, mapped
 
 by_value(__name__)
 
@@ -34,7 +34,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs
 WORD = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Known digests (md5 to sha-512, UUIDs) and identifiers (numbers, and readable words joined by signs) are no secrets of themselves.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
-IDENTIFIER = re.compile(r"[0-9+/_=-]+\Z|(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8})[+/_=-]+)*(?:[A-Za-z]?[a-z]+|[A-Z]+)?[0-9]{0,8}[+/_=-]*\Z")
+SIGNS = re.compile(r"[+/_=-]+")
+PIECE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
+LAST_PIECE = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)?[0-9]{0,8}")
+
+
+def identifier(word: str) -> bool:
+    """Numbers, or readable pieces joined by signs: words, capitals, up to 8 digits, which the last piece may have after letters."""
+    pieces = [p for p in SIGNS.split(word) if p]
+    if all(p.isdigit() for p in pieces):
+        return True
+    return all(map(PIECE.fullmatch, pieces[:-1])) and LAST_PIECE.fullmatch(pieces[-1]) is not None
 
 
 class Efficiency:
@@ -48,7 +58,7 @@ class Efficiency:
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def random(self, word: str) -> bool:
-        if DIGEST.match(word) or IDENTIFIER.match(word):
+        if DIGEST.match(word) or identifier(word):
             return False
         if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
             return False
@@ -65,10 +75,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def dense_spans(text: str, test: Efficiency, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of random strings outside the spans that are known already."""
-    out = []
+    """(start, kind, end) of random strings outside the spans that are known already, which stand in order."""
+    starts, ends, out = [], [], []  # of the stretches that the known spans cover
+    for s, _, e in known:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in WORD.finditer(text):
-        inside = any(s < m.end() and m.start() < e for s, _, e in known)
+        k = bisect_right(ends, m.start())
+        inside = k < len(starts) and starts[k] < m.end()
         if not inside and test.random(m[0]):
             out.append((m.start(), 3, m.end()))
     return out
@@ -82,24 +99,27 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, base (spans of the patterns), spans (those and the random strings), both as kind:start:end in code points, and redacted.
 
     Every whole text is scanned where it is read; nothing is shuffled. A null or empty text has no spans; repeated
-    rows give repeated results. `redacted` is the text with each stretch of spans replaced by one mark, null where
-    nothing was found.
+    rows give repeated results, a null doc_id stays null, an empty table gives an empty result. `redacted` is the text
+    with each stretch of spans replaced by one mark, null where nothing was found.
     """
-    text_batches(docs.sparkSession)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         test = kept(("efficiency", vocabulary), lambda: Efficiency(vocabulary, pattern))
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
+
+        def scan(part: pa.RecordBatch):
+            columns: tuple[list, list, list] = [], [], []
+            for text in part.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 spans = sorted(base + dense_spans(text, test, base))
-                rows.append((_joined(base), _joined(spans), redact(text, spans) if spans else None))
-            found = pd.DataFrame(rows, columns=["base", "spans", "redacted"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), found], axis=1)
+                for column, value in zip(columns, (_joined(base), _joined(spans), redact(text, spans) if spans else None), strict=True):
+                    column.append(value)
+            return None, columns
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, "doc_id long, base string, spans string, redacted string")
+        return scan
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mapped(rows, ["doc_id"], {"base": "string", "spans": "string", "redacted": "string"}, start)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -120,26 +140,35 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """documents with secrets masked and n_chars brought up to date; every document stays, in one pass without a join."""
-    text_batches(docs.sparkSession)
-
-    def mask(batches):
-        import pyarrow as pa
+    """documents with secrets masked and n_chars (if it is there) brought up to date; every row stays, in one pass without a join.
 
+    Null and empty texts, nulls in other columns, repeated rows and other columns stay as they are; an empty table stays empty.
+    """
+    name = "_masked"
+    while name in docs.columns:
+        name = "_" + name
+    found, masked = mapped(docs, docs.columns, {name: "string"}, _masker(vocabulary, pattern)), F.col(name)
+    new = {"text": F.coalesce(masked, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(masked.isNotNull(), F.length(masked)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return found.withColumns(new).drop(name)
+
+
+def _masker(vocabulary: str, pattern: str):
+    def start():
         test = kept(("efficiency", vocabulary), lambda: Efficiency(vocabulary, pattern))
-        for batch in batches:
-            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            for i, text in enumerate(texts):
+
+        def mask(part: pa.RecordBatch):
+            out = []
+            for text in part.column("text").to_pylist():
                 base = base_spans(text or "")
-                if spans := sorted(base + dense_spans(text or "", test, base)):
-                    texts[i] = redact(text, spans)
-                    sizes[i] = len(texts[i])
-            for name, values in (("text", texts), ("n_chars", sizes)):
-                at = batch.schema.get_field_index(name)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
-            yield batch
-
-    return docs.mapInArrow(mask, docs.schema)
+                spans = sorted(base + dense_spans(text or "", test, base))
+                out.append(redact(text, spans) if spans else None)
+            return None, [out]
+
+        return mask
+
+    return start
 
 
 def sha256_of(spans: str) -> str:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ranked, stash
 
@@ -46,46 +45,51 @@ def curve_table(dims: int, bits: int) -> list[int]:
     return [hilbert_index(tuple(c >> bits * (dims - 1 - d) & side - 1 for d in range(dims)), bits) for c in range(side**dims)]
 
 
-def _codes(df: DataFrame, dims: list[str]) -> DataFrame:
-    """An order-preserving number for each dimension: numbers as they are; of strings the three characters after the prefix that all share."""
-    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
-    ends = df.agg(*[f(d).alias(f"{n}_{d}") for d in texts for n, f in (("lo", F.min), ("hi", F.max))] or [F.lit(0)]).first()
+def quantile_bounds(df: DataFrame, dims: list[str], bins: int, blocks: int = 256) -> dict[str, list]:
+    """For each dimension the values at which its bins begin: value v is in bin floor(bins * rows below v / all rows).
+
+    Exact for numbers and strings alike: rows are counted by value, values are ranked in ranges cut at a few of them
+    (those least by a hash), and the ranges' offsets are running sums, so that no task holds all values of a dimension.
+    Only the bounds come to the driver. Nulls are below all values.
+    """
+    out = {}
     for d in dims:
-        if d in texts:
-            lo, hi = ends[f"lo_{d}"] or "", ends[f"hi_{d}"] or ""
-            same = next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))
-            digit = [F.least(F.ascii(F.substring(d, same + 1 + i, 1)), F.lit(1023)) * 1024 ** (2 - i) for i in range(3)]
-            code = digit[0] + digit[1] + digit[2]
-        else:
-            code = F.col(d).cast("double")
-        df = df.withColumn(f"_code_{d}", F.coalesce(code.cast("double"), F.lit(-1.0)))
-    return df
+        v = F.col("v")
+        counts = stash(df.groupBy(F.col(d).alias("v")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+        cuts = [r["v"] for r in counts.where(v.isNotNull()).orderBy(F.xxhash64("v"), "v").limit(blocks).collect()]
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(cuts)]), lambda c: c <= v)) if cuts else F.lit(0)
+        dealt = counts.withColumn("block", F.when(v.isNull(), -1).otherwise(at))
+        before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        total = Window.partitionBy()
+        offsets = dealt.groupBy("block").agg(F.sum("n").alias("m"))
+        offsets = offsets.select("block", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"), F.sum("m").over(total).alias("all"))
+        inside = Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        below = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+        placed = dealt.join(F.broadcast(offsets), "block").withColumn("bin", F.floor(below * bins / F.col("all")))
+        first = placed.where(v.isNotNull()).groupBy("bin").agg(F.min("v").alias("v"))
+        out[d] = [r["v"] for r in first.where("bin > 0").collect()]
+    return out
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, ties: list[str], bits: int = BITS) -> DataFrame:
     """Adds cell (curve index), shard (0 to shards - 1) and slot (0-based place in the shard).
 
-    Each dimension is cut into 2**bits bins at its own quantiles (values that fill several bins share the lowest bin
-    whose bound they reach), a cell's place comes from the Hilbert curve, and row number r of n in that order goes to
-    shard floor(r * shards / n): counts differ by one at most. Rows of a cell lie in the order of a hash of `ties`,
-    so a cell with a third of all rows is ranked in many tasks. Nulls count below all values. An empty table gives
-    an empty result; repeated rows get places of their own; other columns pass through.
+    Each dimension is cut into 2**bits bins at its own quantiles (equal values share a bin, so that one may hold more
+    than its part), a cell's place comes from the Hilbert curve, and row number r of n in that order goes to shard
+    floor(r * shards / n): counts differ by one at most. Rows of a cell lie in the order of a hash of `ties`, so a cell
+    with a third of all rows is ranked in many tasks. Nulls count below all values. An empty table gives an empty
+    result; repeated rows get places of their own; other columns pass through.
     df is read several times: pass a narrow, written table.
     """
     if bits * len(dims) > 15:
         raise ValueError("the grid may have 2**15 cells at most")
     side = 1 << bits
-    coded = _codes(df, dims)
-    steps = F.array(*[F.lit(i / side) for i in range(1, side)])
-    cuts = coded.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"_code_{d}", steps, 10_000).alias(d) for d in dims]).first()
-    n = cuts["n"]
+    bounds, n = quantile_bounds(df, dims, side), df.count()
     cell = F.lit(0)
     for d in dims:
-        bounds = sorted(set(cuts[d] or []))
-        bin_ = sum((F.col(f"_code_{d}") >= F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0)
-        cell = cell * side + bin_
+        cell = cell * side + sum(((F.coalesce(F.col(d) >= F.lit(b), F.lit(False))).cast("int") for b in bounds[d]), F.lit(0))
     places = F.expr(f"array({','.join(map(str, curve_table(len(dims), bits)))})")
-    placed = coded.withColumn("cell", F.element_at(places, cell + 1)).drop(*[f"_code_{d}" for d in dims])
+    placed = df.withColumn("cell", F.element_at(places, cell + 1))
     placed = ranked(placed, "cell", ties, "_rank", across=True)
     shard = F.expr(f"_rank * {shards} div {max(n, 1)}")
     return (

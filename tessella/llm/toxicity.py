@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, filter_texts, stash, text_batches
+from .common import Sent, by_value, filter_texts, mapped, stash
 
 by_value(__name__)
 
-#: At most so many labelled rows are learned from (the driver fits on them), and so many terms kept for each category.
+#: At most so many labelled rows are learned from (a task holds them), and so many terms kept for each category.
 SAMPLE, TERMS, FOLDS = 20_000, 2_000, 3
 #: A term that fewer of those rows have isn't learned.
 LEAST = 5
@@ -69,22 +70,21 @@ class Chain:
         self.index, self.categories, self.models = {t: i for i, t in enumerate(vocabulary)}, categories, []
         self.vocabulary = frozenset(vocabulary)
 
-    def fit(self, found: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        """found: the numbers of each row's terms."""
+    def fit(self, found: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, each: Callable = map) -> Chain:
+        """found: the numbers of each row's terms; each: how the fits of one category, which don't need one another, are run."""
         n, width = len(found), len(self.index)
         rows = np.repeat(np.arange(n), [len(f) for f in found])
         cols = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
         earlier = np.zeros((n, 0))
         for k in range(len(self.categories)):
-            y, out = labels[:, k].astype(float), np.zeros(n)
-            for f in range(FOLDS):
-                inside, held = fold != f, np.flatnonzero(fold == f)
-                place = np.cumsum(inside) - 1
-                use = inside[rows]
-                model = Linear(width, k).fit(place[rows[use]], cols[use], earlier[inside], y[inside])
-                place = np.cumsum(~inside) - 1
-                out[held] = model.predict(place[rows[~use]], cols[~use], earlier[held])
-            self.models.append(Linear(width, k).fit(rows, cols, earlier, y))
+            jobs = Fits(width, rows, cols, earlier, labels[:, k].astype(float), fold)
+            *outside, whole = each(jobs, [*range(FOLDS), None])
+            out = np.zeros(n)
+            for f, (*_, p) in enumerate(outside):
+                out[fold == f] = p
+            model = Linear(width, k)
+            model.w, model.v, model.b = whole[0], whole[1], float(whole[2][0])
+            self.models.append(model)
             earlier = np.column_stack([earlier, out])
         return self
 
@@ -98,23 +98,55 @@ class Chain:
         return out
 
 
-def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [sorted(terms(t)) for t in batch["text"]]})
+class Fits:
+    """The fits of one category: called with a fold, the weights (of terms, of earlier categories, and the constant) that the
+    other folds teach, and what they say of this one; with None, those of all rows."""
+
+    def __init__(self, width: int, rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray):
+        self.width, self.rows, self.cols, self.earlier, self.y, self.fold = width, rows, cols, earlier, y, fold
+
+    def __call__(self, f: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        inside = np.ones(len(self.y), bool) if f is None else self.fold != f
+        use, seen, unseen = inside[self.rows], np.cumsum(inside) - 1, np.cumsum(~inside) - 1
+        model = Linear(self.width, self.earlier.shape[1]).fit(seen[self.rows[use]], self.cols[use], self.earlier[inside], self.y[inside])
+        return model.w, model.v, np.array([model.b]), model.predict(unseen[self.rows[~use]], self.cols[~use], self.earlier[~inside])
+
+
+def in_tasks(spark: SparkSession) -> Callable:
+    """A map whose calls are Spark tasks; function and results are of bounded size."""
+
+    def each(function, values: list) -> list:
+        sent = Sent(spark, (function, values))
+
+        def start():
+            f, all_ = sent()
+            return lambda part: (None, [[pickle.dumps(f(all_[i])) for i in part.column("i").to_pylist()]])
+
+        numbered = spark.range(0, len(values), 1, len(values)).select(F.col("id").alias("i"))
+        got = dict(mapped(numbered, ["i"], {"out": "binary"}, start, 1).collect())
+        return [pickle.loads(got[i]) for i in range(len(values))]
+
+    return each
+
+
+def _terms_of():
+    return lambda part: (None, [[sorted(terms(t)) for t in part.column("text").to_pylist()]])
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, width: int = TERMS) -> Chain:
     """A chain for the 0/1 columns `categories` of labels (doc_id, ...), in that order.
 
     Learns from at most `sample` labelled rows (a documented bound: those least by a hash of doc_id); rows with a null
-    category are left out, and a doc_id labelled twice counts once, with its largest labels. The terms kept are the
-    `width` of each category whose counts, taken in Spark over these rows, depend on it most by chi-square.
+    category or doc_id are left out, a doc_id labelled twice counts once, with its largest labels, and a document that
+    stands twice is learned twice. The terms kept are the `width` of each category whose counts, taken in Spark over
+    these rows, depend on it most by chi-square (the first by name of those that do so equally). Without labels every
+    probability is one half.
     """
     whole = labels.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     whole = whole.groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
     chosen = F.broadcast(whole.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
-    found = stash(rows.mapInPandas(_terms_of, "doc_id long, terms array<string>"), "terms")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    found = stash(mapped(rows, ["doc_id"], {"terms": "array<string>"}, _terms_of), "terms")
     known = {r["_id"]: [r[c] for c in categories] for r in chosen.collect()}
     n, positive = len(known), np.array(list(known.values()), float).reshape(-1, len(categories)).sum(0)
     each = found.join(chosen, F.col("doc_id") == F.col("_id")).select(F.explode("terms").alias("term"), *categories)
@@ -129,32 +161,31 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
     chain = Chain(ordered, categories)
     sent = Sent(docs.sparkSession, chain.index)
 
-    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbers():
         index = sent()
-        for batch in batches:
-            out = [np.array([index[t] for t in ts if t in index], "<i4").tobytes() for ts in batch["terms"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": out})
+        return lambda part: (None, [[np.array([index[t] for t in ts if t in index], "<i4").tobytes() for ts in part.column("terms").to_pylist()]])
 
-    data = found.mapInPandas(numbers, "doc_id long, terms binary").orderBy("doc_id").collect()
-    rows_ = [np.frombuffer(r["terms"], "<i4") for r in data]
+    data = mapped(found, ["doc_id"], {"numbers": "binary"}, numbers).orderBy("doc_id", "numbers").collect()
+    rows_ = [np.frombuffer(r["numbers"], "<i4") for r in data]
     y = np.array([known[r["doc_id"]] for r in data], float).reshape(-1, len(categories))
     fold = np.array([hash(r["doc_id"]) * 2654435761 % 2**32 % FOLDS for r in data], np.int64)
-    return chain.fit(rows_, y, fold)
+    return chain.fit(rows_, y, fold, in_tasks(docs.sparkSession))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id and p_<category> for every whole text. Null and empty texts get what the terms' absence tells; repeated rows repeat."""
-    text_batches(docs.sparkSession)
+    """doc_id and p_<category> for every whole text.
+
+    Null and empty texts get what the terms' absence tells; repeated rows repeat, a null doc_id stays null, an empty
+    table gives an empty result.
+    """
     sent = Sent(docs.sparkSession, chain)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         chain = sent()
-        for batch in batches:
-            p = chain.predict(batch["text"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {f"p_{c}": p[:, k] for k, c in enumerate(chain.categories)})
+        return lambda part: (None, list(chain.predict(part.column("text").to_pylist()).T))
 
-    fields = "".join(f", p_{c} double" for c in chain.categories)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(predict, f"doc_id long{fields}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mapped(rows, ["doc_id"], {f"p_{c}": "double" for c in chain.categories}, start)
 
 
 def label_categories(labels: DataFrame) -> DataFrame:
@@ -166,8 +197,11 @@ CATEGORIES = ["low_quality", "toxic"]
 
 
 def keep_clean(docs: DataFrame, chain: Chain, reject: float = REJECT) -> DataFrame:
-    """documents whose last category is less likely than `reject`; all columns and kept rows as they were."""
-    text_batches(docs.sparkSession)
+    """documents whose last category is less likely than `reject`; all columns and kept rows as they were.
+
+    Null and empty texts are judged by the terms' absence, like any text; repeated rows and rows without a doc_id stay
+    or go by their text; an empty table stays empty.
+    """
     sent = Sent(docs.sparkSession, chain)
 
     def start():

@@ -316,7 +316,7 @@ def test_overlap_is_found_if_any_stretch_is_one(spark):
         same = np.array([a == b for a, b in zip(item, said, strict=True)])
         every = [(int(same[a:b].sum()), a, b) for a in range(n) for b in range(a + 1, n + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
         most = max(x[0] for x in every)
-        seeds = decontamination.Seeds([(k, " ".join(item))])
+        seeds = decontamination.Seeds.of([(k, " ".join(item))])
         words, _ = decontamination.numbered([" ".join(["a", *said, "z"])], numbers)
         got = seeds.overlap(words, 0, n + 2, 0, 1)
         assert (got is not None) == (most >= 11)
@@ -432,8 +432,8 @@ def test_model_sums_to_one(spark):
     vocabulary = ["a", "b", "c", "d", "e", "unseen"]
     numbers = language_model.WordNumbers()
     for first in ("a", "b", "zz"):
-        scores = model.score([f"{first} {w}" for w in vocabulary] + [first], numbers)["score"].to_numpy()
-        ends = model.score(vocabulary, numbers)["score"].to_numpy()
+        scores = model.score([f"{first} {w}" for w in vocabulary] + [first], numbers)["score"]
+        ends = model.score(vocabulary, numbers)["score"]
         alone = dict(zip(vocabulary, ends, strict=True))
         assert np.isfinite(scores).all() and len(alone) == 6
 
