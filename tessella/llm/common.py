@@ -244,7 +244,10 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 def blocks_of(most: int, task: int = 16_000_000) -> F.Column:
     """Into how many blocks a group of `rows` rows and `bytes` bytes is cut that is joined with itself block by block: as many
-    as keep a block under `most` rows and `task` bytes, and up to 8 (from 256 rows each) so that several tasks share it.
-    What is shuffled, the group times its blocks, grows as the group until that fills 8 blocks."""
-    spread = F.least(F.lit(8), F.ceil(F.col("rows") / 256))
-    return F.greatest(spread, F.ceil(F.col("rows") / most), F.ceil(F.col("bytes") / task)).cast("int")
+    as keep a block at about `most` rows and `task` bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.col("rows") / most), F.ceil(F.col("bytes") / task)).cast("int")
+
+
+def tasks_for(groups: float) -> int:
+    """Tasks for so many groups that are small in bytes but long in work, which Spark would otherwise put together by bytes."""
+    return int(max(1, min(groups, 32_768)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sent, blocks_of, by_value, components, mapped, stash
+from .common import Sent, blocks_of, by_value, components, mapped, stash, tasks_for
 
 by_value(__name__)
 
@@ -177,12 +177,14 @@ def _join_blocks(threshold: float):
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows for each pair of blocks that is compared: homes with all blocks of their cell, guests with those of homes."""
+    """Rows for each pair of blocks that is compared, a task or more for each: homes with all blocks of their cell, guests with those of homes."""
     shape = rows.groupBy("cell").agg(
         F.count_if("home").alias("rows"), F.count_if(~F.col("home")).alias("guests"), F.sum(F.when(F.col("home"), F.octet_length("vec"))).alias("bytes")
     )
-    blocks = blocks_of(BLOCK)
+    blocks = F.greatest(blocks_of(BLOCK), F.least(F.lit(8), F.ceil(F.col("rows") / 1024))).cast("int")  # a few for more tasks than one
     shape = shape.where("rows > 0").select("cell", blocks.alias("homes"), F.ceil(F.col("guests") * blocks / F.col("rows")).cast("int").alias("visits"))
+    shape = stash(shape, "shape")
+    groups = shape.agg(F.sum(F.col("homes") * ((F.col("homes") + 1) / 2 + F.col("visits")))).first()[0] or 1
     number = F.xxhash64("rep")
     dealt = rows.join(shape, "cell").withColumn(
         "block", F.when(F.col("home"), F.pmod(number, F.col("homes"))).otherwise(F.col("homes") + F.pmod(number, F.greatest("visits", F.lit(1))))
@@ -190,7 +192,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     partner = F.when(F.col("home"), F.sequence(F.lit(0), F.col("homes") + F.col("visits") - 1)).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))
     return dealt.withColumn("other", F.explode(partner)).select(
         "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "home", "rep", "size", "vec"
-    )
+    ).repartition(tasks_for(groups), "cell", "first", "second")
 
 
 def cell_pairs(reps: DataFrame, threshold: float) -> DataFrame:

@@ -10,10 +10,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, by_value, components, kept, mapped, stash
+from .common import blocks_of, by_value, components, kept, mapped, stash, tasks_for
 from .embedding_dedup import spanning
 
 by_value(__name__)
@@ -31,8 +31,8 @@ SKETCH = 64
 DEEPEST = 8
 #: Up to so many sets are looked up by a broadcast of some 100 bytes each; more by a join that shuffles the texts.
 LOOKED_UP = 500_000
-#: Sets compared at once in a block of a dense bucket.
-BLOCK = 4096
+#: Sets compared at once in a block of a dense bucket; sets of one home have blocks of their own there if they are more than OWN.
+BLOCK, OWN = 2048, 512
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -406,19 +406,40 @@ def _small_pairs(small: DataFrame, light: DataFrame, parts: DataFrame, threshold
 
 
 def _dense_links(parts: DataFrame, tokens: DataFrame, weight: DataFrame, threshold: float) -> DataFrame:
-    """Counts and spanning links of the dense buckets. parts: all dense buckets of each set."""
+    """Counts and spanning links of the dense buckets. parts: all dense buckets of each set.
+
+    A set's home is the least of its buckets. Sets with one home meet there, and needn't in another bucket that they
+    share; so of a group of near copies, which share most of their buckets, all but one bucket compare only those few
+    that are at home elsewhere. A bucket is cut into blocks: sets of a home with many sets there have blocks of their
+    own, and all others mixed ones; two blocks are compared unless both are of one home that isn't the bucket itself.
+    """
     sizes = tokens.select("rep", F.octet_length("tokens").alias("b"))
-    member = parts.select("rep", "parts", F.explode("parts").alias("path"))
-    shape = member.join(sizes, "rep").groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes"))
-    member = member.join(shape.select("path", blocks_of(BLOCK).alias("blocks")), "path").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "path", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "rep", "parts"
-    )
-    full = paired.join(tokens.select("rep", "tokens"), "rep").join(weight, "rep")
+    member = parts.select("rep", "parts", F.array_min("parts").alias("home"), F.explode("parts").alias("path"))
+    shape = member.join(sizes, "rep").groupBy("path", "home").agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes"))
+    shape = shape.withColumn("own", F.when(F.col("rows") > OWN, F.col("home")))  # null: mixed
+    shape = shape.groupBy("path", "own").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("path").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
+    shape = shape.withColumn("blocks", blocks_of(BLOCK)).withColumn("start", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int"))
+    shape = shape.withColumn("all", F.sum("blocks").over(Window.partitionBy("path")).cast("int"))
+    shape = stash(shape.where((F.col("own").isNull()) | (F.col("own") == F.col("path")) | (F.col("all") > F.col("blocks"))), "shape")
+    homes = shape.where("own is not null").select("path", F.col("own").alias("home"), F.lit(True).alias("large"), "blocks", "start", "all")
+    mixed = shape.where("own is null").select("path", F.col("blocks").alias("m_blocks"), F.col("start").alias("m_start"), F.col("all").alias("m_all"))
+    small = member.join(_large_homes(member), ["path", "home"], "left_anti").join(mixed, "path")
+    dealt = small.select("path", "rep", "parts", "home", F.col("m_blocks").alias("blocks"), F.col("m_start").alias("start"), F.col("m_all").alias("all"), F.lit(False).alias("alone"))
+    own = member.join(homes, ["path", "home"]).select("path", "rep", "parts", "home", "blocks", "start", "all", (F.col("home") != F.col("path")).alias("alone"))
+    dealt = dealt.unionByName(own).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: ~F.col("alone") | (k < F.col("start")) | (k >= F.col("start") + F.col("blocks")))
+    paired = dealt.withColumn("with", F.explode(others)).select("path", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "rep", "parts")
+    groups = shape.select("path", "all").distinct().agg(F.sum(F.col("all") * (F.col("all") + 1) / 2)).first()[0] or 1
+    full = paired.join(tokens.select("rep", "tokens"), "rep").join(weight, "rep").repartition(tasks_for(groups), "path", "first", "second")
     found = full.groupBy("path", "first", "second").applyInPandas(_dense(threshold), "rep long, docs long, texts long, other long")
     return stash(found, "dense-links")
 
 
+def _large_homes(member: DataFrame) -> DataFrame:
+    return member.groupBy("path", "home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OWN).select("path", "home")
+
+
 def one_of_each(docs: DataFrame, links: DataFrame) -> DataFrame:
     """documents without those that are kept out: of each group the one with the least doc_id stays, and all without a doc_id.
 

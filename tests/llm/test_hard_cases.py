@@ -41,7 +41,7 @@ def test_ids_beside_nulls_stay_whole(spark, tiny, docs, labels):
     voters = quality.train_voters(docs, labels)
     model = language_model.train(df)
     found = {
-        "join": ngram_join.jaccard_links(df),
+        "join": common.stash(ngram_join.jaccard_links(df), "links"),
         "shards": sharding.document_shards(df.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")}), 2),
         "pack": packing.pack_documents(df, WORD_BPE),
         "secrets": secrets.digest(secrets.scan_secrets(df, RANKS, public_tokenizers.PATTERN)),
@@ -69,9 +69,10 @@ def test_ids_beside_nulls_stay_whole(spark, tiny, docs, labels):
 def test_a_doc_id_that_stands_twice(spark):
     other = " ".join(f"other{k}" for k in range(20))
     df = named(spark, [3, 7, 7, 7, 9], [TEXT, TEXT, other, other, other])
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.jaccard_links(df).collect())
+    links = common.stash(ngram_join.jaccard_links(df), "links")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in links.collect())
     assert got == [(3, 3, 1), (7, 3, 1), (7, 7, 2), (7, 7, 2), (9, 7, 2)]
-    kept = ngram_join.one_of_each(df, ngram_join.jaccard_links(df)).collect()
+    kept = ngram_join.one_of_each(df, links).collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 7, 7, 7]
 
 

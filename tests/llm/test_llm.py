@@ -474,9 +474,9 @@ def test_op1(spark, docs):
     everything = texts + near + sharing + [near[0]] * 40 + ODD
     df = make(spark, everything, True)
     want = brute_links(dict(enumerate(everything)))
-    got = rows(ngram_join.jaccard_links(df))
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
-    kept = ngram_join.one_of_each(df, ngram_join.jaccard_links(df))
+    links = common.stash(ngram_join.jaccard_links(df), "links")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows(links)} == want
+    kept = ngram_join.one_of_each(df, links)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, (c, _) in want.items() if c == d}
 
 
