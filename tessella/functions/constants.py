@@ -59,10 +59,14 @@ EXAMS = {
 MEASURES = {
     "bạch cầu": "bachcau",
     "bach cau": "bachcau",
+    "bachcau": "bachcau",
     "tiểu cầu": "tieucau",
     "tieu cau": "tieucau",
+    "tieucau": "tieucau",
     "hflc": "HFLC",
     "%hflc": "phantramHFLC",
+    "phần trăm hflc": "phantramHFLC",
+    "phan tram hflc": "phantramHFLC",
     "hct": "Hct",
     "hematocrit": "Hct",
     "độ tuổi": "Tuoi",
@@ -122,13 +126,103 @@ ORDER = {"common": 1, "warning": 2, "severe": 3}
 # Targets of a deployable model.
 DEPLOY = {"critical": 0, "under": 0.10, "severe_recall": 0.90}
 
-# Requests for a prescription, and hints at a patient or at general knowledge.
+# Requests for a prescription. All question patterns are held against lower-case text.
 PRESCRIPTION = [
-    r"(?i)\bkê\s*đơn\b",
-    r"(?i)\bnên\s*uống\s*thuốc\s*gì",
-    r"(?i)\b(bao\s*nhiêu|mấy)\s+(viên|mg|ml|lần|giọt|gói)",
-    r"(?is)\bliều\b.{0,40}?(bao\s*nhiêu|cụ\s*thể|chính\s*xác|\d+\s*mg|\d+\s*ml)",
-    r"(?i)\bcho\s*tôi\s*đơn\s*thuốc",
+    r"(?:^|[^\p{L}\p{N}_])kê\s*đơn(?:$|[^\p{L}\p{N}_])",
+    r"(?:^|[^\p{L}\p{N}_])nên\s*uống\s*thuốc\s*gì",
+    r"(?:^|[^\p{L}\p{N}_])(?:bao\s*nhiêu|mấy)\s+(?:viên|mg|ml|lần|giọt|gói)",
+    r"(?s)(?:^|[^\p{L}\p{N}_])liều(?:$|[^\p{L}\p{N}_]).{0,40}(?:bao\s*nhiêu|cụ\s*thể|chính\s*xác|\d+\s*mg|\d+\s*ml)",
+    r"(?:^|[^\p{L}\p{N}_])cho\s*tôi\s*đơn\s*thuốc",
 ]
-PATIENT = [r"(?i)\bplt\s*[=:]\s*\d", r"(?i)\bhct\s*[=:]\s*\d", r"(?i)\bn[1-9]\b.*\d", r"(?i)\b(bệnh\s*nhân|ca\s*này)"]
-GENERAL = [r"(?i)(định nghĩa|là gì|khái niệm|phân loại)", r"(?i)(nguyên\s*tắc|hướng\s*dẫn|guideline|phác\s*đồ)"]
+# Hints that a question is about one patient, and that it is about general knowledge.
+PATIENT = [
+    r"(?:^|[^\p{L}\p{N}_])(?:bệnh\s*nhân|bn(?:$|[^\p{L}\p{N}_])|case(?:$|[^\p{L}\p{N}_])|ca\s*này|bé|cô|chú|ông|bà)",
+    r"(?:^|[^\p{L}\p{N}_])(?:của|cho)\s+(?:tôi|mình|bạn\s*này|em)",
+    r"(?:^|[^\p{L}\p{N}_])plt\s*[=:]\s*\d",
+    r"(?:^|[^\p{L}\p{N}_])hct\s*[=:]\s*\d",
+    r"(?:^|[^\p{L}\p{N}_])n[1-9](?:$|[^\p{L}\p{N}_]).*\d",
+    r"(?:^|[^\p{L}\p{N}_])(?:đang|hiện)\s+(?:sốt|đau|nôn)",
+]
+GENERAL = [
+    r"(?:^|[^\p{L}\p{N}_])(?:định nghĩa|là gì|khái niệm|phân loại)(?:$|[^\p{L}\p{N}_])",
+    r"(?:^|[^\p{L}\p{N}_])(?:nguyên\s*tắc|hướng\s*dẫn|guideline|phác\s*đồ)(?:$|[^\p{L}\p{N}_])",
+    r"(?:^|[^\p{L}\p{N}_])(?:khi nào|bao giờ)\s+(?:cần|nên|phải)(?:$|[^\p{L}\p{N}_])",
+]
+
+# Groups of severity as questions name them (the first that is met counts), and as records spell them.
+SEVERITIES = {
+    "sốc": "sốc / nặng",
+    "soc": "sốc / nặng",
+    "nặng": "sốc / nặng",
+    "cảnh báo": "cảnh báo sốt xuất huyết",
+    "canh bao": "cảnh báo sốt xuất huyết",
+    "sxh": "sốt xuất huyết",
+}
+HISTORY = ["tiền căn sxh", "tien can sxh"]
+# Symptoms as questions name them.
+SYMPTOMS = {
+    "nôn ói": "NVnonoi", "non oi": "NVnonoi", "nonoi": "NVnonoi",
+    "tiêu chảy": "NVtieuchay", "tieu chay": "NVtieuchay", "tieuchay": "NVtieuchay",
+    "đau bụng": "NVdaubung", "dau bung": "NVdaubung", "daubung": "NVdaubung",
+    "đau cơ": "NVdauco", "dau co": "NVdauco", "dauco": "NVdauco",
+    "đau đầu": "NVdaudau", "dau dau": "NVdaudau", "daudau": "NVdaudau",
+    "đau sau hốc mắt": "NVdausauhocmat", "dau sau hoc mat": "NVdausauhocmat", "dausauhocmat": "NVdausauhocmat",
+    "ho": "NVho",
+    "xuất huyết": "NVxuathuyet", "xuat huyet": "NVxuathuyet",
+    "gan to": "NVganto", "gan lớn": "NVganto",
+    "petechia": "Petechia", "ban xuat huyet": "Petechia",
+}
+# Phrases that an intent goes by, in the order in which intents are tried; the third kind takes two of its lists.
+BLEEDING = ["vị trí xuất huyết", "vi tri xuat huyet", "xuất huyết ở vị trí nào", "xuat huyet o vi tri nao", "chảy máu ở vị trí nào", "chay mau o vi tri nao"]
+OTHER_SYMPTOMS = ["triệu chứng khác", "trieu chung khac", "các triệu chứng khác", "cac trieu chung khac"]
+SYMPTOM_WORDS = [
+    "nôn ói", "non oi", "nonoi", "tiêu chảy", "tieu chay", "tieuchay", "đau bụng", "dau bung", "daubung", "đau cơ", "dau co", "dauco",
+    "đau đầu", "dau dau", "daudau", "đau sau hốc mắt", "dau sau hoc mat", "dausauhocmat", "ho", "triệu chứng", "trieu chung", "xuất huyết", "xuat huyet",
+]
+COHORT_WORDS = ["ở bệnh nhân", "o benh nhan", "ở nhóm", "o nhom", "giới tính", "gioi tinh", "nữ", " nam ", "tiền căn sxh", "tien can sxh"]
+INTENTS = {
+    "history_stats": ["tiền căn sxh", "tien can sxh"],
+    "gender_stats": ["giới tính", "gioi tinh", "nam nữ", "nam nu"],
+    "age_stats": ["độ tuổi", "do tuoi", "tuổi trung bình", "tuoi trung binh"],
+    "top_comorbidity": ["bệnh lý nền", "benh ly nen", "comorbidity"],
+    "compare_query": ["so sánh", "so sanh"],
+}
+OVERVIEW = ["có bao nhiêu bệnh nhân", "co bao nhieu benh nhan", "tổng số bệnh nhân", "tong so benh nhan", "bao nhiêu ca", "bao nhieu ca"]
+
+# A page named in an answer, and a number that stands with the name of a test.
+CITATION = r"(?i)(trang|tr\.|p\.|page)\s*\d{1,4}"
+LAB_NUMBER = r"(?i)\b(plt|tiểu cầu|tieu cau|hct|hematocrit|wbc|bạch cầu|bach cau|ast|alt|sgot|sgpt|creatinin|alb)\b\s*[:=]?\s*[\d.]+"
+# What named parts of a document begin with, and lines that its pages repeat.
+PARTS = ["phụ lục", "phần", "chương"]
+PAGE_LINES = ["TRUYỀN NHIỄM", "Truyền nhiễm"]
+
+# Clinical signs that the severity rules take as warnings and as red flags.
+WARNING_SIGNS = ["abdominal_pain", "vomiting_many", "mucosal_bleeding", "oliguria", "lethargy"]
+RED_SIGNS = ["cold_extremities", "dyspnea", "hypotension", "severe_bleeding"]
+MINOR_SIGNS = ["myalgia", "retro_orbital_pain"]
+# Signs of a form and the graph's nodes for them.
+SIGN_NODES = {
+    "fever_now": "sot_cao", "abdominal_pain": "dau_bung_nhieu", "vomiting": "non_nhieu", "vomiting_many": "non_nhieu",
+    "mucosal_bleeding": "chay_mau_niem_mac", "oliguria": "tieu_it", "lethargy": "lu_du_vat_va", "cold_extremities": "tay_chan_lanh",
+    "myalgia": "dau_co_khop", "retro_orbital_pain": "dau_hoc_mat", "dyspnea": "tran_dich", "petechia": "ban_xuat_huyet", "headache": "dau_dau",
+}
+# What a kind of concept says of the grades of severity: relation, grades, weight; by concept where it differs.
+RELATIONS = {
+    "symptom": [("supports", "sxhd_thuong", 1.0)],
+    "warning_sign": [("warning_of", "sxhd_canh_bao", 1.0)],
+    "lab": [("supports", "sxhd_canh_bao", 1.0)],
+    "contraindicated": [("contraindicated_for", g, 1.0) for g in ("sxhd_thuong", "sxhd_canh_bao", "sxhd_nang")],
+    "drug": [("treats", g, 1.0) for g in ("sxhd_thuong", "sxhd_canh_bao")],
+}
+MILD_LABS = ["hflc_cao", "bach_cau_thap"]
+SEVERE_WARNINGS = ["tay_chan_lanh", "lu_du_vat_va", "hct_tang_plt_giam"]
+# Names of columns as people read them.
+MEASURE_NAMES = {"bachcau": "bạch cầu", "tieucau": "tiểu cầu", "HFLC": "HFLC", "phantramHFLC": "%HFLC", "Hct": "Hct", "Tuoi": "tuổi"}
+SYMPTOM_NAMES = {
+    "NVnonoi": "nôn ói", "NVtieuchay": "tiêu chảy", "NVdaubung": "đau bụng", "NVdauco": "đau cơ", "NVdaudau": "đau đầu",
+    "NVdausauhocmat": "đau sau hốc mắt", "NVho": "ho", "NVxuathuyet": "xuất huyết", "NVganto": "gan to", "Petechia": "ban xuất huyết dạng chấm",
+}
+TOKEN_NAMES = {
+    "petechia": "ban xuất huyết dạng chấm (petechia)", "am dao": "âm đạo", "chay mau mui": "chảy máu mũi",
+    "vet chich": "vết chích / bầm máu tại vết chích", "chay mau rang": "chảy máu chân răng", "tang huyet ap": "tăng huyết áp", "dai thao duong": "đái tháo đường",
+}

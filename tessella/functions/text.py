@@ -95,5 +95,10 @@ def any_match(c: Column, patterns: list[str]) -> Column:
 
 def scanned_number(token: Column) -> Column:
     """A token with a digit whose look-alike letters are digits and whose single decimal comma is a point."""
-    fixed = F.regexp_replace(F.translate(token, C.SCANNED, C.DIGITS), r"^([^,]*\d),(\d{1,3})$", "$1.$2")
-    return F.when(token.rlike(r"^[0-9OolISBZg.,%<>=-]*[0-9][0-9OolISBZg.,%<>=-]*$"), fixed).otherwise(token)
+    fixed = F.regexp_replace(F.translate(token, C.SCANNED, C.DIGITS), r"^([^,]*\d),(\d{1,3})\z", "$1.$2")
+    return F.when(token.rlike(r"^[0-9OolISBZg.,%<>=-]*[0-9][0-9OolISBZg.,%<>=-]*\z"), fixed).otherwise(token)
+
+
+def rounded_even(c: Column, digits: int) -> Column:
+    """Rounded, halves to the even digit."""
+    return F.bround(c, digits)

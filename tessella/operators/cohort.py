@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 
+from .position import quantiles
+
 
 def moments(value: str) -> list[Column]:
     """Count, mean, sample deviation, ends."""
@@ -14,13 +16,6 @@ def moments(value: str) -> list[Column]:
     return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("lowest"), F.max(c).alias("highest")]
 
 
-def describe(value: str) -> list[Column]:
-    """Moments and quartiles. The quartiles' buffer holds a group's distinct values: for groups that outgrow a task, take
-    `moments` and `position.quantiles`."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [*moments(value), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")]
-
-
 def long_form(wide: DataFrame, key: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
     """(key, measure, day, value) from one column for each measure and day; NaN becomes null."""
     cells = [F.struct(F.lit(m).alias("measure"), F.lit(d).alias("day"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for c, (m, d) in columns.items()]
@@ -29,7 +24,9 @@ def long_form(wide: DataFrame, key: str, columns: dict[str, tuple[str, int]]) ->
 
 def daily_stats(obs: DataFrame) -> DataFrame:
     """Statistics of each measure and day with the share of patients observed and how far to trust them."""
-    out = obs.groupBy("measure", "day").agg(*describe("value"), F.count(F.lit(1)).alias("total"))
+    keys = ["measure", "day"]
+    ends = quantiles(obs, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    out = obs.groupBy(*keys).agg(*moments("value"), F.count(F.lit(1)).alias("total")).join(ends, keys, "left")
     return out.withColumn("coverage", F.col("n") / F.col("total")).withColumn("trust", X.trust(F.col("n") / F.col("total")))
 
 
@@ -77,6 +74,11 @@ def matching(df: DataFrame, filters: dict[str, object]) -> DataFrame:
     return df
 
 
+def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k values that most rows have, with their count; the first of equals by value. Null isn't one."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
 def class_counts(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
     """Rows of each class of `classes` (a small table with the column label), those without rows too."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import constants as C
 from tessella.functions.text import words as tokens
 
 
@@ -46,6 +47,59 @@ def question_score(found: DataFrame, tokens: list[str], least: float = 0.15) ->
     return found.withColumn("question_score", share + 0.3 * F.col("score")).where(F.col("question_score") >= least)
 
 
+def answered(found: DataFrame, tokens: list[str], k: int = 6, least: float = 0.15) -> DataFrame:
+    """The k paths that answer a question best; if none does at all, the k best by their own score. Adds question_score (null then)."""
+    asked = question_score(found, tokens, least).orderBy(F.desc("question_score"), F.desc("score"), "hops", F.array_join("path", "/")).limit(k)
+    own = facts(found, k).withColumn("question_score", F.lit(None).cast("double"))
+    some = asked.agg(F.count(F.lit(1)).alias("_n"))
+    return asked.unionByName(own.crossJoin(F.broadcast(some)).where("_n = 0").drop("_n"))
+
+
+def existing(active: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Activated nodes (a column node) that the graph has."""
+    return active.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(active.columns)
+
+
+def of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(F.col("type") == kind)
+
+
+def related(nodes: DataFrame) -> DataFrame:
+    """(src, dst, relation, weight): what each concept says of the grades of severity, by its type (and drugs by whether
+    they are contraindicated, a boolean column; interventions by the grades that they treat, an array column)."""
+    rule = lambda k: F.array(*[F.struct(F.lit(g).alias("dst"), F.lit(r).alias("relation"), F.lit(w).alias("weight")) for r, g, w in k])
+    mild = rule([("supports", "sxhd_thuong", 1.0)])
+    severe = F.concat(rule(C.RELATIONS["warning_sign"]), rule([("warning_of", "sxhd_nang", 1.5)]))
+    treated = F.transform(F.coalesce("treats", F.array().cast("array<string>")), lambda g: F.struct(g.alias("dst"), F.lit("treats").alias("relation"), F.lit(1.0).alias("weight")))
+    kind = F.col("type")
+    edges = (
+        F.when(kind == "symptom", rule(C.RELATIONS["symptom"]))
+        .when((kind == "warning_sign") & F.col("id").isin(*C.SEVERE_WARNINGS), severe)
+        .when(kind == "warning_sign", rule(C.RELATIONS["warning_sign"]))
+        .when((kind == "lab") & F.col("id").isin(*C.MILD_LABS), mild)
+        .when(kind == "lab", rule(C.RELATIONS["lab"]))
+        .when((kind == "drug") & F.coalesce("contraindicated", F.lit(False)), rule(C.RELATIONS["contraindicated"]))
+        .when(kind == "drug", rule(C.RELATIONS["drug"]))
+        .when(kind == "intervention", treated)
+    )
+    return nodes.select(F.col("id").alias("src"), F.explode(edges).alias("e")).select("src", "e.dst", "e.relation", "e.weight")
+
+
+def reasoning(rows: DataFrame, key: str) -> DataFrame:
+    """(key, src, dst, relation): a patient's small graph from plt_low, wbc_low, hct_up_plt_down (boolean) and the rules' level (text)."""
+    low = F.lower(F.coalesce("level", F.lit("")))
+    grave = low.contains("cảnh báo") | low.contains("nặng") | low.contains("khẩn")
+    edge = lambda c, a, b, r: F.when(c, F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit(r).alias("relation")))
+    edges = F.array(
+        edge(F.col("plt_low"), "platelet_low", "dengue_suspicion", "supports"),
+        edge(F.col("wbc_low"), "wbc_low", "dengue_suspicion", "supports"),
+        edge(F.col("hct_up_plt_down"), "hct_rising_plus_plt_falling", "warning_pattern", "supports"),
+        edge(grave, "warning_pattern", "supportive_care", "escalates_to"),
+        edge(F.lit(True), "avoid_nsaids", "dengue_suspicion", "contraindicated_in_context"),
+    )
+    return rows.select(key, F.explode(F.array_compact(edges)).alias("e")).select(key, "e.*")
+
+
 def active(rows: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
     """(key, node) of each rule that holds for a row."""
     hits = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules]))
@@ -80,23 +134,37 @@ def type_counts(found: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return ends.join(F.broadcast(nodes.where(F.col("type") == kind).select("id", "label")), "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def runs(pages: DataFrame, key: str, page: str, score: str, core: int = 3, near: int = 1, apart: int = 5) -> DataFrame:
+def runs(pages: DataFrame, key: str, page: str, score: str, core: int = 3, near: int = 1, apart: int = 5, part: int = 10_000) -> DataFrame:
     """Runs of core pages at most `apart` from one another with only near pages between: key, run, first, last, n_core.
 
-    Windows go by `key` (a book), so many books are worked on at once.
+    Books (keys) are cut into ranges of `part` page numbers, so that one with most of the pages is shared out. In a range,
+    windows find where runs begin; what a range hands to the next (its last core page, whether a far page follows it)
+    is one row each, and so is what it adds to the numbers of runs: windows over a book's ranges do the rest.
     """
-    w = Window.partitionBy(key).orderBy(page)
-    far = F.sum((F.col(score) < near).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    cores = pages.withColumn("far", far).where(F.col(score) >= core)
-    gap = (F.col(page) - F.lag(page).over(w) > apart) | (F.col("far") != F.lag("far").over(w))
-    begun = cores.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return begun.groupBy(key, "run").agg(F.min(page).alias("first"), F.max(page).alias("last"), F.count(F.lit(1)).alias("n_core"))
+    far, is_core = F.coalesce(F.col(score) < near, F.lit(False)), F.coalesce(F.col(score) >= core, F.lit(False))
+    cut = pages.select(key, F.col(page).alias("_page"), far.alias("_far"), is_core.alias("_core")).withColumn("_part", F.floor(F.col("_page") / part))
+    last_core, last_far = F.max(F.when(F.col("_core"), F.col("_page"))), F.max(F.when(F.col("_far"), F.col("_page")))
+    ranges = cut.groupBy(key, "_part").agg(last_core.alias("_c"), last_far.alias("_f"))
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.max("_c").over(w).alias("_c"), F.max("_f").over(w).alias("_f"))
+    inside = Window.partitionBy(key, "_part").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.withColumn("_ci", F.max(F.when(F.col("_core"), F.col("_page"))).over(inside)).withColumn("_fi", F.max(F.when(F.col("_far"), F.col("_page"))).over(inside))
+    joined = joined.where("_core").join(ranges, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    before, broken = F.coalesce("_ci", "_c"), F.coalesce("_fi", "_f")
+    begins = before.isNull() | (F.col("_page") - before > apart) | F.coalesce(broken > before, F.lit(False)) | F.col("_far")
+    cores = joined.select(key, "_part", "_page", begins.cast("int").alias("_new"))
+    counts = cores.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.sum("_new").alias("_n"))
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum("_new").over(Window.partitionBy(key, "_part").orderBy("_page").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = cores.withColumn("_in", within).join(counts.drop("_n"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    numbered = numbered.select(key, (F.col("_start") + F.col("_in")).alias("run"), "_page")
+    return numbered.groupBy(key, "run").agg(F.min("_page").alias("first"), F.max("_page").alias("last"), F.count(F.lit(1)).alias("n_core"))
 
 
 def longest_run(found: DataFrame, key: str) -> DataFrame:
     """The run of each key with most core pages, the first of equals."""
-    w = Window.partitionBy(key).orderBy(F.desc("n_core"), "run")
-    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = F.max(F.struct("n_core", (-F.col("run")).alias("r"), "first", "last"))
+    return found.groupBy(key).agg(best.alias("b")).select(key, (-F.col("b.r")).alias("run"), "b.first", "b.last", "b.n_core")
 
 
 def keyword_density(text: Column, keywords: list[str]) -> Column:

@@ -9,7 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import agreement
+from tessella.functions.shared import written
+
+from .evaluate import agreement, over_folds, ovr_auc
 
 
 def _place(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
@@ -76,19 +78,44 @@ def importance(model: PipelineModel, features: list[str], k: int) -> list[tuple[
 
 
 def train_and_evaluate(df: DataFrame, key: str, label: str, features: list[str], folds: int = 3) -> DataFrame:
-    """Rows (part, accuracy, macro_f1, ...) of each fold of the training part and of the holdout."""
-    split = stratified_split(df, key, label)
+    """Rows (part, accuracy, macro_f1, ..., auc) of each fold of the training part and of the holdout."""
+    split = written(stratified_split(df, key, label))
+    classes = tuple(sorted(r[0] for r in split.select(label).distinct().collect() if r[0] is not None))
     train, out = split.where("split = 'train'"), None
     parts = [(f"fold {k}", k) for k in range(usable_folds(train, label, folds))] + [("holdout", None)]
     dealt = stratified_folds(train, key, label, len(parts) - 1)
     for name, k in parts:
         seen, held = (train, split.where("split = 'test'")) if k is None else (dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k))
-        scored = predict(fit_forest(seen, features, label), held, features)
+        scored = written(predict(fit_forest(seen, features, label), held, features))
         row = agreement(scored.select((F.col(label) + 1).alias("truth"), (F.col("predicted") + 1).alias("predicted"))).withColumn("part", F.lit(name))
+        row = row.crossJoin(F.broadcast(ovr_auc(scored, label, "probability", classes)))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def fold_summary(rows: DataFrame) -> DataFrame:
+    """Mean and population deviation over the folds of train_and_evaluate: one row."""
+    return over_folds(rows.where(F.col("part").startswith("fold")), ["accuracy", "macro_f1", "auc"])
+
+
+def top_features(df: DataFrame, features: list[str], label: str, k: int = 10) -> DataFrame:
+    """(place, feature, importance) of the k features with the largest impurity importance in a forest of all rows."""
+    found = importance(fit_forest(df, features, label), features, k)
+    return df.sparkSession.createDataFrame([(i, f, v) for i, (f, v) in enumerate(found)], "place int, feature string, importance double")
+
+
+def train_with_imputation(obs: DataFrame, labels: DataFrame, label: str, measures: list[str], days: list[int], strategy: str | None = "linear_noise", folds: int = 3) -> DataFrame:
+    """From observations to metrics: fills gaps, forms a value, mask and delta column for each measure and day, a forest,
+    its folds and holdout. labels: (patient, label)."""
+    from . import series
+
+    done = series.with_missingness(obs.where(F.col("day").isin(days)), measures, strategy)
+    at = lambda c, m, d: F.max(F.when((F.col("measure") == m) & (F.col("day") == d), F.col(c))).cast("double")
+    cells = {f"{m}N{d}{s}": at(c, m, d) for m in measures for d in days for c, s in (("value", ""), ("mask", "_mask"), ("delta", "_tdelta"))}
+    wide = done.groupBy("patient").agg(*[v.alias(k) for k, v in cells.items()])
+    return train_and_evaluate(wide.join(labels, "patient"), "patient", label, list(cells), folds)
+
+
 def text_classifier(text: str, label: str, features: int = 1 << 14) -> Pipeline:
     """Words and pairs of words, tf-idf, logistic regression."""
     words = RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"[^\p{L}\p{N}_]+")

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 STATS = ["n", "mean", "median", "q10", "q25", "q75", "q90", "lowest", "highest"]
 
 
+def if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A broadcast of df, if counting finds it to be of at most so many rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cube(obs: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Nine statistics of each (measure, day, class); with a grid of these keys, empty cells are there with zeros."""
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.5, 0.1, 0.25, 0.75, 0.9)]))
-    stats = obs.where("value is not null").groupBy("measure", "day", "class").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        *[q[i].alias(name) for i, name in enumerate(("median", "q10", "q25", "q75", "q90"))],
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
-    )
+    """Nine statistics of each (measure, day, class); with a grid of these keys, empty cells are there with zeros.
+
+    Quantiles are exact, and no task holds a cell's values. Ages, weights and the like are measures with a day of their own.
+    """
+    keys, seen = ["measure", "day", "class"], obs.where("value is not null")
+    stats = seen.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    stats = stats.join(quantiles(seen, keys, "value", {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}), keys).select(*keys, *STATS)
     if grid is None:
         return stats
-    joined = grid.join(stats, ["measure", "day", "class"], "left")
-    return joined.select("measure", "day", "class", *[F.coalesce(c, F.lit(0)).alias(c) for c in STATS])
+    joined = grid.join(stats, keys, "left")
+    return joined.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in STATS])
 
 
 def first_day_counts(obs: DataFrame) -> DataFrame:
@@ -33,14 +36,16 @@ def first_day_counts(obs: DataFrame) -> DataFrame:
 def percentiles(patients: DataFrame, base: DataFrame) -> DataFrame:
     """Share (in percent) of a class's values up to each patient's, by measure and day, with the distance to the median.
 
-    patients: (patient, measure, day, value) of the patients asked about; base: the same of all, with class. The join
-    goes by measure and day, and each side is split where a day is hot.
+    patients: (patient, measure, day, value) of the patients asked about; base: the same of all, with class. A patient's
+    values are ranked among those of each class, as rows that don't count themselves; no pairs are formed.
     """
-    mine = patients.where("value is not null").select(F.col("patient").alias("query"), "measure", "day", F.col("value").alias("own"))
-    joined = base.where("value is not null").join(mine, ["measure", "day"])
-    out = joined.groupBy("query", "measure", "day", "class", "own").agg(
-        (100 * F.count_if(F.col("value") <= F.col("own")) / F.count(F.lit(1))).alias("percentile"), F.median("value").alias("median")
-    )
+    keys, seen = ["measure", "day", "class"], base.where("value is not null")
+    totals = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    mine = patients.where("value is not null").select(F.col("patient").alias("query"), "measure", "day", F.col("value").alias("own")).join(totals, ["measure", "day"])
+    weighed = seen.select(*keys, "value", F.lit(1).alias("w")).unionByName(mine.select(*keys, F.col("own").alias("value"), F.lit(0).alias("w")))
+    placed = ranges(weighed, keys, "value", weight="w").select(*keys, F.col("value").alias("own"), (F.col("start") + F.col("n")).alias("upto"))
+    out = mine.join(placed, [*keys, "own"]).join(quantiles(seen, keys, "value", {"median": 0.5}), keys)
+    out = out.select("query", *keys, "own", (100 * F.col("upto") / F.col("total")).alias("percentile"), "median").distinct()
     far = F.when(F.col("median") != 0, F.abs(F.col("own") - F.col("median")) / F.greatest("median", F.lit(1e-6)))
     return out.withColumn("distance", far)
 
@@ -74,11 +79,12 @@ def nearest(vectors: DataFrame, query: DataFrame, dims: list[str], k: int) -> Da
 
     Distances are rounded to six digits before they are ranked, so that equal ones go by patient.
 
-    The base's means and deviations take one aggregate; queries (few, broadcast) meet the base where it is read.
+    The base's means and deviations take one aggregate; queries, broadcast if they are few, meet the base where it is
+    read, and Spark limits each task's rows of a query to k before the shuffle.
     """
     moments = vectors.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = lambda d, c: (F.col(c) - F.lit(moments[f"m_{d}"])) / (F.lit(moments[f"s_{d}"]) + 1e-9)
-    mine = F.broadcast(query.select(F.col("patient").alias("query"), *[F.col(d).alias(f"q_{d}") for d in dims]))
+    mine = if_small(query.select(F.col("patient").alias("query"), *[F.col(d).alias(f"q_{d}") for d in dims]))
     square = sum(F.coalesce((z(d, d) - z(d, f"q_{d}")) ** 2, F.lit(0.0)) for d in dims)
     pairs = vectors.join(mine, F.col("patient") != F.col("query")).select("query", "patient", F.round(F.sqrt(square) + 1e-9, 6).alias("distance"))
     return top(pairs, "query", [F.col("distance"), F.col("patient")], k)
@@ -95,13 +101,13 @@ def label_counts(neighbours: DataFrame, labels: DataFrame, key: str = "patient",
     return neighbours.join(labels.select(key, label), key).groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -> DataFrame:
-    """(keys, value, n, start): each distinct value with its count and how many rows of its group are smaller.
+def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight: str | None = None) -> DataFrame:
+    """(keys, value, n, start): each distinct value with its count (or sum of weights) and that of the smaller ones of its group.
 
     For groups too large for one task: values are cut into ranges at approximate quantiles, and a range's offset is
     a running sum over at most `blocks` ranges. The result is exact wherever the cuts lie. Nulls are left out.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     cuts = tied.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)])).alias("cuts"))
     joined = tied.join(cuts, keys) if keys else tied.crossJoin(F.broadcast(cuts))
     dealt = joined.withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")

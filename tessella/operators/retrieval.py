@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from tessella.functions import text as X
 
 from tessella.functions.shipping import by_value
 
-from .position import top
+from .position import if_small, top
 
 by_value(__name__)
 
@@ -32,13 +33,13 @@ def bm25(post: DataFrame, n_docs: int, mean_size: float, queries: DataFrame, key
 
     queries: (query, term), distinct. Only postings of the queries' terms are joined and scored.
     """
-    used = post.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    used = post.join(if_small(queries.select("term").distinct()), "term", "left_semi")
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = used.join(F.broadcast(df.withColumn("idf", idf)), "term")
+    weighted = used.join(df.withColumn("idf", idf), "term")
     norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("size") / mean_size)
     weighted = weighted.withColumn("w", F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / norm)
-    scores = weighted.join(F.broadcast(queries), "term").groupBy("query", key).agg(F.round(F.sum("w"), 9).alias("score"))
+    scores = weighted.join(if_small(queries), "term").groupBy("query", key).agg(F.round(F.sum("w"), 9).alias("score"))
     return top(scores, "query", [F.desc("score"), F.col(key)], k).withColumn("rank", F.col("rank") - 1)
 
 
@@ -54,8 +55,12 @@ def normalized(v: Column) -> Column:
 
 
 def dense_top(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
-    """The k most similar vectors of each query (few, broadcast: query, q): query, key, score, rank from 0."""
-    pairs = base.join(F.broadcast(queries), F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score"))
+    """The k most similar vectors of each query (query, q): query, key, score, rank from 0.
+
+    A stated set of queries, broadcast if counting finds it small, meets all rows where they are read; Spark limits each
+    task's rows of a query to k before the shuffle, so not all pairs are dealt.
+    """
+    pairs = base.join(if_small(queries), F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score"))
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
     return top(pairs, "query", [F.desc("score"), F.col(key)], k).withColumn("rank", F.col("rank") - 1)
@@ -88,7 +93,7 @@ def diverse(candidates: DataFrame, key: str, vector: str, n: int, weight: float
 
 def overlap_top(docs: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """The k texts of each query that share most of its distinct words. docs: (key, term), queries: (query, term), both distinct."""
-    shared = docs.join(F.broadcast(queries), "term").groupBy("query", key).agg(F.count(F.lit(1)).alias("shared"))
+    shared = docs.join(if_small(queries), "term").groupBy("query", key).agg(F.count(F.lit(1)).alias("shared"))
     return top(shared, "query", [F.desc("shared"), F.col(key)], k)
 
 
@@ -106,27 +111,45 @@ def expanded(query: Column, most: int = 6) -> Column:
     return F.array_join(F.concat(F.array(query), F.slice(F.array_distinct(extra), 1, most)), " ")
 
 
-_NUMBERED = re.compile(r"^(\d+(?:\.\d+){0,4}\.?)\s+(.{3,80})$")
-_PART = re.compile(r"^(?:phụ lục|phần|chương)\s+[\divx]+\s*[:.]?\s*(.{3,80})$", re.I)
-
-
 def heading_level(line: str) -> int | None:
-    """1 for a named part, 2 for capitals, 3 and more for numbered headings; None for other lines."""
+    """1 for a named part ("Phần 2: ..."), 2 for capitals, 2 + its numbers for a numbered heading; None for other lines."""
     line = line.strip()
     if not line or len(line) > 100:
         return None
-    if m := _NUMBERED.match(line):
-        return 3 + m[1].rstrip(".").count(".")
-    if _PART.match(line):
-        return 1
+    number, _, title = line.partition(" ")
+    numbers = number.removesuffix(".").split(".")
+    if 3 <= len(title.strip()) <= 80 and len(numbers) <= 5 and all(n.isdecimal() for n in numbers):
+        return 2 + len(numbers)
+    for name in C.PARTS:
+        if line.lower().startswith(f"{name} "):
+            rest = line[len(name) :].strip()
+            title = rest.lstrip("0123456789ivxIVX")
+            if len(title) < len(rest) and 3 <= len(title.lstrip(" :.")) <= 80:
+                return 1
     letters = [c for c in line if c.isalpha()]
     if len(line) >= 5 and len(line.split()) >= 2 and letters and not any(c.isdigit() for c in line) and all(c.isupper() for c in letters):
         return 2
     return None
 
 
+def is_noise(line: str) -> bool:
+    """Lines that a document's pages repeat, and page numbers."""
+    said = line.strip()
+    return said in C.PAGE_LINES or (said.isdecimal() and len(said) <= 4)
+
+
+def compatible(c: Column) -> Column:
+    """Text with its characters in their compatible composed form (NFKC), for which Spark has no function."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normal(c)
+
+
 def section_chunks(docs: DataFrame, key: str, text: str, full: int = 1500, good: int = 800, part: int = 400, least: int = 150) -> DataFrame:
-    """(key, chunk, path, text): chunks that end at a heading, at a sentence's end when long enough, or when full.
+    """(key, chunk, path, text): chunks that end at a heading, at a sentence's end when long enough, or when full; lines of noise go.
 
     Sequential state runs within one text, so texts are dealt to tasks as they are read; nothing is shuffled.
     """
@@ -138,7 +161,7 @@ def section_chunks(docs: DataFrame, key: str, text: str, full: int = 1500, good:
                 stack: list[tuple[int, str]] = []
                 held: list[str] = []
                 size, number = 0, 0
-                for line in [*(whole or "").split("\n"), None]:
+                for line in [*(x for x in (whole or "").split("\n") if not is_noise(x)), None]:
                     level = heading_level(line) if line is not None else 0
                     ends = line is None or (level and size >= part) or size >= full or (size >= good and held[-1].rstrip().endswith((".", "!", "?")))
                     if ends and held:
@@ -200,7 +223,7 @@ def evidence_cards(found: DataFrame, docs: DataFrame, queries: DataFrame, key: s
     q = queries.select("query", hashed_vector(F.col("text")).alias("q"))
     texts = found.select("query", key).join(docs.select(key, F.col(text).alias("_t")), key)
     each = texts.select("query", key, F.posexplode(X.sentences(F.col("_t"))).alias("place", "sentence"))
-    each = each.join(F.broadcast(q), "query").withColumn("v", hashed_vector(F.col("sentence")))
+    each = each.join(q, "query").withColumn("v", hashed_vector(F.col("sentence")))
     each = each.withColumn("score", F.round(dot(F.col("v"), F.col("q")), 9))
     w = Window.partitionBy("query", key).orderBy(F.desc("score"), "place")
     each = each.withColumn("r", F.row_number().over(w))

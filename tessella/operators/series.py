@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
+from tessella.functions.shared import written
 from tessella.functions.shipping import by_value
 
+from .position import quantiles
+
 by_value(__name__)
 
 SERIES = ["patient", "measure"]
@@ -63,15 +66,20 @@ def hash_normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * np.pi * unit(2))
 
 
+def noise(seed: int) -> Column:
+    """Noise of a cell by its measure's deviation; measures without one have none."""
+    sigma = F.create_map(*[F.lit(x) for k, v in C.NOISE.items() for x in (k, v[0])])
+    scale = F.coalesce(F.try_element_at(sigma, F.lower("measure")), F.lit(0.0))
+    return scale * hash_normal(seed, F.col("patient"), F.col("measure"), F.col("day"))
+
+
 def impute_linear(obs: DataFrame, max_gap: int = 2, seed: int | None = None) -> DataFrame:
     """Fills inner gaps of up to max_gap days on the line between their neighbours; ends stay null. seed: adds noise."""
     near = neighbours(obs)
     gap = F.col("right_day") - F.col("left_day") - 1
     line = F.col("left_value") + (F.col("right_value") - F.col("left_value")) * (F.col("day") - F.col("left_day")) / (gap + 1)
     if seed is not None:
-        sigma = F.create_map(*[F.lit(x) for k, v in C.NOISE.items() for x in (k, v[0])])
-        scale = F.coalesce(F.try_element_at(sigma, F.lower("measure")), F.lit(0.0))
-        line = line + scale * hash_normal(seed, F.col("patient"), F.col("measure"), F.col("day"))
+        line = line + noise(seed)
     fill = F.col("value").isNull() & gap.between(1, max_gap)
     return near.select(
         *SERIES,
@@ -196,40 +204,65 @@ def impute_spline(obs: DataFrame, max_gap: int = 3) -> DataFrame:
     return filled.withColumn("value", F.when(F.col("imputed") == 1, clipped(F.col("value"), F.col("measure"))).otherwise(F.col("value")))
 
 
-def impute_chained(obs: DataFrame, measures: list[str], rounds: int = 10, ridge: float = 1.0) -> DataFrame:
-    """Chained regressions: each measure is predicted from the others at the same patient and day, round after round.
+def _solve(got: dict, features: int, target: int, ridge: float) -> np.ndarray:
+    """Constant and slopes of a ridge regression from sums of products; slot 0 is the constant."""
+    use = [0] + [i + 1 for i in range(features) if i != target]
+    gram = np.array([[got[f"g{target}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in use] for i in use])
+    right = np.array([got[f"g{target}_{min(i, target + 1)}_{max(i, target + 1)}"] or 0.0 for i in use])
+    return np.linalg.solve(gram + np.diag([1e-9] + [ridge] * (len(use) - 1)), right)
+
 
-    The moments that a regression needs are sums over all rows, taken in Spark; the driver solves a system as large as
-    the number of measures. Days before a series' first and after its last observation stay null.
+def impute_chained(obs: DataFrame, measures: list[str], rounds: int = 10, ridge: float = 1.0, seed: int | None = None) -> DataFrame:
+    """Chained regressions: round after round each measure is predicted from the others at the same patient and day, where
+    cells that are missing hold the guesses of the round before (at first the medians).
+
+    A round is one aggregate over a written table: all products that its regressions need, summed in Spark; the driver
+    solves systems as large as the number of measures. Days before a series' first and after its last observation stay
+    null, and measures without observations; there is no limit to a gap. seed: adds noise to filled cells.
     """
     wide = last_by_day(obs, measures)
-    start = wide.agg(*[F.median(f"`{m}`").alias(m) for m in measures]).first()
-    known = [m for m in measures if start[m] is not None]
-    fit = {m: (start[m], np.zeros(len(known))) for m in known}
-    centre = {m: start[m] for m in known}
-    filled = {m: F.coalesce(F.col(f"`{m}`"), F.lit(float(start[m]))) for m in known}
-    for _ in range(rounds if len(known) > 1 else 0):
-        for m in known:
-            others = [o for o in known if o != m]
-            x = [filled[o] - centre[o] for o in others]
-            y = F.col(f"`{m}`") - centre[m]
-            use = F.col(f"`{m}`").isNotNull()
-            terms = [F.sum(F.when(use, a * b)) for i, a in enumerate([F.lit(1.0), *x]) for b in [F.lit(1.0), *x][i:]] + [F.sum(F.when(use, a * y)) for a in [F.lit(1.0), *x]]
-            got, k = [v or 0.0 for v in wide.agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)]).first()], len(x) + 1
-            gram, right = np.zeros((k, k)), np.array(got[-k:])
-            gram[np.triu_indices(k)] = got[:-k]
-            gram = gram + np.triu(gram, 1).T + np.diag([1e-9] + [ridge] * (k - 1))
-            beta = np.linalg.solve(gram, right)
-            fit[m] = (beta[0], beta[1:])
-            guess = F.lit(float(centre[m] + beta[0]))
-            for b, o in zip(beta[1:], others, strict=True):
-                guess = guess + float(b) * (F.coalesce(F.col(f"`{o}`"), F.lit(float(start[o]))) - centre[o])
-            filled[m] = F.coalesce(F.col(f"`{m}`"), guess)
-    cells = F.array(*[F.struct(F.lit(m).alias("measure"), filled[m].alias("guess")) for m in known])
-    guesses = wide.select("patient", "day", F.explode(cells).alias("c")).select("patient", "day", "c.measure", "c.guess")
-    inner = neighbours(obs).where("left_day is not null and right_day is not null or value is not null")
-    edge = neighbours(obs).where("value is null and (left_day is null or right_day is null)")
-    done = inner.join(guesses, ["patient", "day", "measure"], "left").select(
-        *SERIES, "day", F.coalesce("value", clipped(F.col("guess"), F.col("measure"))).alias("value"), F.col("value").isNull().cast("int").alias("imputed")
-    )
-    return done.unionByName(edge.select(*SERIES, "day", "value", F.lit(0).alias("imputed")))
+    start = {r["measure"]: r["median"] for r in quantiles(obs.where(F.col("measure").isin(*measures)), ["measure"], "value", {"median": 0.5}).collect()}
+    known = [m for m in measures if start.get(m) is not None]
+    columns = [F.coalesce(F.col(f"`{m}`") - float(start[m]), F.lit(0.0)).alias(f"x{i}") for i, m in enumerate(known)]
+    now = written(wide.select("patient", "day", *[F.col(f"`{m}`").isNotNull().alias(f"o{i}") for i, m in enumerate(known)], *columns))
+    n = len(known)
+    for _ in range(rounds if n > 1 else 0):
+        slot = [F.lit(1.0), *[F.col(f"x{i}") for i in range(n)]]
+        sums = [
+            F.sum(F.when(F.col(f"o{t}"), slot[i] * slot[j])).alias(f"g{t}_{i}_{j}") for t in range(n) for i in range(n + 1) for j in range(i, n + 1) if (i, j) != (t + 1, t + 1)
+        ]
+        got = now.agg(*sums).first().asDict()
+        guess = []
+        for t in range(n):
+            beta = _solve(got, n, t, ridge)
+            line = F.lit(float(beta[0]))
+            for b, i in zip(beta[1:], [i for i in range(n) if i != t], strict=True):
+                line = line + float(b) * F.col(f"x{i}")
+            guess.append(F.when(F.col(f"o{t}"), F.col(f"x{t}")).otherwise(line).alias(f"x{t}"))
+        now = written(now.select("patient", "day", *[f"o{i}" for i in range(n)], *guess))
+    if not known:
+        return obs.select(*SERIES, "day", "value", F.lit(0).alias("imputed"))
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(f"x{i}") + float(start[m])).alias("guess")) for i, m in enumerate(known)])
+    guesses = now.select("patient", "day", F.explode(cells).alias("c")).select("patient", "day", "c.measure", "c.guess")
+    joined = neighbours(obs).join(guesses, ["patient", "day", "measure"], "left")
+    noisy = F.col("guess") if seed is None else F.col("guess") + noise(seed)
+    fill = F.col("value").isNull() & F.col("left_day").isNotNull() & F.col("right_day").isNotNull() & F.col("guess").isNotNull()
+    return joined.select(*SERIES, "day", F.when(fill, clipped(noisy, F.col("measure"))).otherwise(F.col("value")).alias("value"), fill.cast("int").alias("imputed"))
+
+
+def with_missingness(obs: DataFrame, measures: list[str], strategy: str | None = "linear_noise", max_gap: int = 2, seed: int | None = 42) -> DataFrame:
+    """The entry point: fills gaps by a strategy (linear_noise, spline, mice, or None for none), then adds mask and delta.
+
+    Cells that were filled count as observed in both, and have imputed = 1. Ends of a series stay null by any strategy.
+    """
+    if strategy is None:
+        done = obs.withColumn("imputed", F.lit(0))
+    elif strategy == "linear_noise":
+        done = impute_linear(obs, max_gap, seed)
+    elif strategy == "spline":
+        done = impute_spline(obs, max_gap)
+    elif strategy == "mice":
+        done = impute_chained(obs, measures, seed=seed)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}: linear_noise, spline or mice")
+    return mask_delta(done)

@@ -35,9 +35,8 @@ def asked(prompts: DataFrame, key: str, prompt: str, start: Callable[[], Callabl
 
 
 def triaged(prompts: DataFrame, key: str, prompt: str, start) -> DataFrame:
-    """(key, predicted, confidence, reasoning, answer, latency_ms) of each prompt."""
-    answers = asked(prompts, key, prompt, start)
-    return parsed_answers(answers.select(key, "answer"), key, "answer").join(answers, key)
+    """(key, predicted, confidence, reasoning, answer, latency_ms) of each prompt, which the client is asked once."""
+    return parsed_answers(asked(prompts, key, prompt, start), key, "answer", ["answer", "latency_ms"])
 
 
 def guarded(questions: DataFrame, text: str, patterns: list[str], refusal: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import clinical, evaluation, more, search
+from . import asked, clinical, evaluation, more, search
 
-FAMILIES = (clinical, evaluation, search, more)
+FAMILIES = (clinical, evaluation, search, more, asked)
 
 
 def queries() -> dict[str, Callable]:

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import constants as C
-from tessella.functions import text as X
-from tessella.operators import cohort, evaluate, forms, sessions
+from tessella.operators import evaluate, forms, sessions
 
 from .common import rounded, table
 
@@ -34,6 +32,7 @@ def _records(spark, d, cut: int = 2000):
         rule.cast("int").alias("predicted"),
         ((F.col("doc_id") % 101) / 100.0).alias("confidence"),
         F.col("text").alias("answer"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("because")).alias("reasoning"),
         F.col("n_chars").cast("double").alias("latency_ms"),
     )
 
@@ -110,8 +109,8 @@ _LAB = "(?i)(stupid|idiot|trash)"
 
 @query(
     "response_quality",
-    f"WITH {_rec()}, w AS (SELECT trim(answer) AS a, predicted FROM r), x AS (SELECT length(a) AS c, len(list_filter(regexp_split_to_array(a, '\\s+'), lambda v: v <> '')) AS w, regexp_matches(a, '{_CITE}') AS ci, regexp_matches(a, '{_LAB}') AS la, predicted IS NOT NULL AS ok FROM w) "
-    "SELECT round(1e-9 + avg(c), 6) AS chars_mean, round(1e-9 + median(c), 6) AS chars_median, round(1e-9 + avg(w), 6) AS words_mean, round(1e-9 + median(w), 6) AS words_median, round(1e-9 + avg(CAST(ci AS INT)), 6) AS citation_rate, round(1e-9 + avg(CAST(la AS INT)), 6) AS lab_rate, round(1e-9 + avg(CAST(ok AS INT)), 6) AS parse_rate FROM x",
+    f"WITH {_rec()}, w AS (SELECT trim(answer) AS a, predicted, doc_id % 3 = 0 AS re FROM r), x AS (SELECT length(a) AS c, len(list_filter(regexp_split_to_array(a, '\\s+'), lambda v: v <> '')) AS w, regexp_matches(a, '{_CITE}') AS ci, regexp_matches(a, '{_LAB}') AS la, re, predicted IS NOT NULL AS ok FROM w) "
+    "SELECT round(1e-9 + avg(c), 6) AS chars_mean, round(1e-9 + median(c), 6) AS chars_median, round(1e-9 + avg(w), 6) AS words_mean, round(1e-9 + median(w), 6) AS words_median, round(1e-9 + avg(CAST(ci AS INT)), 6) AS citation_rate, round(1e-9 + avg(CAST(la AS INT)), 6) AS lab_rate, round(1e-9 + avg(CAST(re AS INT)), 6) AS reasoning_rate, round(1e-9 + avg(CAST(ok AS INT)), 6) AS parse_rate FROM x",
 )
 def response_quality(spark, d):
     return rounded(evaluate.answers(_records(spark, d), _CITE, _LAB))
@@ -125,7 +124,7 @@ def latency(spark, d):
 @query("evaluation_report", f"WITH {_rec()}, {_agree('r', 'x')}, {_SAFE}, {_BINS} SELECT n, {_out(_AGREE)}, {_COUNTS.replace('n_valid, ', '')}, {_out(_RATES)}, round(1e-9 + (SELECT sum(squares) / sum(n) FROM bins), 6) AS brier FROM xagree, safe")
 def evaluation_report(spark, d):
     full = evaluate.report(_records(spark, d))
-    return rounded(full.drop("ece", *[c for c in full.columns if c.startswith(("chars", "words", "latency", "citation", "lab_", "parse"))]))
+    return rounded(full.drop("ece", *[c for c in full.columns if c.startswith(("chars", "words", "latency", "citation", "lab_", "parse", "reasoning"))]))
 
 
 @query(
@@ -179,45 +178,6 @@ def parse_json_answer(spark, d):
     return rounded(forms.parsed_answers(events.withColumn("raw", broken), "event_id", "raw").drop("reasoning"))
 
 
-_INTENTS = [(r"\b(and|the)\b", "overview_count"), (r"\b(die|der)\b", "top_symptoms"), (r"\b(la|de)\b", "daily_stat"), (r"\?", "trust_query")]
-
-
-@query(
-    "intent_route",
-    "SELECT coalesce(" + "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(text)), '{p}') THEN '{i}'" for p, i in _INTENTS) + " END, 'none') AS intent, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
-)
-def intent_route(spark, d):
-    turns = table(spark, d, "conversations").where("role = 'user'")
-    return turns.groupBy(F.coalesce(cohort.routed(F.col("text"), _INTENTS), F.lit("none")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "guardrail",
-    "SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)li[eề]u\\b.{0,40}?(bao\\s*nhiêu|\\d+\\s*mg)') OR regexp_matches(text, '(?i)(?:^|[ .,])(the|der)\\s+(and|die)(?:$|[ .,])')) AS refused FROM conversations GROUP BY role",
-)
-def guardrail(spark, d):
-    patterns = [r"(?i)li[eề]u\b.{0,40}?(bao\s*nhiêu|\d+\s*mg)", r"(?i)(?:^|[ .,])(the|der)\s+(and|die)(?:$|[ .,])"]
-    hit = X.any_match(F.col("text"), patterns)
-    return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("refused"))
-
-
-@query("prescription_guardrail")
-def prescription(spark, d):
-    turns = table(spark, d, "conversations")
-    asked = F.when(F.col("turn") % 2 == 0, F.concat(F.col("text"), F.lit(" liều paracetamol bao nhiêu mg?"))).otherwise(F.col("text"))
-    return turns.select("conv_id", "turn", X.any_match(asked, C.PRESCRIPTION).alias("refused"))
-
-
-@query(
-    "query_class",
-    "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(?:^|[ .,])(is|ist|est|es)(?:$|[ .,])') THEN 'patient' WHEN turn > 0 AND NOT regexp_matches(text, '(?i)(?:^|[ .,])(with|mit|avec|con)(?:$|[ .,])') THEN 'patient' ELSE 'general' END AS kind FROM conversations",
-)
-def query_class(spark, d):
-    t = F.col("text")
-    patient, general = X.any_match(t, [r"(?i)(?:^|[ .,])(is|ist|est|es)(?:$|[ .,])"]), X.any_match(t, [r"(?i)(?:^|[ .,])(with|mit|avec|con)(?:$|[ .,])"])
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(patient | ((F.col("turn") > 0) & ~general), "patient").otherwise("general").alias("kind"))
-
-
 def _turns(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("content"))
 

@@ -78,12 +78,18 @@ def distinct_sources(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source")
 
 
-@query("text_from_words", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\n]+', ' ', 'g'))) AS hash FROM documents")
+@query(
+    "text_from_words",
+    "WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), w AS (SELECT doc_id, line, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM l), "
+    "c AS (SELECT doc_id, line, list_avg(list_transform(w, lambda x: 0.5 + (length(x) % 10) / 20.0)) AS c, w FROM w WHERE len(w) > 0) "
+    "SELECT doc_id, md5(string_agg(array_to_string(w, ' '), ' ' ORDER BY line)) AS hash, round(1e-9 + avg(c), 6) AS confidence FROM c GROUP BY doc_id",
+)
 def text_from_words(spark, d):
+    """Texts taken apart into words, whose confidence goes by their length, and put together again."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    words = lines.select("doc_id", "line", F.posexplode(F.split("said", " ")).alias("place", "word")).where("word <> ''").withColumn("confidence", F.lit(0.9))
-    back = labtext.rebuilt(words, "doc_id")
-    return back.select("doc_id", F.md5(F.replace("text", F.lit("\n"), F.lit(" "))).alias("hash"))
+    words = lines.select("doc_id", "line", F.posexplode(F.split("said", " ")).alias("place", "word")).where("word <> ''")
+    back = labtext.rebuilt(words.withColumn("confidence", 0.5 + (F.length("word") % 10) / 20.0), "doc_id")
+    return rounded(back.select("doc_id", F.md5(F.replace("text", F.lit("\n"), F.lit(" "))).alias("hash"), "confidence"))
 
 
 @query(
@@ -98,19 +104,6 @@ def heading_forward(spark, d):
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.md5(F.coalesce(F.last(title, ignorenulls=True).over(w), F.lit(""))).alias("heading"))
 
 
-@query(
-    "question_parts",
-    "SELECT conv_id, turn, CAST(nullif(regexp_extract(q, 'n\\s*(\\d+)', 1), '') AS INT) AS day, CASE WHEN contains(q, 'tiểu cầu') THEN 'tieucau' WHEN contains(q, 'hct') THEN 'Hct' END AS measure FROM (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN 'Tiểu cầu N' || (turn + 1) ELSE 'HCT ngày' END) AS q FROM conversations)",
-)
-def question_parts(spark, d):
-    q = F.lower(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Tiểu cầu N"), (F.col("turn") + 1).cast("string"))).otherwise(F.lit("HCT ngày")))
-    day = F.nullif(F.regexp_extract(q, r"n\s*(\d+)", 1), F.lit("")).cast("int")
-    from tessella.functions.constants import MEASURES as NAMES
-
-    rules = sorted(NAMES.items(), key=lambda kv: -len(kv[0]))
-    return table(spark, d, "conversations").select("conv_id", "turn", day.alias("day"), X.first_match(q, rules).alias("measure"))
-
-
 @query("session_slugs", "SELECT s_suppkey, substr(regexp_replace(regexp_replace(trim(s_name), '[^\\p{L}\\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS slug FROM supplier")
 def session_slugs(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", sessions.slug(F.col("s_name")).alias("slug"))

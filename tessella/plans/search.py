@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
 from tessella.functions import text as X
+from tessella.functions.shared import written
 from tessella.operators import graph, labtext, position, retrieval
 
 from .common import rounded, table
@@ -55,7 +56,12 @@ def section_chunks(spark, d):
     return retrieval.section_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("sentences")
+@query(
+    "sentences",
+    "WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(trim(text), '\\n+\\s*-\\s*', '. ', 'g'), '\\n+', ' ', 'g') AS t FROM documents), "
+    "s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?;])\\s+(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 8) AS s FROM f) "
+    "SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS place, unnest(s) AS sentence FROM s",
+)
 def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
 
@@ -75,8 +81,10 @@ def _queries(spark, d):
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents")
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size(X.words(F.col("text")))), 9).alias("mean")).first()
-    return retrieval.bm25(retrieval.postings(docs, "doc_id", "text"), size["n"], size["mean"] or 1.0, _queries(spark, d), "doc_id", C.CANDIDATES)
+    post = written(retrieval.postings(docs, "doc_id", "text"))  # texts are read once; the mean size comes from the postings
+    n = docs.count()
+    mean = round((post.agg(F.sum("tf")).first()[0] or 0) / max(n, 1), 9)
+    return retrieval.bm25(post, n, mean or 1.0, _queries(spark, d), "doc_id", C.CANDIDATES)
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm")
@@ -140,7 +148,16 @@ def keyword_overlap(spark, d):
     return retrieval.overlap_top(docs, _queries(spark, d), "doc_id", 5)
 
 
-@query("query_expand")
+_HELD = ", ".join(
+    f"CASE WHEN {' OR '.join(f"contains(' ' || low || ' ', ' {v} ')" for v in [t, *o])} THEN [{', '.join(f"'{v}'" for v in [t, *o[:2]])}] ELSE [] END" for t, o in C.SYNONYMS.items()
+)
+
+
+@query(
+    "query_expand",
+    f"WITH q AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' PLT và dengue shock' ELSE '' END AS q FROM conversations WHERE role = 'user'), l AS (SELECT *, lower(q) AS low FROM q), "
+    f"e AS (SELECT conv_id, turn, q, list_filter(flatten([{_HELD}]), lambda v: NOT contains(low, v)) AS e FROM l) SELECT conv_id, turn, array_to_string(list_concat([q], e[1:6]), ' ') AS expanded FROM e",
+)
 def query_expand(spark, d):
     asked = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" PLT và dengue shock")).otherwise(F.lit("")))
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", retrieval.expanded(asked).alias("expanded"))
@@ -222,10 +239,16 @@ def graph_facts(spark, d):
     return _flat(graph.facts(_paths(spark, d, 3), 40))
 
 
-@query("graph_question_facts")
+_ASKED = """t AS (SELECT list(DISTINCT 'n' || n_nationkey) AS t FROM nation WHERE n_nationkey % 10 = 2 AND n_nationkey > 9),
+w AS (SELECT p.*, list_distinct(list_filter(regexp_extract_all(lower(array_to_string(path, ' ')), '([\\p{L}\\p{N}]+)', 1), lambda x: length(x) >= 3)) AS w FROM p),
+s AS (SELECT w.*, CASE WHEN len(w) > 0 THEN least(1.0::DOUBLE, len(list_intersect(w, t)) / len(w)::DOUBLE) ELSE 0 END + 0.3::DOUBLE * score AS q FROM w, t)"""
+
+
+@query("graph_question_facts", f"WITH RECURSIVE {_TREE}, {_PATHS.format(h=3)}, {_ASKED} {_FLAT.replace('FROM p', 'FROM s')} WHERE q >= 0.15 ORDER BY q DESC, s.score DESC, hops, array_to_string(s.path, '/') LIMIT 6")
 def graph_question(spark, d):
     nodes, edges = _tree(spark, d)
-    return _flat(graph.question_score(_paths(spark, d, 3), ["n12", "s11", "r2s", "contains"], 0.1))
+    asked = [r["id"] for r in table(spark, d, "nation").where("n_nationkey % 10 = 2 and n_nationkey > 9").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id")).collect()]
+    return _flat(graph.answered(_paths(spark, d, 3), asked))
 
 
 @query("graph_evidence_counts", f"WITH RECURSIVE {_TREE}, {_PATHS.format(h=3)} SELECT label, count(*) AS n FROM p JOIN nodes ON id = e WHERE type = 'region' GROUP BY label")
@@ -289,42 +312,50 @@ def longest_run(spark, d):
     return graph.longest_run(_runs(spark, d), "source")
 
 
-_LAB = "CASE doc_id % 4 WHEN 0 THEN 'PLT: 4' || (doc_id % 90 + 10) || ' K/uL' WHEN 1 THEN 'WBC ' || (doc_id % 9) || ',5 k/ul' WHEN 2 THEN 'NS1 positive' ELSE 'note' END"
+_LAB = "CASE doc_id % 4 WHEN 0 THEN 'PLT: l' || (doc_id % 9) || 'O K/uL' WHEN 1 THEN 'WBC ' || (doc_id % 9) || ',5 k/ul' WHEN 2 THEN 'NS1 positive' ELSE 'note' END"
 
 
 def _reports(spark, d):
-    """Each document with a laboratory line before its text."""
+    """Each whole text with a laboratory line before it."""
     i = F.col("doc_id")
     line = (
-        F.when(i % 4 == 0, F.concat(F.lit("PLT: 4"), (i % 90 + 10).cast("string"), F.lit(" K/uL")))
+        F.when(i % 4 == 0, F.concat(F.lit("PLT: l"), (i % 9).cast("string"), F.lit("O K/uL")))
         .when(i % 4 == 1, F.concat(F.lit("WBC "), (i % 9).cast("string"), F.lit(",5 k/ul")))
         .when(i % 4 == 2, F.lit("NS1 positive"))
         .otherwise(F.lit("note"))
     )
-    return table(spark, d, "documents").select("doc_id", F.concat(line, F.lit("\n"), F.lower(F.regexp_replace("text", r"[^\p{L} \n]", ""))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat(line, F.lit("\n"), "text").alias("text"))
 
 
-@query(
-    "lab_line_parse",
-    f"SELECT doc_id, exam, CASE exam WHEN 'PLT' THEN CAST(regexp_extract(l, '([0-9]+)', 1) AS DOUBLE) WHEN 'WBC' THEN CAST(replace(regexp_extract(l, '([0-9]+,[0-9])', 1), ',', '.') AS DOUBLE) END AS value, CASE exam WHEN 'NS1' THEN 'positive' END AS word, CASE WHEN exam <> 'NS1' THEN 'k/ul' END AS unit "
-    f"FROM (SELECT doc_id, l, CASE doc_id % 4 WHEN 0 THEN 'PLT' WHEN 1 THEN 'WBC' WHEN 2 THEN 'NS1' END AS exam FROM (SELECT doc_id, {_LAB} AS l FROM documents)) WHERE exam IS NOT NULL",
+def _word(names: list[str]) -> str:
+    return "(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(n.replace("(", "\\(").replace(")", "\\)") for n in names) + ")(?:$|[^\\p{L}\\p{N}_])"
+
+
+_EVERY = "|".join(a.replace("(", "\\(").replace(")", "\\)") for names in C.EXAMS.values() for a in sorted(names, key=len, reverse=True))
+_DROP = f"regexp_replace({{}}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])(?:{_EVERY})($|[^\\p{{{{L}}}}\\p{{{{N}}}}_])', '\\1 \\2', 'g')"
+_ROWS = (
+    f"l AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split({_LAB} || chr(10) || text, chr(10)) AS ls FROM documents)), "
+    "x AS (SELECT doc_id, line, lower(t) AS low, CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{_word(n)}') THEN '{e}'" for e, n in C.EXAMS.items()) + " END AS exam FROM l), "
+    f"y AS (SELECT *, {_DROP.format(_DROP.format('low'))} AS rest FROM x WHERE exam IS NOT NULL), "
+    "z AS (SELECT doc_id, exam, line, TRY_CAST(replace(nullif(regexp_extract(rest, '(-?\\d+(?:[.,]\\d+)?)', 1), ''), ',', '.') AS DOUBLE) AS value, nullif(regexp_extract(rest, '(positive|negative|dương tính|âm tính)', 1), '') AS word, "
+    "nullif(regexp_extract(low, '(k/ul|m/ul|g/dl|u/l|mmol/l|umol/l|%)', 1), '') AS unit, row_number() OVER (PARTITION BY doc_id, exam ORDER BY line) AS r FROM y)"
 )
+
+
+@query("lab_line_parse", f"WITH {_ROWS} SELECT doc_id, exam, line, value, word, unit FROM z WHERE r = 1")
 def lab_line_parse(spark, d):
-    rows = labtext.lab_rows(_reports(spark, d), "doc_id").where("line = 0")
-    return rows.select("doc_id", "exam", "value", "word", "unit")
+    return labtext.lab_rows(_reports(spark, d), "doc_id")
 
 
-@query(
-    "ocr_number_fix",
-    f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'PLT: 1' || (doc_id % 9) || '0 K/uL' ELSE {_LAB} END AS fixed FROM (SELECT doc_id FROM documents) WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, 'WBC ' || (doc_id % 9) || '.5 k/ul' FROM documents WHERE doc_id % 4 = 1",
-)
+_FIXED = "list_transform(string_split({}, ' '), lambda t: CASE WHEN regexp_matches(t, '^[0-9OolISBZg.,%<>=-]*[0-9][0-9OolISBZg.,%<>=-]*\\z') THEN regexp_replace(translate(t, 'OolISBZg', '00115829'), '^([^,]*\\d),(\\d{{1,3}})\\z', '\\1.\\2') ELSE t END)"
+
+
+@query("ocr_number_fix", f"SELECT doc_id, md5(array_to_string({_FIXED.format(f'{_LAB} || chr(10) || text')}, ' ')) AS hash FROM documents")
 def ocr_number_fix(spark, d):
-    first = F.get(F.split("text", "\n"), 0)
-    scanned = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("PLT: l"), (F.col("doc_id") % 9).cast("string"), F.lit("O K/uL"))).otherwise(first)
-    return _reports(spark, d).select("doc_id", labtext.repaired(scanned).alias("fixed"))
+    return _reports(spark, d).select("doc_id", F.md5(labtext.repaired(F.col("text"))).alias("hash"))
 
 
-@query("lab_exam_counts")
+@query("lab_exam_counts", f"WITH {_ROWS} SELECT exam, count(*) AS n FROM z WHERE r = 1 GROUP BY exam")
 def lab_exam_counts(spark, d):
     return labtext.lab_rows(_reports(spark, d), "doc_id").groupBy("exam").agg(F.count(F.lit(1)).alias("n"))
 

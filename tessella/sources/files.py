@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLIT_META = "source string, created_at string, test_size double, random_state int, target_col string, n_total int, n_train int, n_test int, train_class_distribution map<string,int>, test_class_distribution map<string,int>, train_file string, test_file string"
@@ -25,6 +25,56 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in floats}) if floats else df
 
 
+def read_cohort(spark: SparkSession, path: str, schema: str, order: list[str], severity: str, sex: str) -> DataFrame:
+    """The cohort's CSV with patient_id (BN_001 and on, in the order of columns that tell rows apart), severity_group and
+    sex_label. Ranks are taken in ranges of the first of these columns, so no task numbers all rows."""
+    from tessella.operators import questions
+    from tessella.operators.position import ranges
+
+    df = read_csv(spark, path, schema)
+    first = F.coalesce(F.col(order[0]).cast("string"), F.lit(""))
+    placed = ranges(df.select(first.alias("_first")), [], "_first").select(F.col("_first").alias("_f"), "start")
+    inside = F.row_number().over(Window.partitionBy("_f").orderBy(*order))
+    numbered = df.withColumn("_first", first).join(placed, F.col("_first") == F.col("_f")).withColumn("_n", F.col("start") + inside)
+    names = {"patient_id": F.concat(F.lit("BN_"), F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string")))}
+    names |= {"severity_group": questions.severity_group(F.col(severity)), "sex_label": questions.sex_label(F.col(sex))}
+    return numbered.withColumns(names).select("patient_id", *df.columns, "severity_group", "sex_label")
+
+
+def read_split(spark: SparkSession, folder: str, percent: int, schema: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Train part, test part and what is known of a split of `percent` rows for training, as write_split leaves them."""
+    meta = read_json(spark, f"{folder}/meta_{percent}", SPLIT_META, whole=False).first().asDict(recursive=True)
+    return read_csv(spark, f"{folder}/train_{percent}", schema), read_csv(spark, f"{folder}/test_{100 - percent}", schema), meta
+
+
+def write_split(split: DataFrame, folder: str, percent: int, label: str, source: str, seed: int) -> None:
+    """The two parts of stratified_split as CSV and a line of JSON about them: sizes, classes, seed."""
+    counts = {part: {str(r[label]): r["count"] for r in split.where(F.col("split") == part).groupBy(label).count().collect()} for part in ("train", "test")}
+    n = {part: sum(c.values()) for part, c in counts.items()}
+    names = {"train": f"train_{percent}", "test": f"test_{100 - percent}"}
+    for part, name in names.items():
+        write_csv(split.where(F.col("split") == part).drop("split"), f"{folder}/{name}")
+    now = split.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("t")).first()["t"]
+    row = (source, now, 1 - percent / 100, seed, label, sum(n.values()), n["train"], n["test"], counts["train"], counts["test"], names["train"], names["test"])
+    write_json(split.sparkSession.createDataFrame([row], SPLIT_META).coalesce(1), f"{folder}/meta_{percent}")
+
+
+def read_evaluation(spark: SparkSession, path: str, schema: str, label: str, numbers: bool = False) -> DataFrame:
+    """An evaluation set with truth 1, 2 or 3, from a column of labels by name or by number; other labels have none."""
+    from tessella.operators.forms import LABELS
+
+    known = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    number = F.when(F.col(label).try_cast("int").isin(1, 2, 3), F.col(label).try_cast("int"))
+    truth = number if numbers else F.try_element_at(known, F.lower(F.trim(F.col(label).cast("string"))))
+    return read_csv(spark, path, schema).withColumn("truth", truth)
+
+
+def write_holdout(df: DataFrame, path: str, features: list[str], label: str) -> None:
+    """Features with _ground_truth and its name, as CSV."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in ((1, "thuong"), (2, "canhbao"), (3, "nang")) for x in kv]), F.col(label).cast("int"))
+    write_csv(df.select(*features, F.col(label).alias("_ground_truth"), name.alias("_ground_truth_label")), path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -75,6 +125,14 @@ def graph_frames(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> t
     return spark.createDataFrame(n, "id string, type string, label string, attrs string"), spark.createDataFrame(e, "src string, dst string, relation string, weight double")
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a YAML file of a few dozen lines, read through Spark, so from any store. Needs a YAML parser."""
+    import yaml
+
+    found = yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"])
+    return graph_frames(spark, found.get("nodes") or [], found.get("edges") or [])
+
+
 def graph_yaml(nodes: DataFrame, edges: DataFrame) -> str:
     """A graph of a few dozen nodes as YAML; strings are quoted."""
     quote = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"') + '"'

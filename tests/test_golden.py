@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions
+from tessella.operators import cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions, triage
 from tessella.plans import search
 from tessella.plans.common import MEASURES
 
@@ -226,3 +226,131 @@ def test_nearest_ties_go_by_patient(spark):
     vectors = spark.createDataFrame([(0, 0.0), *near], "patient long, x double")
     got = position.nearest(vectors, vectors.where("patient = 0"), ["x"], 5).orderBy("rank").collect()
     assert [r["patient"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_chained_imputation_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    n, days, measures = 30, 6, ["a", "b", "c"]
+    base = rng.standard_normal((n, days))
+    truth = np.stack([base + 0.1 * rng.standard_normal((n, days)), 2 * base + 0.1 * rng.standard_normal((n, days)), -base + 0.5], 2)
+    seen = truth.copy()
+    seen[rng.random(seen.shape) < 0.3] = np.nan
+    rows = [(p, m, d + 1, None if np.isnan(seen[p, d, k]) else float(seen[p, d, k])) for p in range(n) for k, m in enumerate(measures) for d in range(days)]
+    obs = spark.createDataFrame(rows, "patient int, measure string, day int, value double")
+    got = {(r["patient"], r["measure"], r["day"]): (r["value"], r["imputed"]) for r in series.impute_chained(obs, measures, rounds=4, ridge=0.5).collect()}
+    flat = seen.reshape(-1, 3)
+    there, median = ~np.isnan(flat), np.nanmedian(flat, axis=0)
+    x = np.where(there, flat - median, 0.0)
+    for _ in range(4):
+        new = x.copy()
+        for t in range(3):
+            others = [i for i in range(3) if i != t]
+            a = np.column_stack([np.ones(len(x)), x[:, others]])
+            use = there[:, t]
+            beta = np.linalg.solve(a[use].T @ a[use] + np.diag([1e-9, 0.5, 0.5]), a[use].T @ x[use, t])
+            new[~use, t] = (a @ beta)[~use]
+        x = new
+    full = (x + median).reshape(seen.shape)
+    for p in range(n):
+        for k, m in enumerate(measures):
+            at = np.flatnonzero(~np.isnan(seen[p, :, k]))
+            for d in range(days):
+                value, imputed = got[p, m, d + 1]
+                inner = len(at) > 0 and at[0] < d < at[-1] and np.isnan(seen[p, d, k])
+                assert imputed == int(inner)
+                if inner:
+                    assert value == pytest.approx(full[p, d, k], abs=1e-8)
+                else:
+                    assert (value is None) == np.isnan(seen[p, d, k])
+    assert np.abs(full - truth)[np.isnan(seen)].mean() < 0.5 * np.abs(np.nanmedian(seen) - truth)[np.isnan(seen)].mean()
+
+
+def test_a_client_is_asked_once(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def start():
+        import uuid
+
+        def client(prompts):
+            with open(f"{marks}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(len(prompts)))
+            return ['{"label": "nặng", "confidence": 0.5}'] * len(prompts)
+
+        return client
+
+    got = triage.triaged(spark.createDataFrame([(i, "p") for i in range(10)], "k int, prompt string"), "k", "prompt", start).collect()
+    assert len(got) == 10 and {r["predicted"] for r in got} == {3} and sum(int(f.read_text()) for f in tmp_path.iterdir()) == 10
+
+
+def test_clinical_signs(spark):
+    base = {"plt": None, "wbc": None, "hct": None, "ast": None, "alt": None}
+    fields = "patient int, plt double, wbc double, hct double, ast double, alt double, serology boolean, myalgia boolean, oliguria boolean, dyspnea boolean, hct_up_plt_down boolean, hct_drop_suspicious boolean"
+    rows = [(i, *base.values(), False, *[j == i for j in range(5)]) for i in range(6)]
+    got = {r["patient"]: r["level"] for r in labtext.severity_rules(spark.createDataFrame(rows, fields)).collect()}
+    assert got == {0: "evidence", 1: "warning", 2: "red flag", 3: "warning", 4: "red flag", 5: "insufficient"}
+
+
+def test_headings_noise_and_compatible_text(spark):
+    level = retrieval.heading_level
+    assert [level(x) for x in ("8. Điều trị", "8.2.1. Điều trị cụ thể", "Phần II: Chẩn đoán", "PHỤ LỤC 23: Bảng", "CHẨN ĐOÁN BỆNH", "CAPS", "8.2", "word line", "1.2.3.4.5.6 deep")] == [3, 5, 1, 1, 2, None, None, None, None]
+    assert [retrieval.is_noise(x) for x in ("Truyền nhiễm ", " 12 ", "12345", "x")] == [True, True, False, False]
+    df = spark.createDataFrame([(1, "ﬁne ①"), (2, None)], "k int, t string")
+    assert [r["x"] for r in df.select(retrieval.compatible(F.col("t")).alias("x")).collect()] == ["fine 1", None]
+
+
+def test_runs_across_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, int(p), int(rng.integers(0, 5))) for b in (1, 2) for p in np.flatnonzero(rng.random(400) < 0.8)]
+    df = spark.createDataFrame(rows, "book int, page int, score int")
+    plain = {tuple(r) for r in graph.runs(df, "book", "page", "score").select("book", "run", "first", "last", "n_core").collect()}
+    assert plain == {tuple(r) for r in graph.runs(df, "book", "page", "score", part=7).select("book", "run", "first", "last", "n_core").collect()}
+    want, state = [], {}
+    for b, p, s in sorted(rows):
+        last, broken, run = state.get(b, (None, False, 0))
+        broken = broken or s < 1
+        if s >= 3:
+            if last is None or p - last > 5 or broken:
+                run += 1
+                want.append([b, run, p, p, 0])
+            want[-1][3], want[-1][4] = p, want[-1][4] + 1
+            last, broken = p, False
+        state[b] = (last, broken, run)
+    assert plain == {tuple(w) for w in want}
+
+
+def test_facts_fall_back_to_the_best_paths(spark):
+    edges = spark.createDataFrame([("aaa", "bbb", "r", 1.0), ("aaa", "ccc", "r", 2.0)], "src string, dst string, relation string, weight double")
+    found = graph.paths(edges, spark.createDataFrame([("aaa",)], "id string"), 1)
+    assert graph.answered(found, ["bbb"], least=0.7).count() == 1
+    assert [r["path"][-1] for r in graph.answered(found, ["zzz"], least=0.9).collect()] == ["ccc", "bbb"]
+    block = found.agg(forms.facts_block(found).alias("b")).first()["b"]
+    assert block == "aaa -[r]-> ccc\naaa -[r]-> bbb"
+
+
+def test_runs_are_stored_by_tag(spark, records, tmp_path):
+    for tag in ("a", "b"):
+        evaluate.store_run(records, str(tmp_path), tag)
+    got = spark.read.json(f"{tmp_path}/*/metrics")
+    assert {r["tag"] for r in got.select("tag").collect()} == {"a", "b"} and "| accuracy | 0.4286 |" in spark.read.text(f"{tmp_path}/tag=a/report", wholetext=True).first()["value"]
+    assert spark.read.csv(f"{tmp_path}/tag=a/records", header=True).count() == 8
+
+
+def test_cards_and_messages(spark):
+    row = [(1, "nam", 30, None, 4, "", ["đau bụng"], [], ["PLT: N1=50"])]
+    df = spark.createDataFrame(row, "k int, sex string, age int, weight double, day int, illness string, signs array<string>, flags array<string>, labs array<string>")
+    card = forms.described(df, "k", "sex", "age", "weight", "day", "illness", ["signs", "flags"], "labs").first()["card"]
+    assert card == "--- Bệnh nhân ---\nThông tin: nam, 30 tuổi, ?kg\nNgày bệnh khi nhập viện: N4\nsigns: đau bụng\nLab theo ngày:\n  PLT: N1=50"
+    none = F.lit(None).cast("array<struct<role:string,content:string>>")
+    said = df.select(forms.messages(F.lit("s"), none, F.lit("c"), F.lit("q")).alias("m")).first()["m"]
+    assert [(m["role"], m["content"]) for m in said] == [("system", "s"), ("system", "c"), ("user", "q")]
+    line = df.select(forms.trend_line(F.lit(2), F.lit(4), F.lit(10.0), F.lit(15.0), F.lit(50.0)).alias("x")).first()["x"]
+    assert line == "thấp nhất N2, cao nhất N4, từ 10.0 đến 15.0 (+50.0%)"
+
+
+def test_models_are_saved_and_say_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)], "k int, a double, b double, y int")
+    fitted = model.fit_forest(df, ["a", "b"], "y")
+    model.save(fitted, f"{tmp_path}/m", {"features": ["a", "b"]})
+    loaded, meta = model.load(f"{tmp_path}/m")
+    assert meta == {"features": ["a", "b"]} and model.importance(loaded, ["a", "b"], 1)[0][0] == "a"
+    assert model.predict(loaded, df, ["a", "b"]).where("predicted = y").count() == 200

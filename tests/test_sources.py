@@ -41,3 +41,29 @@ def test_streams_agree_with_batch(spark, tiny, tmp_path):
     batch = spark.read.parquet(f"{tiny}/events.parquet").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     got = spark.table("latest_values").select("user_id", "event_type", "value")
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count()
+
+
+def test_cohort_splits_and_evaluation_sets(spark, tmp_path):
+    from tessella.operators import model
+
+    df = spark.createDataFrame([(i, "soc" if i % 4 == 0 else "canhbao", i % 2 + 1, i % 3 + 1) for i in range(40)], "k int, note string, sex int, y int")
+    files.write_csv(df, f"{tmp_path}/cohort")
+    got = files.read_cohort(spark, f"{tmp_path}/cohort", "k int, note string, sex int, y int", ["k"], "note", "sex").orderBy("patient_id").collect()
+    assert [r["patient_id"] for r in got] == [f"BN_{i:03d}" for i in range(1, 41)] and got[0]["severity_group"] == "sốc / nặng" and {r["sex_label"] for r in got} == {"nam", "nữ"}
+    files.write_split(model.stratified_split(df, "k", "y"), f"{tmp_path}/splits", 80, "y", "cohort", 42)
+    train, test, meta = files.read_split(spark, f"{tmp_path}/splits", 80, "k int, note string, sex int, y int")
+    assert train.count() == meta["n_train"] and test.count() == meta["n_test"] and meta["n_total"] == 40 and train.intersect(test).count() == 0
+    files.write_holdout(df, f"{tmp_path}/holdout", ["k"], "y")
+    back = files.read_evaluation(spark, f"{tmp_path}/holdout", "k int, _ground_truth int, _ground_truth_label string", "_ground_truth_label")
+    assert back.where("truth = _ground_truth").count() == 40
+    assert files.read_evaluation(spark, f"{tmp_path}/holdout", "k int, _ground_truth int, _ground_truth_label string", "_ground_truth", True).where("truth is null").count() == 0
+
+
+def test_graph_file(spark, tmp_path):
+    import pytest
+
+    pytest.importorskip("yaml")
+    nodes, edges = files.graph_frames(spark, [{"id": "a", "type": "lab", "label": "x: y"}], [{"source": "a", "target": "b", "relation": "treats", "weight": 1.5}])
+    (tmp_path / "g.yaml").write_text(files.graph_yaml(nodes, edges))
+    back = files.read_graph(spark, f"{tmp_path}/g.yaml")
+    assert back[0].first()["label"] == "x: y" and back[1].first()["weight"] == 1.5
