@@ -73,11 +73,10 @@ class Chain:
     def fit(self, found: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, each: Callable = map) -> Chain:
         """found: the numbers of each row's terms; each: how the fits of one category, which don't need one another, are run."""
         n, width = len(found), len(self.index)
-        rows = np.repeat(np.arange(n), [len(f) for f in found])
-        cols = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int64)
+        sizes, cols = np.array([len(f) for f in found], np.int32), np.concatenate([*found, np.zeros(0, np.int32)])
         earlier = np.zeros((n, 0))
         for k in range(len(self.categories)):
-            jobs = Fits(width, rows, cols, earlier, labels[:, k].astype(float), fold)
+            jobs = Fits(width, sizes, cols, earlier, labels[:, k], fold)
             *outside, whole = each(jobs, [*range(FOLDS), None])
             out = np.zeros(n)
             for f, (*_, p) in enumerate(outside):
@@ -100,16 +99,19 @@ class Chain:
 
 class Fits:
     """The fits of one category: called with a fold, the weights (of terms, of earlier categories, and the constant) that the
-    other folds teach, and what they say of this one; with None, those of all rows."""
+    other folds teach, and what they say of this one; with None, those of all rows. It travels to tasks: term numbers take
+    two bytes each, and rows are told by their sizes."""
 
-    def __init__(self, width: int, rows: np.ndarray, cols: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        self.width, self.rows, self.cols, self.earlier, self.y, self.fold = width, rows, cols, earlier, y, fold
+    def __init__(self, width: int, sizes: np.ndarray, cols: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray):
+        self.width, self.sizes, self.cols = width, sizes.astype(np.int32), cols.astype(np.uint16 if width <= 65_536 else np.int32)
+        self.earlier, self.y, self.fold = earlier, y.astype(np.int8), fold.astype(np.int8)
 
     def __call__(self, f: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols = np.repeat(np.arange(len(self.sizes)), self.sizes), self.cols.astype(np.int64)
         inside = np.ones(len(self.y), bool) if f is None else self.fold != f
-        use, seen, unseen = inside[self.rows], np.cumsum(inside) - 1, np.cumsum(~inside) - 1
-        model = Linear(self.width, self.earlier.shape[1]).fit(seen[self.rows[use]], self.cols[use], self.earlier[inside], self.y[inside])
-        return model.w, model.v, np.array([model.b]), model.predict(unseen[self.rows[~use]], self.cols[~use], self.earlier[~inside])
+        use, seen, unseen = inside[rows], np.cumsum(inside) - 1, np.cumsum(~inside) - 1
+        model = Linear(self.width, self.earlier.shape[1]).fit(seen[rows[use]], cols[use], self.earlier[inside], self.y[inside].astype(float))
+        return model.w, model.v, np.array([model.b]), model.predict(unseen[rows[~use]], cols[~use], self.earlier[~inside])
 
 
 def in_tasks(spark: SparkSession) -> Callable:
