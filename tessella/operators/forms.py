@@ -50,7 +50,8 @@ def lab_table(rows: DataFrame, key: str) -> DataFrame:
 
 def facts_block(facts: DataFrame, most: int = 6) -> Column:
     """Graph facts (path, relations, score: columns of facts) of the best `most` as lines a -[r]-> b."""
-    step = lambda f: F.array_join(F.flatten(F.transform(F.arrays_zip(f["path"], F.concat(f["relations"], F.array(F.lit("")))), lambda z: F.array(z["0"], F.when(z["1"] != "", F.concat(F.lit("-["), z["1"], F.lit("]->"))).otherwise("")))), " ")
+    arrow = lambda a, r: F.when(r != "", F.concat(a, F.lit(" -["), r, F.lit("]->"))).otherwise(a)
+    step = lambda f: F.array_join(F.zip_with(f["path"], F.concat(f["relations"], F.array(F.lit(""))), arrow), " ")
     best = F.slice(F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("path"), F.col("relations"))), asc=False), 1, most)
     return F.array_join(F.transform(best, lambda f: F.trim(step(f))), "\n")
 
