@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, quality, secrets, sharding, toxicity
+from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, quality, secrets, sharding, toxicity, whitening
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, language_model.train(docs.where(~language_model.held_out())))
 
 
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 32).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
