@@ -126,7 +126,8 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
                     v = _solved(matrix, value, v, tiny / 64)
                     value = float(v @ matrix @ v)
                 _, value, v = best
-                if low - tiny <= value <= high + tiny:
+                slack = tiny if high - low <= tiny else 0.0
+                if low - slack <= value <= high + slack:
                     values.append(value)
                     vectors.append(_clear(v, vectors))
                     break
