@@ -120,14 +120,14 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
                 best = (math.inf, value, v)
                 for _ in range(12 if alone else 0):
                     gone = float(np.abs(matrix @ v - value * v).max())
-                    if gone >= best[0]:
+                    if gone >= best[0] and best[0] <= tiny:
                         break
-                    best = (gone, value, v)
+                    best = min(best, (gone, value, v), key=lambda x: x[0])
                     v = _solved(matrix, value, v, tiny / 64)
                     value = float(v @ matrix @ v)
-                _, value, v = best
+                gone, value, v = best if alone else (0.0, value, v)
                 slack = tiny if high - low <= tiny else 0.0
-                if low - slack <= value <= high + slack:
+                if gone <= tiny and low - slack <= value <= high + slack:
                     values.append(value)
                     vectors.append(_clear(v, vectors))
                     break
