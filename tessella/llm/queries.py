@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, quality, secrets, sharding, toxicity, whitening
+from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, prefix_trie, quality, secrets, sharding, toxicity, whitening
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, language_model.train(docs.where(~language_model.held_out())))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 32).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
@@ -87,6 +91,30 @@ c AS (SELECT v, min(x) AS component_id FROM r GROUP BY v), n AS (SELECT a, count
 SELECT v AS vec_id, coalesce(n_links, 0) AS n_links, component_id, v = component_id AS kept FROM c LEFT JOIN n ON a = v"""
 
 
+_TRIE = """WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+t AS (SELECT i, CASE WHEN i % 2 = 1 THEN xor(i // 2, 3988292384) ELSE i // 2 END AS j FROM range(256) r(i)),
+t2 AS (SELECT t.i, CASE WHEN t.j % 2 = 1 THEN xor(t.j // 2, 3988292384) ELSE t.j // 2 END AS j FROM t),
+t3 AS (SELECT i, CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END AS j FROM t2),
+t4 AS (SELECT i, CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END AS j FROM t3),
+t5 AS (SELECT i, CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END AS j FROM t4),
+t6 AS (SELECT i, CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END AS j FROM t5),
+t7 AS (SELECT i, CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END AS j FROM t6),
+t8 AS (SELECT list(CASE WHEN j % 2 = 1 THEN xor(j // 2, 3988292384) ELSE j // 2 END ORDER BY i) AS t FROM t7),
+p AS (SELECT n.c, n.n, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(n.c AS VARCHAR)) + 1), lambda k: CAST(ascii(substring(CAST(n.c AS VARCHAR), k, 1)) AS BIGINT))),
+  lambda a, b: xor(a // 256, t8.t[xor(a % 256, b) + 1])) AS crc FROM n, t8),
+h AS (SELECT p.c, p.n, xor(crc, 4294967295) % 4 AS h, least(xor(crc, 4294967295) % 4, coalesce(b.n, 0)) AS g FROM p LEFT JOIN n b ON b.c = p.c - p.c % 20),
+r AS (SELECT h.c, o.pos - h.h + h.g AS d, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.pos > h.h UNION ALL SELECT h.c, o.pos, o.role, o.text FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos <= h.g),
+z AS (SELECT c, 0 AS d, list_value() AS path, 0 AS words FROM n UNION ALL
+  SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING), len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) FROM r),
+y AS (SELECT c, CAST(d AS BIGINT) AS d, md5(CAST(to_json(path) AS VARCHAR)) AS k, words, lag(md5(CAST(to_json(path) AS VARCHAR))) OVER (PARTITION BY c ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY c) AS ends FROM z),
+v AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(pk) AS pk, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM y GROUP BY k, d),
+k AS (SELECT pk, count(*) AS n_children FROM v WHERE pk IS NOT NULL GROUP BY pk),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS worth FROM v LEFT JOIN k ON k.pk = v.k),
+s AS (SELECT a.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum(w.worth) AS saved_tokens FROM w JOIN y b ON b.k = w.k AND b.c = w.conv_id JOIN y a ON a.c = b.c AND a.d <= b.d GROUP BY a.k)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(w.ids) AS ends_sha256 FROM w JOIN s ON s.k = w.k LEFT JOIN v q ON q.k = w.pk"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators train models, tokenise or parse, which SQL can't express."""
-    return {"op1_ngram_jaccard_join": _JACCARD, "op8_pivot_range_join": _COSINE}
+    return {"op1_ngram_jaccard_join": _JACCARD, "op8_pivot_range_join": _COSINE, "op12_prefix_trie": _TRIE}
