@@ -16,7 +16,8 @@ by_value(__name__)
 
 WINDOW = 4096
 END_ID = 2
-CACHE = 1_200_000
+#: Chunks of which a worker keeps the ids: so many met of late, and as many before them.
+CACHE = 400_000
 _SIGNS = b".,;:!?#$%&*"
 _PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789"
 _SCALE = 1 << 40
@@ -85,7 +86,7 @@ class ChunkIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
 
     def _encode(self, chunks: list[bytes]) -> None:
         words = [c.decode() for c in chunks]
@@ -102,13 +103,19 @@ class ChunkIds:
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         split, found, new = [], [], set()
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         for text in texts:
             raw = (text or "").encode()
             # a special token's name counts only as it is spelt
             chunks = (raw if b"<|" in raw else raw.lower()).split()
             ids = list(map(self.known.get, chunks))
-            missing = [k for k, i in enumerate(ids) if i is None]
+            missing = []
+            for k, i in enumerate(ids):
+                if i is None:
+                    if (i := self.before.get(chunks[k])) is None:
+                        missing.append(k)
+                    else:
+                        self.known[chunks[k]] = ids[k] = i
             new.update([chunks[k] for k in missing])
             split.append(chunks if missing else None)
             found.append((ids, missing))
