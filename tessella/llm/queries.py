@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html, language_model, ngram_join, packing, prefix_trie, quality, secrets, sharding, toxicity, whitening
+from . import decontamination, embedding_dedup, graph_search, html, language_model, ngram_join, packing, prefix_trie, quality, secrets, sharding, toxicity, whitening
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, language_model.train(docs.where(~language_model.held_out())))
 
 
+def op11_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(table(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
