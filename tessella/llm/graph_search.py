@@ -90,6 +90,11 @@ def robust_prune(points: np.ndarray, norms: np.ndarray, own: np.ndarray, candida
     return out
 
 
+def scaled(vectors: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """The vectors in single precision, in units of the largest entry of `like`, within bounds that squares keep."""
+    return np.clip(vectors / np.abs(like).max(), -1e15, 1e15).astype(np.float32)
+
+
 def build(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, int]:
     """(links, start) of a graph over the vectors: links[i] are the places of up to `degree` neighbours, -1 where there are fewer.
 
@@ -97,7 +102,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, slack: f
     meets is pruned to the point's links, and points that are linked to are linked back, and pruned when they have too many.
     """
     n = len(vectors)
-    points = vectors.astype(np.float32)
+    points = scaled(vectors, vectors)
     norms = np.einsum("ij,ij->i", points, points)
     start = int(np.argmin(norms - 2 * points @ points.mean(0)))
     links = np.full((n + 1, degree), -1)
@@ -223,7 +228,7 @@ def _shard(files: Files, name: str) -> tuple:
     total = int(ends[-1])
     ids = raw[at[2] : at[2] + 8 * total].view("<i8")
     links = raw[at[2] + 8 * total :].view("<i4").reshape(n, degree)
-    small = points.astype(np.float32)
+    small = scaled(points, points)
     return points, small, np.einsum("ij,ij->i", small, small), np.r_[links, np.full((1, degree), -1, "<i4")], start, ids, ends - counts, ends
 
 
@@ -256,7 +261,7 @@ def nearest(index: Index, queries: DataFrame, width: int = 2 * BEAM) -> DataFram
                 m, d = raw[:16].view("<i8").tolist()
                 own, asked = raw[16 : 16 + 8 * m].view("<i8"), raw[16 + 8 * m :].view("<f8").reshape(m, d)
                 for i in range(0, m, TOGETHER):
-                    met, _ = beam_search(small, norms, links, begin, asked[i : i + TOGETHER].astype(np.float32), width)
+                    met, _ = beam_search(small, norms, links, begin, scaled(asked[i : i + TOGETHER], points), width)
                     for rep, q, who in zip(own[i : i + TOGETHER].tolist(), asked[i : i + TOGETHER], met, strict=True):
                         who = who[who >= 0]
                         far = distances(points[who], q)
