@@ -85,14 +85,15 @@ def robust_prune(points: np.ndarray, norms: np.ndarray, own: np.ndarray, candida
         if not there.any():
             break
         out[there, k] = order[rows, best][there]
-        left[slack * slack * between[rows, best] <= d] = np.inf
+        left[slack * slack * between[rows, best] < d] = np.inf
         left[rows, best] = np.inf
     return out
 
 
 def scaled(vectors: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """The vectors in single precision, in units of the largest entry of `like`, within bounds that squares keep."""
-    return np.clip(vectors / np.abs(like).max(), -1e15, 1e15).astype(np.float32)
+    """The vectors in single precision, in units of the middle one's largest entry in `like`, within bounds that squares keep."""
+    with np.errstate(over="ignore"):
+        return np.clip(vectors / np.median(np.abs(like).max(1)), -1e15, 1e15).astype(np.float32)
 
 
 def build(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, int]:
