@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators import cohort, forms, labtext, model, position, series
 
-from .common import CLASSED, FILLED, MEASURES, OBS, classed, obs, rounded, table
+from .common import CLASSED, FILLED, MEASURES, OBS, classed, last_day, obs, rounded, table
 
 QUERIES: dict = {}
 
@@ -215,14 +215,14 @@ def stats_cube(spark, d):
 @query(
     "stats_cube_full",
     f"""WITH {CLASSED}, c AS (SELECT measure, day, class, {_CUBE} FROM base WHERE value IS NOT NULL GROUP BY measure, day, class),
-g AS (SELECT m.measure, CAST(d.day AS INT) AS day, CAST(k.class AS INT) AS class FROM (SELECT DISTINCT measure FROM base) m CROSS JOIN range(1, 13) d(day) CROSS JOIN range(1, 4) k(class))
+g AS (SELECT m.measure, CAST(d.day AS INT) AS day, CAST(k.class AS INT) AS class FROM (SELECT DISTINCT measure FROM base) m CROSS JOIN (SELECT unnest(range(1, (SELECT max(day) FROM base) + 3)) AS day) d CROSS JOIN range(1, 4) k(class))
 SELECT g.measure, g.day, g.class, """
     + ", ".join(f"coalesce(c.{s}, 0) AS {s}" for s in position.STATS)
     + " FROM g LEFT JOIN c ON c.measure = g.measure AND c.day = g.day AND c.class = g.class",
 )
 def stats_cube_full(spark, d):
     base = classed(spark, d)
-    grid = base.select("measure").distinct().select("measure", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("day"))
+    grid = base.select("measure").distinct().select("measure", F.explode(F.sequence(F.lit(1), F.lit(last_day(spark, d) + 2))).alias("day"))
     return rounded(position.cube(base, grid.select("measure", "day", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("class"))))
 
 

@@ -8,26 +8,33 @@ from pyspark.sql import functions as F
 from tessella.operators import series
 from tessella.sources.files import read_table as table
 
-FIRST, LAST = 1, 10
 MEASURES = ["click", "error", "purchase", "signup", "view"]
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> int:
+    """Days from the first event of the table to the last, both counted."""
+    ends = table(spark, sf_dir, "events").agg(F.date_diff(F.max("ts"), F.min("ts"))).first()
+    return (ends[0] or 0) + 1
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as daily means of each user and type: patient, measure, day (1 to 10, complete), value."""
+    """All events as daily means of each user and type: patient, measure, day (1 is that of the table's first event; every day up
+    to its last has a row), value."""
     events = table(spark, sf_dir, "events")
-    day = F.dayofmonth("ts")
-    cells = events.where(day.between(FIRST, LAST)).groupBy(F.col("user_id").alias("patient"), F.col("event_type").alias("measure"), day.alias("day"))
-    return series.dense(cells.agg(F.round(F.avg("value"), 6).alias("value")), FIRST, LAST)
+    first, last = events.agg(F.min("ts")).first()[0], last_day(spark, sf_dir)
+    cells = events.groupBy(F.col("user_id").alias("patient"), F.col("event_type").alias("measure"), (F.date_diff("ts", F.lit(first)) + 1).alias("day"))
+    return series.dense(cells.agg(F.round(F.avg("value"), 6).alias("value")), 1, last)
 
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs(spark, sf_dir).withColumn("class", (1 + F.col("patient") % 3).cast("int"))
 
 
-OBS = f"""cells AS (SELECT user_id AS patient, event_type AS measure, CAST(day(ts) AS INT) AS day, round(avg(value), 6) AS value
-  FROM events WHERE day(ts) BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
+OBS = """cells AS (SELECT user_id AS patient, event_type AS measure, CAST(date_diff('day', (SELECT min(ts) FROM events), ts) + 1 AS INT) AS day, round(avg(value), 6) AS value
+  FROM events GROUP BY ALL),
+days AS (SELECT unnest(range(1, (SELECT max(day) FROM cells) + 1)) AS day),
 obs AS (SELECT s.patient, s.measure, CAST(d.day AS INT) AS day, c.value FROM (SELECT DISTINCT patient, measure FROM cells) s
-  CROSS JOIN range({FIRST}, {LAST + 1}) d(day) LEFT JOIN cells c ON c.patient = s.patient AND c.measure = s.measure AND c.day = d.day)"""
+  CROSS JOIN days d LEFT JOIN cells c ON c.patient = s.patient AND c.measure = s.measure AND c.day = d.day)"""
 CLASSED = OBS + ", base AS (SELECT *, CAST(1 + patient % 3 AS INT) AS class FROM obs)"
 FILLED = (
     OBS
