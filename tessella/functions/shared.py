@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A folder of our own is made where it is unset on one machine (tests); on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir; it outlives lost executors. A folder of our own is made on one
-    machine only (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = context.getConf().get("spark.checkpoint.dir")
-        if not found:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-    return df.checkpoint()
+    """df, computed once, written as Parquet to the shared folder and read back; it outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,16 +1,18 @@
-"""Splits, folds and models with pyspark.ml."""
+"""Splits, folds and models: boosted trees for tables, pyspark.ml for texts."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.shared import written
 
+from . import boosting
 from .evaluate import agreement, over_folds, ovr_auc
 
 
@@ -55,40 +57,42 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def forest(features: list[str], label: str, trees: int = 20, seed: int = 42) -> Pipeline:
-    """Missing features become -1, which their masks tell apart."""
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=5, seed=seed)])
-
-
-def fit_forest(train: DataFrame, features: list[str], label: str) -> PipelineModel:
-    return forest(features, label).fit(balanced_weights(train.fillna(-1.0, features), label))
-
-
-def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """Adds predicted and the array of class probabilities."""
-    out = model.transform(df.fillna(-1.0, features))
-    return out.select(*df.columns, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probability"))
-
+def fit_boosted(train: DataFrame, features: list[str], label: str, classes: int, rounds: int = 50) -> boosting.Boosted:
+    """Boosted trees with balanced class weights; missing features stay missing. Labels are 0 to classes - 1."""
+    return boosting.fit(balanced_weights(train, label), features, label, ["weight"], classes, rounds)[0]
 
-def importance(model: PipelineModel, features: list[str], k: int) -> list[tuple[str, float]]:
-    """The k features with the largest impurity importance."""
-    pairs = zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True)
-    return sorted(pairs, key=lambda p: (-p[1], p[0]))[:k]
 
+def fold_weights(df: DataFrame, label: str, folds: int) -> tuple[DataFrame, list[str]]:
+    """Adds a balanced weight for the rows outside each fold (column fold; null: the holdout) and one for all folds' rows; null elsewhere.
 
-def train_and_evaluate(df: DataFrame, key: str, label: str, features: list[str], folds: int = 3) -> DataFrame:
-    """Rows (part, accuracy, macro_f1, ..., auc) of each fold of the training part and of the holdout."""
+    The counts of a class in each fold are what is broadcast: a row for each class.
+    """
+    seen = [F.col("fold") != k for k in range(folds)] + [F.col("fold").isNotNull()]
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_l")).agg(*[F.count_if(c).alias(f"_n{m}") for m, c in enumerate(seen)])
+    totals = counts.agg(*[f(F.col(f"_n{m}")).alias(f"_{n}{m}") for m in range(len(seen)) for n, f in (("all", F.sum), ("k", lambda c: F.count_if(c > 0)))])
+    held = df.join(counts, F.col(label) == F.col("_l"), "left").crossJoin(F.broadcast(totals))
+    names = [f"_weight{m}" for m in range(len(seen))]
+    weights = {w: F.when(c, F.col(f"_all{m}") / (F.col(f"_k{m}") * F.nullif(F.col(f"_n{m}"), F.lit(0)))) for m, (w, c) in enumerate(zip(names, seen, strict=True))}
+    return held.withColumns(weights).select(*df.columns, *names), names
+
+
+def train_and_evaluate(df: DataFrame, key: str, label: str, features: list[str], folds: int = 3, rounds: int = 50) -> DataFrame:
+    """Rows (part, accuracy, macro_f1, ..., auc) of each fold of the training part and of the holdout. The models of the folds
+    and of the whole training part are fitted in the same jobs. Labels are 0 and up."""
     split = written(stratified_split(df, key, label))
-    classes = tuple(sorted(r[0] for r in split.select(label).distinct().collect() if r[0] is not None))
-    train, out = split.where("split = 'train'"), None
-    parts = [(f"fold {k}", k) for k in range(usable_folds(train, label, folds))] + [("holdout", None)]
-    dealt = stratified_folds(train, key, label, len(parts) - 1)
-    for name, k in parts:
-        seen, held = (train, split.where("split = 'test'")) if k is None else (dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k))
-        scored = written(predict(fit_forest(seen, features, label), held, features))
-        row = agreement(scored.select((F.col(label) + 1).alias("truth"), (F.col("predicted") + 1).alias("predicted"))).withColumn("part", F.lit(name))
-        row = row.crossJoin(F.broadcast(ovr_auc(scored, label, "probability", classes)))
+    classes = [r[0] for r in split.groupBy(label).count().orderBy(label).collect() if r[0] is not None]  # a row for each class
+    train = split.where("split = 'train'")
+    n = usable_folds(train, label, folds)
+    dealt = stratified_folds(train, key, label, n).unionByName(split.where("split = 'test'").withColumn("fold", F.lit(None).cast("int")))
+    weighted, names = fold_weights(dealt, label, n)
+    weighted = written(weighted)
+    models = boosting.fit(weighted, features, label, names, max(classes, default=0) + 1, rounds)
+    out = None
+    for k, model in enumerate(models):
+        held = weighted.where("fold IS NULL" if k == n else f"fold = {k}")
+        scored = written(boosting.predict(model, held))
+        row = agreement(scored.select((F.col(label) + 1).alias("truth"), (F.col("predicted") + 1).alias("predicted"))).withColumn("part", F.lit("holdout" if k == n else f"fold {k}"))
+        row = row.crossJoin(F.broadcast(ovr_auc(scored, label, "probability", tuple(range(max(classes, default=0) + 1)))))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -98,22 +102,23 @@ def fold_summary(rows: DataFrame) -> DataFrame:
     return over_folds(rows.where(F.col("part").startswith("fold")), ["accuracy", "macro_f1", "auc"])
 
 
-def top_features(df: DataFrame, features: list[str], label: str, k: int = 10) -> DataFrame:
-    """(place, feature, importance) of the k features with the largest impurity importance in a forest of all rows."""
-    found = importance(fit_forest(df, features, label), features, k)
+def top_features(df: DataFrame, features: list[str], label: str, k: int = 10, rounds: int = 50) -> DataFrame:
+    """(place, feature, importance) of the k features whose cuts gain most in trees boosted on all rows."""
+    classes = (df.agg(F.max(label)).first()[0] or 0) + 1
+    found = boosting.importance(fit_boosted(df, features, label, classes, rounds), k)
     return df.sparkSession.createDataFrame([(i, f, v) for i, (f, v) in enumerate(found)], "place int, feature string, importance double")
 
 
-def train_with_imputation(obs: DataFrame, labels: DataFrame, label: str, measures: list[str], days: list[int], strategy: str | None = "linear_noise", folds: int = 3) -> DataFrame:
-    """From observations to metrics: fills gaps, forms a value, mask and delta column for each measure and day, a forest,
-    its folds and holdout. labels: (patient, label)."""
+def train_with_imputation(obs: DataFrame, labels: DataFrame, label: str, measures: list[str], days: list[int], strategy: str | None = "linear_noise", folds: int = 3, rounds: int = 50) -> DataFrame:
+    """From observations to metrics: fills gaps, forms a value, mask and delta column for each measure and day, boosted
+    trees, their folds and holdout. labels: (patient, label)."""
     from . import series
 
     done = series.with_missingness(obs.where(F.col("day").isin(days)), measures, strategy)
     at = lambda c, m, d: F.max(F.when((F.col("measure") == m) & (F.col("day") == d), F.col(c))).cast("double")
     cells = {f"{m}N{d}{s}": at(c, m, d) for m in measures for d in days for c, s in (("value", ""), ("mask", "_mask"), ("delta", "_tdelta"))}
     wide = done.groupBy("patient").agg(*[v.alias(k) for k, v in cells.items()])
-    return train_and_evaluate(wide.join(labels, "patient"), "patient", label, list(cells), folds)
+    return train_and_evaluate(wide.join(labels, "patient"), "patient", label, list(cells), folds, rounds)
 
 
 def text_classifier(text: str, label: str, features: int = 1 << 14) -> Pipeline:
@@ -132,20 +137,20 @@ def text_classifier(text: str, label: str, features: int = 1 << 14) -> Pipeline:
     )
 
 
-def save(model: PipelineModel, path: str, meta: dict) -> None:
-    """A fitted pipeline with what it was trained on beside it."""
-    import json
-
-    from pyspark.sql import SparkSession
-
-    model.write().overwrite().save(f"{path}/model")
-    said = json.dumps(meta, ensure_ascii=False, sort_keys=True)
-    SparkSession.active().createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-
-
-def load(path: str) -> tuple[PipelineModel, dict]:
-    import json
+def save(model: PipelineModel | boosting.Boosted, path: str, meta: dict) -> None:
+    """A fitted pipeline, or boosted trees as a line of JSON, with what it was trained on beside it."""
+    spark = SparkSession.active()
+    line = lambda text, to: spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{to}")
+    if isinstance(model, boosting.Boosted):
+        line(model.to_json(), "model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    line(json.dumps({"kind": type(model).__name__, "meta": meta}, ensure_ascii=False, sort_keys=True), "meta")
 
-    from pyspark.sql import SparkSession
 
-    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
+def load(path: str) -> tuple[PipelineModel | boosting.Boosted, dict]:
+    spark = SparkSession.active()
+    said = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    if said["kind"] == "Boosted":
+        return boosting.Boosted.from_json(spark.read.text(f"{path}/model").first()["value"]), said["meta"]
+    return PipelineModel.load(f"{path}/model"), said["meta"]

@@ -355,13 +355,13 @@ def missingness_entry(spark, d):
 
 @query("train_imputed")
 def train_imputed(spark, d):
-    """Folds and holdout of a forest on values, masks and deltas after gaps are filled; the class goes by a patient's mean value."""
+    """Folds and holdout of boosted trees on values, masks and deltas after gaps are filled; the class goes by a patient's mean value."""
     base = classed(spark, d)
     labels = base.groupBy("patient").agg((F.avg("value") > 25).cast("int").alias("label"))
-    return model.train_with_imputation(obs(spark, d), labels, "label", ["view", "click"], [3, 4, 5], folds=2)
+    return model.train_with_imputation(obs(spark, d), labels, "label", ["view", "click"], [3, 4, 5], folds=2, rounds=5)
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
     base = series.trends(obs(spark, d)).groupBy("patient").agg(*[F.max(F.when(F.col("measure") == m, F.col("last_value"))).alias(m) for m in MEASURES], F.sum("n_observed").cast("double").alias("n"))
-    return model.top_features(base.withColumn("class", (F.col("n") > 15).cast("int")), [*MEASURES, "n"], "class", 3)
+    return model.top_features(base.withColumn("class", (F.col("n") > 51).cast("int")), [*MEASURES, "n"], "class", 3, rounds=5)

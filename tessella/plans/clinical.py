@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import cohort, forms, labtext, model, position, series
+from tessella.operators import boosting, cohort, forms, labtext, model, position, series
 
 from .common import CLASSED, FILLED, MEASURES, OBS, classed, last_day, obs, rounded, table
 
@@ -365,10 +365,36 @@ def balanced_weights(spark, d):
     return weighted.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("weight") + 1e-9, 6).alias("weight"))
 
 
+def _levels(spark, d):
+    """Each patient's last value of each measure (null: none) and a class by the number of observations."""
+    base = series.trends(obs(spark, d)).groupBy("patient").agg(*[F.max(F.when(F.col("measure") == m, F.col("last_value"))).alias(m) for m in MEASURES], F.sum("n_observed").cast("double").alias("n"))
+    return base.withColumn("class", (F.col("n") > 51).cast("int") + (F.col("n") > 56).cast("int"))
+
+
 @query("train_holdout")
 def train_holdout(spark, d):
-    base = series.trends(obs(spark, d)).groupBy("patient").agg(*[F.max(F.when(F.col("measure") == m, F.col("last_value"))).alias(m) for m in MEASURES], F.sum("n_observed").cast("double").alias("n"))
-    return model.train_and_evaluate(base.withColumn("class", (F.col("n") > 15).cast("int") + (F.col("n") > 25).cast("int")), "patient", "class", [*MEASURES, "n"], folds=2)
+    return model.train_and_evaluate(_levels(spark, d), "patient", "class", [*MEASURES, "n"], folds=2, rounds=10)
+
+
+_EDGES = [[10.0, 20.0, 40.0, 80.0]] * len(MEASURES)
+
+
+@query(
+    "boosting_histogram",
+    f"""WITH {OBS}, s AS (SELECT patient, measure, arg_max(value, day) FILTER (value IS NOT NULL) AS v, count(value) AS k FROM obs GROUP BY ALL),
+b AS (SELECT patient, CAST(sum(k) > 51 AS INT) + CAST(sum(k) > 56 AS INT) AS y, {", ".join(f"max(v) FILTER (measure = '{m}') AS f{i}" for i, m in enumerate(MEASURES))} FROM s GROUP BY patient),
+w AS (SELECT y, (SELECT count(*) FROM b) / ((SELECT count(DISTINCT y) FROM b) * count(*)) AS w FROM b GROUP BY y),
+p AS (SELECT k, sum(CASE WHEN y = k THEN w ELSE 0 END) / sum(w) AS p FROM b JOIN w USING (y), (SELECT unnest([0, 1, 2]) AS k) GROUP BY k),
+g AS (SELECT b.*, k, w * (p - CASE WHEN y = k THEN 1 ELSE 0 END) AS g, w * 1.5 * p * (1 - p) AS h FROM b JOIN w USING (y), p),
+u AS (SELECT k, g, h, unnest([{", ".join(f"{{'feature': {i}, 'v': f{i}}}" for i in range(len(MEASURES)))}]) AS x FROM g)
+SELECT CAST(k AS INT) AS class, x.feature AS feature, CASE WHEN x.v IS NULL THEN -1 ELSE CAST(x.v > 10 AS INT) + CAST(x.v > 20 AS INT) + CAST(x.v > 40 AS INT) + CAST(x.v > 80 AS INT) END AS bin,
+round(1e-9 + sum(g), 6) AS g, round(1e-9 + sum(h), 6) AS h, count(*) AS n FROM u GROUP BY ALL""",
+)
+def boosting_histogram(spark, d):
+    weighted = model.balanced_weights(_levels(spark, d), "class")
+    state, _, _ = boosting.started(weighted, MEASURES, "class", ["weight"], 3, _EDGES)
+    leaf = F.from_json(F.lit('[[{"feature": [-1]}, {"feature": [-1]}, {"feature": [-1]}]]'), f"array<array<{boosting.TREE}>>")
+    return rounded(boosting.histogram(boosting.with_grads(state, 3), leaf, 1, 3, 0).drop("model", "node"))
 
 
 @query(

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions, triage
+from tessella.operators import boosting, cohort, evaluate, forms, graph, labtext, model, position, retrieval, series, sessions, triage
 from tessella.plans import search
 from tessella.plans.common import MEASURES
 
@@ -349,8 +349,8 @@ def test_cards_and_messages(spark):
 
 def test_models_are_saved_and_say_the_same(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)], "k int, a double, b double, y int")
-    fitted = model.fit_forest(df, ["a", "b"], "y")
+    fitted = model.fit_boosted(df, ["a", "b"], "y", 2, 3)
     model.save(fitted, f"{tmp_path}/m", {"features": ["a", "b"]})
     loaded, meta = model.load(f"{tmp_path}/m")
-    assert meta == {"features": ["a", "b"]} and model.importance(loaded, ["a", "b"], 1)[0][0] == "a"
-    assert model.predict(loaded, df, ["a", "b"]).where("predicted = y").count() == 200
+    assert meta == {"features": ["a", "b"]} and boosting.importance(loaded, 1)[0][0] == "a"
+    assert boosting.predict(loaded, df).where("predicted = y").count() == 200
