@@ -21,6 +21,8 @@ END, START = (1 << 48) - 1, (1 << 48) - 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: What a bucket of the model holds, in training tokens; it grows with the square root beyond 135 million.
 BUCKET = 500_000
+#: Counts from here on don't fit beside the others' four bytes.
+LARGE = (1 << 32) - 1
 #: A context with more than this share of the training tokens is dealt by its pairs, not as a whole.
 HOT = 2_000
 #: One text in so many is looked at to plan the buckets.
@@ -148,14 +150,17 @@ def _open_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _store_pairs(folder: str):
-    """A bucket's pairs as a file (keys of those counted once; keys and counts of the others), and what words learn from them."""
+    """A bucket's pairs as a file (keys of those counted once; keys and counts of the others, those of 32 bits and more apart with
+    their places), and what words learn from them."""
 
     def store(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b, n = _open_pairs(rows)
         keys, n, a, b = _summed(pair_key(a, b), n, a, b)
         once = n == 1
-        head = np.array([once.sum(), (~once).sum()], "<u8")
-        write_arrays(folder, f"pairs-{key[0]}", head, keys[once].astype("<u8"), keys[~once].astype("<u8"), n[~once].astype("<u4"))
+        large = np.flatnonzero(n[~once] >= LARGE)
+        head = np.array([once.sum(), (~once).sum(), len(large)], "<u8")
+        counts = np.minimum(n[~once], LARGE).astype("<u4")
+        write_arrays(folder, f"pairs-{key[0]}", head, keys[once].astype("<u8"), keys[~once].astype("<u8"), large.astype("<u8"), n[~once][large].astype("<u8"), counts)
         wa, ia = np.unique(a, return_inverse=True)
         wb, ib, nb = np.unique(b, return_inverse=True, return_counts=True)
         size = len(wa)
@@ -217,15 +222,18 @@ class Model:
             raw = self.files[f"pairs-{bucket}"]
             if not len(raw):
                 continue
-            one, many = raw[:16].view("<u8").tolist()
-            single, other = raw[16 : 16 + 8 * one].view("<u8"), raw[16 + 8 * one : 16 + 8 * (one + many)].view("<u8")
-            counts = raw[16 + 8 * (one + many) :].view("<u4")
+            at = np.cumsum([24, *(8 * raw[:24].view("<u8").astype(np.int64)[[0, 1, 2, 2]])])
+            single, other, large, large_counts = (raw[lo:hi].view("<u8") for lo, hi in zip(at, at[1:], strict=False))
+            counts = raw[at[-1] :].view("<u4")
             rows = rows[np.argsort(key[rows])]  # neighbouring searches read neighbouring pages
             for keys, values in ((single, None), (other, counts)):
                 if len(keys):
                     place = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
                     met = keys[place] == key[rows]
                     out[rows[met]] = 1 if values is None else values[place[met]]
+                    if values is not None and len(large):
+                        met &= values[place] == LARGE
+                        out[rows[met]] = large_counts[np.searchsorted(large, place[met])]
         return out
 
     def score(self, texts, numbers: WordNumbers) -> dict[str, np.ndarray]:

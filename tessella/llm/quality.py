@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, mapped, stash
+from .common import Sent, by_value, mapped, one_text_each, stash
 
 by_value(__name__)
 
@@ -114,11 +114,14 @@ class Voters:
         """Mean label of the nearest voters, by similarity; the share of label 1 where nothing is similar."""
         if not self.neighbours:
             return np.full(len(points), self.prior)
-        out = np.empty(len(points))
+        out, labelled = np.empty(len(points)), self.space.labelled.astype(float)
         for i in range(0, len(points), 256):
-            sims = points[i : i + 256] @ self.space.labelled.T
-            near = np.argpartition(sims, -self.neighbours, axis=1)[:, -self.neighbours :]
-            w = np.maximum(np.take_along_axis(sims, near, 1).astype(float), 0) ** SHARP
+            sims = np.round(points[i : i + 256].astype(float) @ labelled.T, 12)
+            last = np.partition(sims, -self.neighbours, axis=1)[:, [-self.neighbours]]
+            nearer, tied = sims > last, sims == last
+            left = self.neighbours - nearer.sum(1, keepdims=True)
+            near = np.nonzero(nearer | tied & (np.cumsum(tied, 1, dtype=np.int32) <= left))[1].reshape(len(sims), -1)
+            w = np.maximum(np.take_along_axis(sims, near, 1), 0) ** SHARP
             total = w.sum(1)
             out[i : i + 256] = np.where(total > 0, (w * self.y[near]).sum(1) / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
@@ -131,14 +134,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Voters:
     """Voters from at most `sample` labelled rows that aren't held out (a documented bound; those least by a hash of doc_id).
 
-    Rows without a doc_id or a label are left out; a doc_id labelled twice counts once, as good if one label says so. A
-    document that stands twice votes twice. Without labels, there are no voters.
+    Rows without a doc_id or a label are left out; a doc_id labelled twice counts once, as good if one label says so. Of
+    a doc_id that stands more than once one text votes, the least by its hash. Without labels, there are no voters.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).dropna()
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    found = stash(mapped(rows.select("doc_id", "text"), ["doc_id"], {"cols": "binary", "vals": "binary"}, _sparse), "sparse")
+    found = stash(mapped(one_text_each(rows), ["doc_id"], {"cols": "binary", "vals": "binary"}, _sparse), "sparse")
     y = {r["_id"]: r["y"] for r in chosen.collect()}
     data = found.orderBy("doc_id").collect()
     sparse = [(np.frombuffer(r["cols"], "<u2").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(float)) for r in data]
@@ -150,7 +153,7 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
 
     An empty or null text, alike to nothing, gets the share of label 1 (0.5 without voters). Repeated rows give repeated
     results; a null doc_id stays null and isn't held out; an empty table gives an empty result. Of voters that are
-    equally near to a text, and can't all be among the nearest, any may vote.
+    equally near to a text (to twelve digits), and can't all be among the nearest, those with the least doc_id vote.
     """
     sent = Sent(docs.sparkSession, voters)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, by_value, filter_texts, mapped, stash
+from .common import Sent, by_value, filter_texts, mapped, one_text_each, stash
 
 by_value(__name__)
 
@@ -139,15 +139,15 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
     """A chain for the 0/1 columns `categories` of labels (doc_id, ...), in that order.
 
     Learns from at most `sample` labelled rows (a documented bound: those least by a hash of doc_id); rows with a null
-    category or doc_id are left out, a doc_id labelled twice counts once, with its largest labels, and a document that
-    stands twice is learned twice. The terms kept are the `width` of each category whose counts, taken in Spark over
+    category or doc_id are left out, a doc_id labelled twice counts once, with its largest labels, and of a doc_id
+    that stands more than once one text is learned from, the least by its hash. The terms kept are the `width` of each category whose counts, taken in Spark over
     these rows, depend on it most by chi-square (the first by name of those that do so equally). Without labels every
     probability is one half.
     """
     whole = labels.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     whole = whole.groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
     chosen = F.broadcast(whole.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    rows = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("_id")))
     found = stash(mapped(rows, ["doc_id"], {"terms": "array<string>"}, _terms_of), "terms")
     known = {r["_id"]: [r[c] for c in categories] for r in chosen.collect()}
     n, positive = len(known), np.array(list(known.values()), float).reshape(-1, len(categories)).sum(0)
