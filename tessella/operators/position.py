@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATS = ["n", "mean", "median", "q10", "q25", "q75", "q90", "lowest", "highest"]
 
 
-def if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A broadcast of df, if counting finds it to be of at most so many rows; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Rows and bytes of what is broadcast after counting.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: what strings and arrays hold, and 16 for each column."""
+    wide = [F.octet_length(c) for c, t in df.dtypes if t in ("string", "binary")]
+    wide += [F.size(c) * 8 for c, t in df.dtypes if t.startswith("array<") and "struct" not in t and "string" not in t and "array" not in t[5:]]
+    wide += [F.octet_length(F.to_json(F.struct(c))) for c, t in df.dtypes if t.startswith(("map<", "struct<")) or t.startswith("array<") and ("struct" in t or "string" in t or "array" in t[5:])]
+    return sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(df.columns)))
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast of df, if counting finds it to be of at most so many rows and BROADCAST_BYTES; else Spark chooses the join."""
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= BROADCAST_BYTES else df
+
+
+def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """A stated set of queries as broadcasts, each within the bounds: one, if the set is."""
+    rows, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(queries)), F.lit(0))).first()
+    n = max(1, -(-rows * 2 // BROADCAST_ROWS), -(-size * 2 // BROADCAST_BYTES)) if rows > BROADCAST_ROWS or size > BROADCAST_BYTES else 1
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else queries) for i in range(n)]
 
 
 def cube(obs: DataFrame, grid: DataFrame | None = None) -> DataFrame:
@@ -79,14 +101,14 @@ def nearest(vectors: DataFrame, query: DataFrame, dims: list[str], k: int) -> Da
 
     Distances are rounded to six digits before they are ranked, so that equal ones go by patient.
 
-    The base's means and deviations take one aggregate; queries, broadcast if they are few, meet the base where it is
-    read, and Spark limits each task's rows of a query to k before the shuffle.
+    The base's means and deviations take one aggregate; queries meet the base where it is read, in blocks that
+    are small enough to broadcast, and Spark limits each task's rows of a query to k before the shuffle.
     """
     moments = vectors.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = lambda d, c: (F.col(c) - F.lit(moments[f"m_{d}"])) / (F.lit(moments[f"s_{d}"]) + 1e-9)
-    mine = if_small(query.select(F.col("patient").alias("query"), *[F.col(d).alias(f"q_{d}") for d in dims]))
+    mine = query.select(F.col("patient").alias("query"), *[F.col(d).alias(f"q_{d}") for d in dims])
     square = sum(F.coalesce((z(d, d) - z(d, f"q_{d}")) ** 2, F.lit(0.0)) for d in dims)
-    pairs = vectors.join(mine, F.col("patient") != F.col("query")).select("query", "patient", F.round(F.sqrt(square) + 1e-9, 6).alias("distance"))
+    pairs = reduce(DataFrame.unionByName, [vectors.join(q, F.col("patient") != F.col("query")).select("query", "patient", F.round(F.sqrt(square) + 1e-9, 6).alias("distance")) for q in query_blocks(mine, "query")])
     return top(pairs, "query", [F.col("distance"), F.col("patient")], k)
 
 

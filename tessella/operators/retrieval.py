@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,32 +15,45 @@ from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
 from tessella.functions import text as X
-
+from tessella.functions.shared import written
 from tessella.functions.shipping import by_value
 
-from .position import if_small, top
+from .position import if_small, query_blocks, top
 
 by_value(__name__)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, size): how often each term stands in each text, and the text's terms."""
-    terms = docs.select(key, X.words(F.col(text)).alias("terms"))
-    return terms.select(key, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(key, "term", "size").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, size, term, tf): the text's terms, and how often each stands in it. A key names one text.
+
+    A text's terms are sorted and counted where it is read; nothing is shuffled.
+    """
+    terms = docs.select(key, F.array_sort(X.words(F.col(text))).alias("terms")).withColumn("size", F.size("terms")).where("size > 0")
+    begins = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    begun = terms.withColumn("begins", begins)
+    counts = F.transform("begins", lambda at, j: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("begins", j + 1), F.col("size")) - at).cast("long").alias("tf")))
+    return begun.select(key, "size", F.inline(counts))
+
+
+def corpus_size(docs: DataFrame, text: str) -> tuple[int, float]:
+    """The number of texts and their mean number of terms (1 if none has any), in one pass."""
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(X.words(F.col(text)))), F.lit(0)).alias("words")).first()
+    return row["n"], round(row["words"] / row["n"], 9) if row["words"] else 1.0
 
 
-def bm25(post: DataFrame, n_docs: int, mean_size: float, queries: DataFrame, key: str, k: int) -> DataFrame:
+def bm25(post: DataFrame, n_docs: int, mean_size: float, queries: DataFrame, key: str, k: int, known: DataFrame | None = None) -> DataFrame:
     """The k best texts of each query by BM25 (Robertson's formula): query, key, score, rank from 0.
 
-    queries: (query, term), distinct. Only postings of the queries' terms are joined and scored.
+    queries: (query, term), distinct. Only postings of the queries' terms are kept, before anything is shuffled. known: (term,
+    df), where an index holds how many texts each term stands in.
     """
     used = post.join(if_small(queries.select("term").distinct()), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if known is None else known
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = used.join(df.withColumn("idf", idf), "term")
+    asked = queries.join(df, "term").select("query", "term", idf.alias("idf"))
     norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("size") / mean_size)
-    weighted = weighted.withColumn("w", F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / norm)
-    scores = weighted.join(if_small(queries), "term").groupBy("query", key).agg(F.round(F.sum("w"), 9).alias("score"))
+    weighted = used.join(if_small(written(asked)), "term").withColumn("w", F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / norm)
+    scores = weighted.groupBy("query", key).agg(F.round(F.sum("w"), 9).alias("score"))
     return top(scores, "query", [F.desc("score"), F.col(key)], k).withColumn("rank", F.col("rank") - 1)
 
 
@@ -57,10 +71,10 @@ def normalized(v: Column) -> Column:
 def dense_top(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
     """The k most similar vectors of each query (query, q): query, key, score, rank from 0.
 
-    A stated set of queries, broadcast if counting finds it small, meets all rows where they are read; Spark limits each
+    A stated set of queries meets all rows where they are read, in blocks that are small enough to broadcast; Spark limits each
     task's rows of a query to k before the shuffle, so not all pairs are dealt.
     """
-    pairs = base.join(if_small(queries), F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score"))
+    pairs = reduce(DataFrame.unionByName, [base.join(q, F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score")) for q in query_blocks(queries, "query")])
     if least is not None:
         pairs = pairs.where(F.col("score") >= least)
     return top(pairs, "query", [F.desc("score"), F.col(key)], k).withColumn("rank", F.col("rank") - 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
 from tessella.functions import text as X
-from tessella.functions.shared import written
-from tessella.operators import graph, labtext, position, retrieval
+from tessella.functions.shared import shared_folder
+from tessella.operators import graph, labtext, position, retrieval, stored
 
 from .common import rounded, table
 
@@ -81,10 +83,8 @@ def _queries(spark, d):
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents")
-    post = written(retrieval.postings(docs, "doc_id", "text"))  # texts are read once; the mean size comes from the postings
-    n = docs.count()
-    mean = round((post.agg(F.sum("tf")).first()[0] or 0) / max(n, 1), 9)
-    return retrieval.bm25(post, n, mean or 1.0, _queries(spark, d), "doc_id", C.CANDIDATES)
+    n, mean = retrieval.corpus_size(docs, "text")
+    return retrieval.bm25(retrieval.postings(docs, "doc_id", "text"), n, mean, _queries(spark, d), "doc_id", C.CANDIDATES)
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm")
@@ -92,6 +92,15 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("stored_bm25_topk", f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm")
+def stored_bm25_topk(spark, d):
+    """As bm25_topk, from an index to which the texts are added in two batches."""
+    docs, path = table(spark, d, "documents"), f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    stored.TermIndex.add(path, docs.where("doc_id % 3 = 0"), buckets=16)
+    stored.TermIndex.add(path, docs.where("doc_id % 3 <> 0"))
+    return stored.TermIndex.open(spark, path, docs).search(_queries(spark, d), C.CANDIDATES).withColumn("score", F.round("score", 6))
+
+
 _DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 _DENSE = f"dn AS (SELECT a.vec_id AS query, b.vec_id, round({_DOT}, 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 9) DESC, b.vec_id) - 1 AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 9) DESC, b.vec_id) <= 30)"
 
@@ -106,6 +115,15 @@ def dense_topk(spark, d):
     return _dense(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("stored_dense_topk", f"WITH {_DENSE} SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dn")
+def stored_dense_topk(spark, d):
+    """As dense_topk, from an index of cells."""
+    base, path = table(spark, d, "embeddings"), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    index = stored.VectorIndex.build(path, base)
+    asked = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return index.search(asked, C.CANDIDATES).withColumn("score", F.round("score", 6))
+
+
 @query("rerank_threshold", f"WITH {_DENSE} SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dn WHERE score >= 0.35 AND rank < 6")
 def rerank_threshold(spark, d):
     found = _dense(spark, d).where((F.col("score") >= C.CHUNK_SIMILARITY) & (F.col("rank") < C.KEEP))
