@@ -106,13 +106,39 @@ SYNONYMS = {
     "hematocrit": ["hct", "ht", "ti le hct", "tỉ lệ hct"],
     "bạch cầu": ["bach cau", "wbc", "leukocyte"],
     "men gan": ["ast", "alt", "sgot", "sgpt", "transaminase"],
+    "albumin": ["alb", "đạm máu"],
+    "creatinin": ["creat", "creatinine"],
     "sốt xuất huyết": ["sxhd", "sxh", "dengue", "df", "dhf"],
+    "dấu hiệu cảnh báo": ["warning sign", "canh bao", "cảnh báo"],
     "sốc": ["soc", "shock", "dss", "dengue shock"],
+    "xuất huyết nặng": ["xh nặng", "xuất huyết tiêu hóa", "xhth", "severe bleeding"],
     "đau bụng": ["dau bung", "abdominal pain", "đau vùng gan"],
     "nôn": ["non", "non oi", "nôn ói", "vomit", "vomiting"],
+    "gan to": ["gan lon", "hepatomegaly", "to gan"],
+    "tay chân lạnh": ["chi lanh", "cold extremities", "ngoại biên lạnh"],
+    "tràn dịch": ["tran dich", "effusion", "tdmp", "tdmb"],
+    "lừ đừ": ["lu du", "vật vã", "lethargy", "rối loạn ý thức", "li bì"],
     "paracetamol": ["pcm", "acetaminophen", "hạ sốt"],
+    "aspirin": ["asa", "acetylsalicylic"],
+    "ibuprofen": ["ibu", "nsaid", "nsaids"],
+    "analgin": ["metamizole", "dipyrone"],
+    "bù dịch": ["bu dich", "fluid resuscitation", "truyền dịch", "ringer", "lactat", "nacl 0.9"],
+    "cao phân tử": ["cpt", "colloid", "dextran", "haes", "hydroxyethyl"],
+    "ngày bệnh": ["ngay benh", "n1", "n2", "n3", "n4", "n5", "n6", "n7", "fever day"],
+    "giai đoạn nguy hiểm": ["critical phase", "n4-n6", "hết sốt"],
+    "giai đoạn hồi phục": ["recovery", "tái hấp thu"],
 }
 
+# What a line holds that tells of laboratory results.
+LAB_WORDS = [
+    "wbc", "rbc", "hgb", "hb", "hct", "plt", "ast", "alt", "got", "gpt", "bạch cầu", "bach cau", "hồng cầu", "hong cau", "tiểu cầu", "tieu cau",
+    "hematocrit", "creatinin", "creatinine", "natri", "kali", "clo", "glucose", "ure", "albumin", "ferritin", "ldh", "crp", "inr", "aptt", "ns1", "igm", "igg", "hflc",
+]
+
+# Parts of notes on a patient's state that make it severe, and that make it one to watch.
+SEVERE_NOTES = ["soc", "sxhnang", "sox", "xuathuyet", "tonthuong", "xhthtren", "shh", "gan", "than"]
+WATCHED_NOTES = ["canhbao", "tieuhuyetsacto", "thai"]
+
 # Accented letters and what folding makes of them (the d with stroke stays as it is).
 ACCENTED = "áàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵçñäëïöüî"
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyycnaeioui"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import constants as C
 from tessella.functions import text as X
 
 from .position import quantiles
@@ -91,6 +92,14 @@ def severity(c: Column, severe: str, warning: str) -> Column:
     return F.when(c.isNotNull(), F.when(low.rlike(severe), 2).when(low.rlike(warning), 1).otherwise(0))
 
 
+def note_severity(c: Column) -> Column:
+    """2 for a note on a severe state, 1 for one to watch, 0 for any other; null stays null."""
+    note = F.lower(F.trim(c))
+    held = lambda parts: note.rlike("|".join(parts))
+    return F.when(note.isNotNull(), F.when(held(C.SEVERE_NOTES), 2).when(held(C.WATCHED_NOTES), 1).otherwise(0))
+
+
+
 def routed(question: Column, rules: list[tuple[str, str]]) -> Column:
     """The intent of a question: that of the first rule (pattern, intent) that matches."""
     low, out = F.lower(F.trim(question)), None

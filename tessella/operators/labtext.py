@@ -30,10 +30,10 @@ def exam_of(text: Column) -> Column:
 
 
 def lab_rows(report: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, exam, value, word, unit) of the lines that name a test; a test read twice counts once, its first line."""
+    """(key, line, exam, value, word, unit) of the lines that name a test, mended; a test read twice counts once, its first line."""
     names = "|".join(a.replace("(", r"\(").replace(")", r"\)") for names in C.EXAMS.values() for a in sorted(names, key=len, reverse=True))
     word = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{names})(?:$|[^\p{{L}}\p{{N}}_])"
-    near = lines(report, key, text).where(F.lower("text").rlike(word))  # one look before sixteen
+    near = lines(report, key, text).where(F.lower("text").rlike(word)).withColumn("text", mended(F.col("text")))  # one look before sixteen
     found = near.withColumn("exam", exam_of(F.col("text"))).where("exam is not null")
     rest = F.lower("text")
     for _ in range(2):  # names side by side share the sign between them
@@ -108,9 +108,14 @@ def flagged(rows: DataFrame, value: str, low: Column, high: Column) -> DataFrame
     return rows.withColumn("flag", range_flag(v, low, high))
 
 
+def mended(line: Column) -> Column:
+    """A line whose number-like words are freed of look-alike letters; its white space stays."""
+    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(r"([ \t\f\r]+|[^ \t\f\r]+)"), 1), lambda t: X.scanned_number(t)), "")
+
+
 def repaired(text: Column) -> Column:
-    """A line whose number-like tokens are freed of look-alike letters."""
-    return F.array_join(F.transform(F.split(text, " "), lambda t: X.scanned_number(t)), " ")
+    """A text whose lines that tell of laboratory results are mended; other lines stay."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(F.lower(x).rlike("|".join(C.LAB_WORDS)), mended(x)).otherwise(x)), "\n")
 
 
 def severity_rules(latest: DataFrame) -> DataFrame:

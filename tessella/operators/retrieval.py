@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -111,18 +112,32 @@ def overlap_top(docs: DataFrame, queries: DataFrame, key: str, k: int) -> DataFr
     return top(shared, "query", [F.desc("shared"), F.col(key)], k)
 
 
+def _bare(term: str) -> str:
+    """A term without accents (the d with stroke stays)."""
+    return "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c))
+
+
+def expansions() -> list[tuple[str, list[tuple[str, list[str]]]]]:
+    """(canonical term, [(unaccented term, what it adds)]): the first term that a query holds adds the canonical one and the first
+    two of the group's others."""
+    return [(term, [(_bare(v), [term, *[o for o in others if o != v][:2]]) for v in [*others, term]]) for term, others in C.SYNONYMS.items()]
+
+
 def expanded(query: Column, most: int = 6) -> Column:
-    """A query with the canonical term and up to two variants of each synonym that it holds, at most `most` additions."""
+    """A query with what its synonyms add, `most` terms of all at most; a group whose canonical term it spells out adds nothing.
+
+    Terms are found in the unaccented query, where no letter, digit or underscore touches them: words are put between marks
+    on both sides, so that a term with its marks is a plain part of the text.
+    """
+    groups = [{"term": term, "rules": [{"mark": re.sub(r"(\w+)", "\x01\\1\x01", v), "adds": adds} for v, adds in rules]} for term, rules in expansions()]
+    groups = F.from_json(F.lit(json.dumps(groups)), "array<struct<term:string,rules:array<struct<mark:string,adds:array<string>>>>>")
     low = F.lower(query)
-    added = [
-        F.when(
-            F.exists(F.array(*[F.lit(v) for v in [term, *others]]), lambda v: F.concat(F.lit(" "), low, F.lit(" ")).contains(F.concat(F.lit(" "), v, F.lit(" ")))),
-            F.array(*[F.lit(v) for v in [term, *others[:2]]]),
-        )
-        for term, others in C.SYNONYMS.items()
-    ]
-    extra = F.filter(F.flatten(F.array_compact(F.array(*added))), lambda v: ~low.contains(v))
-    return F.array_join(F.concat(F.array(query), F.slice(F.array_distinct(extra), 1, most)), " ")
+    marked = F.regexp_replace(F.regexp_replace(X.folded(low), r"\p{M}", ""), r"([\p{L}\p{N}_]+)", "\x01$1\x01")
+    none = F.array().cast("array<string>")
+    adds = lambda q, g: F.when(q["low"].contains(g["term"]), none).otherwise(F.coalesce(F.get(F.filter(g["rules"], lambda r: q["marked"].contains(r["mark"])), F.lit(0))["adds"], none))
+    both = F.array(F.struct(low.alias("low"), marked.alias("marked")))  # so that each is made once
+    extra = F.get(F.transform(both, lambda q: F.slice(F.flatten(F.transform(groups, lambda g: adds(q, g))), 1, most)), F.lit(0))
+    return F.when(F.size(extra) > 0, F.concat_ws(" ", query, F.array_join(extra, " "))).otherwise(query)
 
 
 def heading_level(line: str) -> int | None:

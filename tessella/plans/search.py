@@ -166,18 +166,20 @@ def keyword_overlap(spark, d):
     return retrieval.overlap_top(docs, _queries(spark, d), "doc_id", 5)
 
 
-_HELD = ", ".join(
-    f"CASE WHEN {' OR '.join(f"contains(' ' || low || ' ', ' {v} ')" for v in [t, *o])} THEN [{', '.join(f"'{v}'" for v in [t, *o[:2]])}] ELSE [] END" for t, o in C.SYNONYMS.items()
+_BARE = f"regexp_replace({_FOLD.format('q')}, '\\p{{M}}', '', 'g')"
+_WORDED = "(?:^|[^\\p{L}\\p{N}_])%s(?:$|[^\\p{L}\\p{N}_])"
+_ADDED = ", ".join(
+    f"CASE WHEN contains(lower(q), '{t}') THEN [] {' '.join(f"WHEN regexp_matches(bare, '{_WORDED % v.replace('.', '[.]')}') THEN [{', '.join(f"'{m}'" for m in more)}]" for v, more in rules)} ELSE [] END" for t, rules in retrieval.expansions()
 )
 
 
 @query(
     "query_expand",
-    f"WITH q AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' PLT và dengue shock' ELSE '' END AS q FROM conversations WHERE role = 'user'), l AS (SELECT *, lower(q) AS low FROM q), "
-    f"e AS (SELECT conv_id, turn, q, list_filter(flatten([{_HELD}]), lambda v: NOT contains(low, v)) AS e FROM l) SELECT conv_id, turn, array_to_string(list_concat([q], e[1:6]), ' ') AS expanded FROM e",
+    f"WITH q AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' PLT. và (dengue) shock' ELSE '' END AS q FROM conversations WHERE role = 'user'), l AS (SELECT *, {_BARE} AS bare FROM q), "
+    f"e AS (SELECT conv_id, turn, q, flatten([{_ADDED}])[1:6] AS e FROM l) SELECT conv_id, turn, array_to_string(list_concat([q], e), ' ') AS expanded FROM e",
 )
 def query_expand(spark, d):
-    asked = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" PLT và dengue shock")).otherwise(F.lit("")))
+    asked = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" PLT. và (dengue) shock")).otherwise(F.lit("")))
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", retrieval.expanded(asked).alias("expanded"))
 
 
@@ -351,9 +353,12 @@ def _word(names: list[str]) -> str:
 
 _EVERY = "|".join(a.replace("(", "\\(").replace(")", "\\)") for names in C.EXAMS.values() for a in sorted(names, key=len, reverse=True))
 _DROP = f"regexp_replace({{}}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])(?:{_EVERY})($|[^\\p{{{{L}}}}\\p{{{{N}}}}_])', '\\1 \\2', 'g')"
+_TOKEN = "CASE WHEN regexp_matches(t, '^[0-9OolISBZg.,%<>=-]*[0-9][0-9OolISBZg.,%<>=-]*\\z') THEN regexp_replace(translate(t, 'OolISBZg', '00115829'), '^([^,]*\\d),(\\d{1,3})\\z', '\\1.\\2') ELSE t END"
+_MENDED = f"array_to_string(list_transform(regexp_extract_all({{}}, '[ \\t\\f\\r]+|[^ \\t\\f\\r]+'), lambda t: {_TOKEN.replace('{', '{{').replace('}', '}}')}), '')"
 _ROWS = (
-    f"l AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split({_LAB} || chr(10) || text, chr(10)) AS ls FROM documents)), "
-    "x AS (SELECT doc_id, line, lower(t) AS low, CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{_word(n)}') THEN '{e}'" for e, n in C.EXAMS.items()) + " END AS exam FROM l), "
+    f"l AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line, unnest(ls) AS raw FROM (SELECT doc_id, string_split({_LAB} || chr(10) || text, chr(10)) AS ls FROM documents)), "
+    f"m AS (SELECT doc_id, line, {_MENDED.format('raw')} AS t FROM l), "
+    "x AS (SELECT doc_id, line, lower(t) AS low, CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{_word(n)}') THEN '{e}'" for e, n in C.EXAMS.items()) + " END AS exam FROM m), "
     f"y AS (SELECT *, {_DROP.format(_DROP.format('low'))} AS rest FROM x WHERE exam IS NOT NULL), "
     "z AS (SELECT doc_id, exam, line, TRY_CAST(replace(nullif(regexp_extract(rest, '(-?\\d+(?:[.,]\\d+)?)', 1), ''), ',', '.') AS DOUBLE) AS value, nullif(regexp_extract(rest, '(positive|negative|dương tính|âm tính)', 1), '') AS word, "
     "nullif(regexp_extract(low, '(k/ul|m/ul|g/dl|u/l|mmol/l|umol/l|%)', 1), '') AS unit, row_number() OVER (PARTITION BY doc_id, exam ORDER BY line) AS r FROM y)"
@@ -365,10 +370,10 @@ def lab_line_parse(spark, d):
     return labtext.lab_rows(_reports(spark, d), "doc_id")
 
 
-_FIXED = "list_transform(string_split({}, ' '), lambda t: CASE WHEN regexp_matches(t, '^[0-9OolISBZg.,%<>=-]*[0-9][0-9OolISBZg.,%<>=-]*\\z') THEN regexp_replace(translate(t, 'OolISBZg', '00115829'), '^([^,]*\\d),(\\d{{1,3}})\\z', '\\1.\\2') ELSE t END)"
+_FIXED = f"array_to_string(list_transform(string_split({{}}, chr(10)), lambda x: CASE WHEN regexp_matches(lower(x), '{'|'.join(C.LAB_WORDS)}') THEN {_MENDED.format('x').replace('{', '{{').replace('}', '}}')} ELSE x END), chr(10))"
 
 
-@query("ocr_number_fix", f"SELECT doc_id, md5(array_to_string({_FIXED.format(f'{_LAB} || chr(10) || text')}, ' ')) AS hash FROM documents")
+@query("ocr_number_fix", f"SELECT doc_id, md5({_FIXED.format(f'{_LAB} || chr(10) || text')}) AS hash FROM documents")
 def ocr_number_fix(spark, d):
     return _reports(spark, d).select("doc_id", F.md5(labtext.repaired(F.col("text"))).alias("hash"))
 

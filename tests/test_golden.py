@@ -135,8 +135,46 @@ def test_lab_lines(spark):
     df = spark.createDataFrame([(1, "WBC 4,5 K/uL\nnot a test\nPLT: 150\nNS1 positive\nPLT 99")], "k int, text string")
     got = {r["exam"]: (r["value"], r["word"]) for r in labtext.lab_rows(df, "k").collect()}
     assert got == {"WBC": (4.5, None), "PLT": (150.0, None), "NS1": (None, "positive")}
-    fixed = df.select(labtext.repaired(F.lit("PLT l5O K/uL 4,52 NS1 1,234,567")).alias("x")).first()["x"]
-    assert fixed == "PLT 150 K/uL 4.52 NS1 1,234,567"
+    fix = lambda t: df.select(labtext.repaired(F.lit(t)).alias("x")).first()["x"]
+    assert fix("PLT l5O K/uL 4,52 NS1 1,234,567") == "PLT 150 K/uL 4.52 NS1 1,234,567"
+    assert fix("PLT l2\nWBC O5 x\n5O people,  l0 dogs\n\nHct\t4l %") == "PLT 12\nWBC 05 x\n5O people,  l0 dogs\n\nHct\t41 %"
+    assert fix("") == "" and fix(None) is None
+    scanned = spark.createDataFrame([(1, "PLT l5O\nWBC 4,S2")], "k int, text string")
+    assert {r["exam"]: r["value"] for r in labtext.lab_rows(scanned, "k").collect()} == {"PLT": 150.0, "WBC": 4.52}
+
+
+def expanded_by_rule(query, most=6):
+    """The rule for one query at a time."""
+    import re
+    import unicodedata
+
+    from tessella.functions import constants as C
+
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    added = []
+    for term, others in C.SYNONYMS.items():
+        for v in [*others, term]:
+            if len(added) < most and re.search(rf"\b{re.escape(bare(v))}\b", bare(query.lower())) and term not in query.lower() and term not in added:
+                added += [term, *[o for o in others if o != v][:2]]
+    return " ".join([query, *added[:most]])
+
+
+def test_synonyms_of_every_group(spark):
+    from tessella.functions import constants as C
+
+    asked = [v for term, others in C.SYNONYMS.items() for v in [term, *others]]
+    asked += ["PLT. thấp?", "albumin thấp", "ALB thấp, creat cao", "tieu  cau", "xplt", "plt_1", "NaCl 0.9%", "nacl 0x9", "N4-N6 het sốt", "plt hct wbc ast", "soc va non", "Đạm máu", "đau vùng gan", "", "không có gì"]
+    df = spark.createDataFrame(list(enumerate(asked)) + [(9999, None)], "i int, q string")
+    got = {r["i"]: r["x"] for r in df.select("i", retrieval.expanded(F.col("q")).alias("x")).collect()}
+    assert got.pop(9999) is None
+    assert got == {i: expanded_by_rule(q) for i, q in enumerate(asked)}
+    assert got[asked.index("PLT. thấp?")] == "PLT. thấp? tiểu cầu tieu cau platelet"
+
+
+def test_severity_of_notes(spark):
+    notes = ["SOC", "sxhnang", " TonThuong gan ", "canhbao", "thai 20 tuan", "khong", "", None]
+    df = spark.createDataFrame([(n,) for n in notes], "n string").select(cohort.note_severity(F.col("n")).alias("s"))
+    assert [r["s"] for r in df.collect()] == [2, 2, 2, 1, 1, 0, 0, None]
 
 
 def test_graph(spark):
@@ -218,7 +256,7 @@ def test_query_expand_reads_whole_messages(spark, tmp_path):
     got = {(r["conv_id"], r["turn"]): r["expanded"] for r in search.query_expand(spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 1)}
     assert got[1, 1].startswith(long + " ") and "tiểu cầu" in got[1, 1][len(long) :]
-    assert got[2, 2].startswith(f"{long} PLT và dengue shock ")
+    assert got[2, 2].startswith(f"{long} PLT. và (dengue) shock ")
 
 
 def test_nearest_ties_go_by_patient(spark):
