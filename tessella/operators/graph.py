@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import constants as C
+from tessella.functions.concepts import CONCEPTS
 from tessella.functions.text import words as tokens
 
 
@@ -64,6 +68,58 @@ def of_type(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.where(F.col("type") == kind)
 
 
+def required_part(pattern: str) -> str:
+    """The longest piece of plain text, in lower case, that every match of a pattern holds; empty where there is none."""
+    import re._constants as kinds
+    import re._parser as parser
+
+    pieces, run = [""], ""
+    for kind, value in parser.parse(pattern, re.IGNORECASE):
+        if kind is kinds.LITERAL:
+            run += chr(value).lower()
+        else:
+            pieces.append(run)
+            run = ""
+    return max([*pieces, run], key=len)
+
+
+def concept_patterns() -> list[tuple[str, str, int, str, str]]:
+    """(type, concept, place, pattern, required part) of the guideline's concepts; places follow their order."""
+    listed = [(kind, name, p) for kind, group in CONCEPTS.items() for name, c in group.items() for p in c["patterns"]]
+    return [(kind, name, i, p, required_part(p)) for i, (kind, name, p) in enumerate(listed)]
+
+
+def concept_matches(pages: DataFrame, page: str, text: str, around: int = 100, most: int = 300) -> DataFrame:
+    """(page, type, concept, place, snippet): the first match of each pattern of the guideline's concepts on each page, in brackets among
+    what stands around it.
+
+    One pass over a page looks for the plain text that each pattern requires; only patterns whose text is there are matched.
+    """
+    known = F.from_json(F.lit(json.dumps([dict(zip(("type", "concept", "place", "pattern", "part"), r, strict=True)) for r in concept_patterns()])), "array<struct<type:string,concept:string,place:int,pattern:string,part:string>>")
+    flat = pages.select(F.col(page).alias("page"), F.regexp_replace(text, r"[\s\u00a0]+", " ").alias("flat")).withColumn("low", F.lower("flat"))
+    near = flat.select("page", "flat", F.explode(F.filter(known, lambda k: F.contains(F.col("low"), k["part"]))).alias("k"))
+    pattern = F.concat(F.lit("(?iu)"), F.regexp_replace("k.pattern", r"^\\b", r"(?<![\\p{L}\\p{N}_])"))
+    found = near.withColumn("at", F.regexp_instr("flat", pattern)).where("at > 0").withColumn("found", F.regexp_substr("flat", pattern))
+    begin, end = F.greatest(F.col("at") - around, F.lit(1)), F.col("at") + F.length("found")
+    snippet = F.concat(F.substring("flat", begin, F.col("at") - begin), F.lit("["), F.col("found"), F.lit("]"), F.substring("flat", end, F.lit(around)))
+    return found.select("page", "k.type", "k.concept", "k.place", F.substring(F.trim(snippet), 1, most).alias("snippet"))
+
+
+def concept_graph(matches: DataFrame, unseen: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the guideline from concept_matches. Nodes: id, type, label, n_pages, first_page, evidence (of the first page,
+    by its first pattern), description, threshold, note; concepts that no page names are there only if `unseen`. Edges (src, dst,
+    relation, weight) between concepts follow from their types. The pages of a concept are the distinct pages of its matches."""
+    spark = matches.sparkSession
+    rows = [(n, kind, c["label"], c.get("contraindicated", False), c.get("treats", []), c.get("description"), c.get("threshold"), c.get("note")) for kind, group in CONCEPTS.items() for n, c in group.items()]
+    table = spark.createDataFrame(rows, "id string, type string, label string, contraindicated boolean, treats array<string>, description string, threshold string, note string")
+    first = F.min(F.struct("page", "place", "snippet"))
+    by_page = matches.groupBy("concept", "page").agg(F.min(F.struct("place", "snippet")).alias("m")).select("concept", "page", "m.*")
+    seen = by_page.groupBy(F.col("concept").alias("id")).agg(F.count(F.lit(1)).alias("n_pages"), first.alias("first"))
+    nodes = table.join(seen, "id", "left" if unseen else "inner")
+    shown = nodes.select("id", "type", "label", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.col("first.page").alias("first_page"), F.col("first.snippet").alias("evidence"), "description", "threshold", "note")
+    return shown, related(nodes)
+
+
 def related(nodes: DataFrame) -> DataFrame:
     """(src, dst, relation, weight): what each concept says of the grades of severity, by its type (and drugs by whether
     they are contraindicated, a boolean column; interventions by the grades that they treat, an array column)."""

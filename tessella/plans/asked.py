@@ -255,6 +255,45 @@ def relation_edges(spark, d):
     return graph.related(nodes).groupBy(edge.alias("edge")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SAID = [p.replace(r"\s*", " ") for _, _, _, p, _ in graph.concept_patterns() if not set(p.replace(r"\s*", "")) & set(r"\.*?+()[]|")]
+
+
+def _guideline(spark, d):
+    """Each whole text with a phrase of the guideline before it."""
+    said = F.get(F.array(*[F.lit(x) for x in _SAID]), (F.col("doc_id") % len(_SAID)).cast("int"))
+    return graph.concept_matches(table(spark, d, "documents").select("doc_id", F.concat(F.upper(said), F.lit("\n"), "text").alias("text")), "doc_id", "text")
+
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_MATCHED = f"""known AS (SELECT * FROM (VALUES {", ".join(f"({_QUOTED(k)}, {_QUOTED(c)}, {i}, {_QUOTED(p)})" for k, c, i, p, _ in graph.concept_patterns())}) t(type, concept, place, pattern)),
+pages AS (SELECT doc_id AS page, regexp_replace(upper(([{", ".join(map(_QUOTED, _SAID))}])[CAST(doc_id % {len(_SAID)} AS INT) + 1]) || chr(10) || text, '[\\s\\x{{00a0}}]+', ' ', 'g') AS flat FROM documents),
+hits AS (SELECT page, type, concept, place, flat, regexp_extract(flat, '(?i)' || pattern) AS found FROM pages JOIN known ON regexp_matches(flat, '(?i)' || pattern)),
+told AS (SELECT page, type, concept, place, substr(trim(substr(flat, greatest(instr(flat, found) - 100, 1), instr(flat, found) - greatest(instr(flat, found) - 100, 1)) || '[' || found || ']' || substr(flat, instr(flat, found) + length(found), 100)), 1, 300) AS snippet FROM hits)"""
+
+
+@query("guideline_matches", f"WITH {_MATCHED} SELECT * FROM told")
+def guideline_matches(spark, d):
+    return _guideline(spark, d)
+
+
+@query("guideline_nodes", f"WITH {_MATCHED} SELECT concept AS id, type, count(DISTINCT page) AS n_pages, min(page) AS first_page, arg_min(snippet, page * 1000 + place) AS evidence FROM told GROUP BY ALL")
+def guideline_nodes(spark, d):
+    return graph.concept_graph(_guideline(spark, d), unseen=False)[0].select("id", "type", "n_pages", "first_page", "evidence")
+
+
+@query(
+    "guideline_edges",
+    f"WITH {_MATCHED}, n AS (SELECT DISTINCT concept AS c, type FROM told), e AS (SELECT c AS src, unnest(CASE type WHEN 'symptom' THEN ['sxhd_thuong:supports:1.0'] "
+    f"WHEN 'warning_sign' THEN CASE WHEN c IN ({', '.join(map(_QUOTED, C.SEVERE_WARNINGS))}) THEN ['sxhd_canh_bao:warning_of:1.0', 'sxhd_nang:warning_of:1.5'] ELSE ['sxhd_canh_bao:warning_of:1.0'] END "
+    f"WHEN 'lab' THEN CASE WHEN c IN ({', '.join(map(_QUOTED, C.MILD_LABS))}) THEN ['sxhd_thuong:supports:1.0'] ELSE ['sxhd_canh_bao:supports:1.0'] END "
+    f"WHEN 'drug' THEN CASE WHEN c <> 'paracetamol' THEN ['sxhd_thuong:contraindicated_for:1.0', 'sxhd_canh_bao:contraindicated_for:1.0', 'sxhd_nang:contraindicated_for:1.0'] ELSE ['sxhd_thuong:treats:1.0', 'sxhd_canh_bao:treats:1.0'] END "
+    f"WHEN 'intervention' THEN CASE c WHEN 'oresol' THEN ['sxhd_thuong:treats:1.0'] WHEN 'theo_doi_ngoai_tru' THEN ['sxhd_thuong:treats:1.0'] WHEN 'truyen_dich_tinh_mach' THEN ['sxhd_canh_bao:treats:1.0', 'sxhd_nang:treats:1.0'] WHEN 'nhap_vien_theo_doi' THEN ['sxhd_canh_bao:treats:1.0'] ELSE ['sxhd_nang:treats:1.0'] END ELSE [] END) AS edge FROM n) SELECT src, edge FROM e",
+)
+def guideline_edges(spark, d):
+    edges = graph.concept_graph(_guideline(spark, d), unseen=False)[1]
+    return edges.select("src", F.concat("dst", F.lit(":"), "relation", F.lit(":"), F.col("weight").cast("string")).alias("edge"))
+
+
 def _log(spark, d):
     """Events as a log of sessions: one for each user and fifth of his events."""
     e = table(spark, d, "events")
