@@ -20,6 +20,8 @@ KINDS = ("assign", "access", "hex", "dense")
 #: A word of a secret's alphabet counts as random below so many characters a token.
 RATIO = 2.0
 LEAST = 20
+#: Letters in a row, so many and more, are readable only if the vocabulary shortens them too.
+READABLE = 16
 MARK = "[SECRET]"
 
 
@@ -36,11 +38,12 @@ WORD = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 SIGNS = re.compile(r"[+/_=-]+")
 PIECE = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
+LONG = re.compile(rf"[A-Za-z]{{{READABLE},}}")
 LAST_PIECE = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)?[0-9]{0,8}")
 
 
 def identifier(word: str) -> bool:
-    """Numbers, or readable pieces joined by signs: words, capitals, up to 8 digits, which the last piece may have after letters."""
+    """Numbers, or pieces joined by signs that may be readable: words, capitals, up to 8 digits, which the last piece may have after letters."""
     pieces = [p for p in SIGNS.split(word) if p]
     if all(p.isdigit() for p in pieces):
         return True
@@ -57,12 +60,14 @@ class Efficiency:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def poor(self, word: str) -> bool:
+        """Whether the vocabulary leaves the word under RATIO characters a token."""
+        return len(word) < RATIO * len(self.encoding.encode_ordinary(word))
+
     def random(self, word: str) -> bool:
-        if DIGEST.match(word) or identifier(word):
+        if DIGEST.match(word) or identifier(word) and not any(map(self.poor, LONG.findall(word))):
             return False
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            return False
-        return len(word) < RATIO * len(self.encoding.encode_ordinary(word))
+        return self.poor(word)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
