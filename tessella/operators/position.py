@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import written
+
 STATS = ["n", "mean", "median", "q10", "q25", "q75", "q90", "lowest", "highest"]
 
 
@@ -129,10 +131,10 @@ def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight:
     For groups too large for one task: values are cut into ranges at approximate quantiles, and a range's offset is
     a running sum over at most `blocks` ranges. The result is exact wherever the cuts lie. Nulls are left out.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    tied = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")))
     cuts = tied.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)])).alias("cuts"))
-    joined = tied.join(cuts, keys) if keys else tied.crossJoin(F.broadcast(cuts))
-    dealt = joined.withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
+    dealt = tied.join(if_small(written(cuts)), keys) if keys else tied.crossJoin(F.broadcast(cuts))
+    dealt = dealt.withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys, "block").agg(F.sum("n").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
     inside = Window.partitionBy(*keys, "block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -142,7 +144,7 @@ def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight:
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear between neighbours) of groups of any size, one column for each name."""
-    placed = ranges(df, keys, value)
+    placed = written(ranges(df, keys, value))
     totals = placed.groupBy(*keys).agg(F.sum("n").alias("total"))
     joined = placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))
     at = lambda rank: F.max(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("n")), F.col(value)))
