@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import constants as C
 from tessella.functions import text as X
 
-from .position import quantiles
+from .position import summarized
 
 
 def moments(value: str) -> list[Column]:
@@ -26,8 +26,7 @@ def long_form(wide: DataFrame, key: str, columns: dict[str, tuple[str, int]]) ->
 def daily_stats(obs: DataFrame) -> DataFrame:
     """Statistics of each measure and day with the share of patients observed and how far to trust them."""
     keys = ["measure", "day"]
-    ends = quantiles(obs, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = obs.groupBy(*keys).agg(*moments("value"), F.count(F.lit(1)).alias("total")).join(ends, keys, "left")
+    out = summarized(obs, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [*moments("value"), F.count(F.lit(1)).alias("total")])
     return out.withColumn("coverage", F.col("n") / F.col("total")).withColumn("trust", X.trust(F.col("n") / F.col("total")))
 
 

@@ -43,8 +43,8 @@ def cube(obs: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     Quantiles are exact, and no task holds a cell's values. Ages, weights and the like are measures with a day of their own.
     """
     keys, seen = ["measure", "day", "class"], obs.where("value is not null")
-    stats = seen.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
-    stats = stats.join(quantiles(seen, keys, "value", {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}), keys).select(*keys, *STATS)
+    others = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest")]
+    stats = summarized(seen, keys, "value", {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}, others).select(*keys, *STATS)
     if grid is None:
         return stats
     joined = grid.join(stats, keys, "left")
@@ -63,12 +63,15 @@ def percentiles(patients: DataFrame, base: DataFrame) -> DataFrame:
     patients: (patient, measure, day, value) of the patients asked about; base: the same of all, with class. A patient's
     values are ranked among those of each class, as rows that don't count themselves; no pairs are formed.
     """
-    keys, seen = ["measure", "day", "class"], base.where("value is not null")
+    keys = ["measure", "day", "class"]
+    seen = written(base.where("value is not null").select(*keys, "value"))
     totals = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    mine = patients.where("value is not null").select(F.col("patient").alias("query"), "measure", "day", F.col("value").alias("own")).join(totals, ["measure", "day"])
+    largest = totals.agg(F.max("total")).first()[0] or 0
+    mine = patients.where("value is not null").select(F.col("patient").alias("query"), "measure", "day", F.col("value").alias("own"))
+    mine = written(mine.join(totals, ["measure", "day"]))
     weighed = seen.select(*keys, "value", F.lit(1).alias("w")).unionByName(mine.select(*keys, F.col("own").alias("value"), F.lit(0).alias("w")))
-    placed = ranges(weighed, keys, "value", weight="w").select(*keys, F.col("value").alias("own"), (F.col("start") + F.col("n")).alias("upto"))
-    out = mine.join(placed, [*keys, "own"]).join(quantiles(seen, keys, "value", {"median": 0.5}), keys)
+    placed = ranges(weighed, keys, "value", weight="w", largest=largest).select(*keys, F.col("value").alias("own"), (F.col("start") + F.col("n")).alias("upto"))
+    out = mine.join(placed, [*keys, "own"]).join(quantiles(seen, keys, "value", {"median": 0.5}, largest), keys)
     out = out.select("query", *keys, "own", (100 * F.col("upto") / F.col("total")).alias("percentile"), "median").distinct()
     far = F.when(F.col("median") != 0, F.abs(F.col("own") - F.col("median")) / F.greatest("median", F.lit(1e-6)))
     return out.withColumn("distance", far)
@@ -125,13 +128,26 @@ def label_counts(neighbours: DataFrame, labels: DataFrame, key: str = "patient",
     return neighbours.join(labels.select(key, label), key).groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight: str | None = None) -> DataFrame:
+#: Values of a group that one task ranks by itself; groups with more are ranked in ranges.
+IN_TASK = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight: str | None = None, largest: int | None = None) -> DataFrame:
     """(keys, value, n, start): each distinct value with its count (or sum of weights) and that of the smaller ones of its group.
 
-    For groups too large for one task: values are cut into ranges at approximate quantiles, and a range's offset is
+    Where no group has more than IN_TASK rows (largest: as many as that of most has), each is ranked by one task. Otherwise values are cut into ranges at approximate quantiles, and a range's offset is
     a running sum over at most `blocks` ranges. The result is exact wherever the cuts lie. Nulls are left out.
     """
-    tied = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")))
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    if (largest_group(df, keys) if largest is None else largest) <= IN_TASK:
+        below = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return tied.select(*keys, value, "n", F.coalesce(below, F.lit(0)).alias("start"))
+    tied = written(tied)
     cuts = tied.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / blocks) for i in range(1, blocks)])).alias("cuts"))
     dealt = tied.join(if_small(written(cuts)), keys) if keys else tied.crossJoin(F.broadcast(cuts))
     dealt = dealt.withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
@@ -142,9 +158,23 @@ def ranges(df: DataFrame, keys: list[str], value: str, blocks: int = 64, weight:
     return below.join(starts, [*keys, "block"]).select(*keys, value, "n", (F.col("offset") + F.col("below")).alias("start"))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles (linear between neighbours) of groups of any size, one column for each name."""
-    placed = written(ranges(df, keys, value))
+def summarized(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], others: list[Column]) -> DataFrame:
+    """Aggregates of each group beside exact quantiles of its values (null where it has none)."""
+    largest = largest_group(df, keys)
+    if largest <= IN_TASK:
+        return df.groupBy(*keys).agg(*others, *[F.percentile(value, p).alias(n) for n, p in probabilities.items()])
+    ends = quantiles(df, keys, value, probabilities, largest)
+    whole = df.groupBy(*keys).agg(*others)
+    return whole.join(ends, keys, "left") if keys else whole.join(F.broadcast(ends), how="left")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], largest: int | None = None) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of groups of any size, one column for each name. Groups without values have none."""
+    seen = df.where(F.col(value).isNotNull())
+    largest = largest_group(seen, keys) if largest is None else largest
+    if 0 < largest <= IN_TASK:
+        return seen.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in probabilities.items()])
+    placed = written(ranges(df, keys, value, largest=largest))
     totals = placed.groupBy(*keys).agg(F.sum("n").alias("total"))
     joined = placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))
     at = lambda rank: F.max(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("n")), F.col(value)))

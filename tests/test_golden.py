@@ -236,7 +236,9 @@ def test_auc_counts_ties(spark):
     assert evaluate.auc(spark.createDataFrame([(1, 0.5)], "y int, s double"), "y", "s").first()["auc"] is None
 
 
-def test_quantiles_of_large_groups(spark):
+@pytest.mark.parametrize("in_task", [position.IN_TASK, 100])
+def test_quantiles_of_large_groups(spark, monkeypatch, in_task):
+    monkeypatch.setattr(position, "IN_TASK", in_task)
     rng = np.random.default_rng(2)
     rows = [("a", float(x)) for x in rng.integers(0, 40, 900)] + [("b", float(x)) for x in rng.random(301)] + [("c", None)]
     df = spark.createDataFrame(rows, "k string, v double")
