@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import constants as C
 from tessella.functions import text as X
 
-from .position import summarized
+from .position import if_small, summarized
 
 
 def moments(value: str) -> list[Column]:
@@ -82,7 +82,7 @@ def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
 def class_counts(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
     """Rows of each class of `classes` (a small table with the column label), those without rows too."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(classes).join(counts, label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
+    return if_small(classes).join(counts, label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def severity(c: Column, severe: str, warning: str) -> Column:

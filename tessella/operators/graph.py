@@ -12,6 +12,8 @@ from tessella.functions import constants as C
 from tessella.functions.concepts import CONCEPTS
 from tessella.functions.text import words as tokens
 
+from .position import if_small
+
 
 def paths(edges: DataFrame, seeds: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
     """Simple paths of 1 to `hops` edges from each seed (a column id): path, relations, hops, score.
@@ -168,7 +170,7 @@ def named_in(texts: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFra
     label = F.lower("label")
     first = F.regexp_extract(label, r"^([\p{L}\p{N}_]+)", 1)
     words = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    met = words.join(F.broadcast(nodes.select("id", label.alias("label"), first.alias("word"))), "word")
+    met = words.join(if_small(nodes.select("id", label.alias("label"), first.alias("word"))), "word")
     whole = met.where(F.col("label") == F.col("word")).select(key, "id")
     part = met.where(F.col("label") != F.col("word")).select(key, "id", "label").join(texts.select(key, F.lower(text).alias("_low")), key)
     padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
@@ -187,7 +189,7 @@ def difference(old: DataFrame, new: DataFrame, by: str, compared: str) -> DataFr
 def type_counts(found: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """How many paths end at each node of a type."""
     ends = found.select(F.element_at("path", -1).alias("id"))
-    return ends.join(F.broadcast(nodes.where(F.col("type") == kind).select("id", "label")), "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return ends.join(if_small(nodes.where(F.col("type") == kind).select("id", "label")), "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def runs(pages: DataFrame, key: str, page: str, score: str, core: int = 3, near: int = 1, apart: int = 5, part: int = 10_000) -> DataFrame:

@@ -14,6 +14,7 @@ from tessella.functions.shared import written
 
 from . import boosting
 from .evaluate import agreement, over_folds, ovr_auc
+from .position import if_small
 
 
 def _place(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
@@ -54,7 +55,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     weights = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(if_small(weights), label)
 
 
 def fit_boosted(train: DataFrame, features: list[str], label: str, classes: int, rounds: int = 50) -> boosting.Boosted:

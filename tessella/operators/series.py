@@ -153,10 +153,21 @@ def last_by_day(obs: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def hours_between(events: DataFrame, key: str, time: str, ties: str) -> DataFrame:
-    """Hours since the event before, within a key."""
-    w = Window.partitionBy(key).orderBy(time, ties)
-    micros = F.timestamp_diff("MICROSECOND", F.lag(time).over(w), F.col(time))
-    return events.select(key, ties, (micros / 3.6e9).alias("hours"))
+    """Hours since the event before, within a key; (time, ties) leave no order open.
+
+    Events are sorted into ranges of (key, time), so that a key with a third of all events has many; what the last event of a
+    range tells the next is a row for each range at most.
+    """
+    dealt = written(events.select(key, ties, time).repartitionByRange(key, time, ties).withColumn("_part", F.spark_partition_id()))
+    order = F.struct(F.col(time).isNotNull(), time, ties)
+    last = dealt.groupBy(key, "_part").agg(F.max_by(F.struct(F.col(time).alias("t")), order)["t"].alias("_last"))
+    before = Window.partitionBy(key).orderBy("_part")
+    carried = last.select(F.col(key).alias("_key"), F.col("_part").alias("_own"), F.lag("_last").over(before).alias("_last")).where("_last IS NOT NULL")
+    inside = F.lag(time).over(Window.partitionBy(key, "_part").orderBy(time, ties))
+    joined = dealt.withColumn("_before", inside).join(F.broadcast(written(carried)), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_own")), "left")
+    first = F.row_number().over(Window.partitionBy(key, "_part").orderBy(time, ties)) == 1
+    micros = F.timestamp_diff("MICROSECOND", F.when(first, F.col("_last")).otherwise(F.col("_before")), F.col(time))
+    return joined.select(key, ties, (micros / 3.6e9).alias("hours"))
 
 
 def _whole(obs: DataFrame, fill: Callable[[np.ndarray], np.ndarray], keys: list[str]) -> DataFrame:

@@ -396,7 +396,7 @@ def missingness_entry(spark, d):
 def train_imputed(spark, d):
     """Folds and holdout of boosted trees on values, masks and deltas after gaps are filled; the class goes by a patient's mean value."""
     base = classed(spark, d)
-    labels = base.groupBy("patient").agg((F.avg("value") > 25).cast("int").alias("label"))
+    labels = base.groupBy("patient").agg((F.avg("value") > 49).cast("int").alias("label"))
     return model.train_with_imputation(obs(spark, d), labels, "label", ["view", "click"], [3, 4, 5], folds=2, rounds=5)
 
 

@@ -141,7 +141,7 @@ def _answers():
         out = []
         for p in prompts:
             gaps = p.count("—")
-            out.append(f'[Lý do]: gaps\n{{"label": "{"nặng" if gaps > 40 else "cảnh báo" if gaps > 30 else "thường"}", "confidence": {min(gaps, 50) / 50}}}')
+            out.append(f'[Lý do]: gaps\n{{"label": "{"nặng" if gaps > 100 else "cảnh báo" if gaps > 95 else "thường"}", "confidence": {min(gaps, 150) / 150}}}')
         return out
 
     return reply
@@ -149,7 +149,7 @@ def _answers():
 
 @query(
     "triage_batch",
-    f"WITH {OBS}, g AS (SELECT patient, count(*) FILTER (value IS NULL) AS gaps FROM obs GROUP BY patient) SELECT patient, CASE WHEN gaps > 40 THEN 3 WHEN gaps > 30 THEN 2 ELSE 1 END AS predicted, least(gaps, 50) / 50.0::DOUBLE AS confidence FROM g",
+    f"WITH {OBS}, g AS (SELECT patient, count(*) FILTER (value IS NULL) AS gaps FROM obs GROUP BY patient) SELECT patient, CASE WHEN gaps > 100 THEN 3 WHEN gaps > 95 THEN 2 ELSE 1 END AS predicted, least(gaps, 150) / 150.0::DOUBLE AS confidence FROM g",
 )
 def triage_batch(spark, d):
     cards = forms.patient_cards(obs(spark, d)).withColumn("prompt", forms.prompt(F.col("card"), "Grade this patient."))
@@ -158,9 +158,11 @@ def triage_batch(spark, d):
 
 @query("text_classifier")
 def text_classifier(spark, d):
+    """Whether a message is the user's, of the conversations of one fold, by a model of the others'."""
     turns = table(spark, d, "conversations").withColumn("label", (F.col("role") == "user").cast("double")).withColumn("text", F.coalesce("text", F.lit("")))
-    fitted = model.text_classifier("text", "label", 1 << 10).fit(turns)
-    return fitted.transform(turns).groupBy("role", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = model.stratified_folds(turns.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "role", 3)
+    fitted = model.text_classifier("text", "label", 1 << 10).fit(dealt.where("fold <> 0"))
+    return fitted.transform(dealt.where("fold = 0")).groupBy("role", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("measure_moments", f"WITH {OBS} SELECT measure, round(1e-9 + avg(value), 6) AS mean, round(1e-9 + stddev_pop(value), 6) AS sd FROM obs GROUP BY measure")
