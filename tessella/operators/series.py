@@ -223,10 +223,48 @@ def _solve(got: dict, features: int, target: int, ridge: float) -> np.ndarray:
     return np.linalg.solve(gram + np.diag([1e-9] + [ridge] * (len(use) - 1)), right)
 
 
-def impute_chained(obs: DataFrame, measures: list[str], rounds: int = 10, ridge: float = 1.0, seed: int | None = None) -> DataFrame:
+def _moments(got: dict[str, float], n: int, t: int) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray, float]:
+    """Of measure t and the others, from a round's sums: rows, sums of the others, of t, and products among the others, with t, of t."""
+    others = [i + 1 for i in range(n) if i != t]
+    at = lambda i, j: float(got[f"g{t}_{min(i, j)}_{max(i, j)}"] or 0.0)
+    xx = np.array([[at(i, j) for j in others] for i in others])
+    return at(0, 0), np.array([at(0, i) for i in others]), at(0, t + 1), xx, np.array([at(i, t + 1) for i in others]), at(t + 1, t + 1)
+
+
+def evidence_ridge(n: float, sx: np.ndarray, sy: float, xx: np.ndarray, xy: np.ndarray, yy: float, rounds: int = 300, tolerance: float = 1e-3, prior: float = 1e-6) -> np.ndarray:
+    """The intercept and weights of a linear regression with Gaussian priors, from sums of products.
+
+    The precision of the noise and that of the weights go to where the evidence is largest, in turn: of the eigenvalues of
+    the centred products, those well above the ratio of the precisions are what the data determine. Gamma priors of shape
+    and rate `prior` hold both; the turns end when the weights move by less than `tolerance` in all.
+    """
+    if not n:
+        return np.zeros(1 + len(sx))
+    mx, my = sx / n, sy / n
+    xx, xy, yy = xx - n * np.outer(mx, mx), xy - n * mx * my, max(yy - n * my * my, 0.0)
+    sizes, axes = np.linalg.eigh(xx)
+    sizes = np.maximum(sizes, 0.0)
+    noise_precision, weight_precision = 1.0 / (yy / n + np.finfo(float).eps), 1.0
+    solved = lambda: axes @ ((axes.T @ xy) / (sizes + weight_precision / noise_precision))
+    before = None
+    for _ in range(rounds):
+        weights = solved()
+        left = max(float(yy - 2 * weights @ xy + weights @ xx @ weights), 0.0)
+        known = float((noise_precision * sizes / (weight_precision + noise_precision * sizes)).sum())
+        weight_precision = (known + 2 * prior) / (float(weights @ weights) + 2 * prior)
+        noise_precision = (n - known + 2 * prior) / (left + 2 * prior)
+        if before is not None and np.abs(weights - before).sum() < tolerance:
+            break
+        before = weights
+    weights = solved()
+    return np.r_[my - mx @ weights, weights]
+
+
+def impute_chained(obs: DataFrame, measures: list[str], rounds: int = 10, ridge: float | None = None, seed: int | None = None) -> DataFrame:
     """Chained regressions: round after round each measure is predicted from the others at the same patient and day, where
     cells that are missing hold the guesses of the round before (at first the medians).
 
+    Regressions are Bayesian ridges (see evidence_ridge), or ridges with the penalty `ridge`, if it is given.
     A round is one aggregate over a written table: all products that its regressions need, summed in Spark; the driver
     solves systems as large as the number of measures. Days before a series' first and after its last observation stay
     null, and measures without observations; there is no limit to a gap. seed: adds noise to filled cells.
@@ -240,12 +278,12 @@ def impute_chained(obs: DataFrame, measures: list[str], rounds: int = 10, ridge:
     for _ in range(rounds if n > 1 else 0):
         slot = [F.lit(1.0), *[F.col(f"x{i}") for i in range(n)]]
         sums = [
-            F.sum(F.when(F.col(f"o{t}"), slot[i] * slot[j])).alias(f"g{t}_{i}_{j}") for t in range(n) for i in range(n + 1) for j in range(i, n + 1) if (i, j) != (t + 1, t + 1)
+            F.sum(F.when(F.col(f"o{t}"), slot[i] * slot[j])).alias(f"g{t}_{i}_{j}") for t in range(n) for i in range(n + 1) for j in range(i, n + 1)
         ]
         got = now.agg(*sums).first().asDict()
         guess = []
         for t in range(n):
-            beta = _solve(got, n, t, ridge)
+            beta = _solve(got, n, t, ridge) if ridge is not None else evidence_ridge(*_moments(got, n, t))
             line = F.lit(float(beta[0]))
             for b, i in zip(beta[1:], [i for i in range(n) if i != t], strict=True):
                 line = line + float(b) * F.col(f"x{i}")
