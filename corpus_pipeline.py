@@ -12,28 +12,32 @@ from tessella.llm.common import shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go. Null and empty texts are judged by what they lack; repeated rows stay or go
+    together; an empty table stays empty; other columns stay as they are."""
     chain = toxicity.train_chain(docs, toxicity.label_categories(table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
     return toxicity.keep_clean(docs, chain)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id."""
+    """One document of each group of near duplicates stays, that with the least doc_id. Rows that share a doc_id are one document;
+    null and empty texts, and rows without a doc_id, stay; an empty table stays empty."""
     return ngram_join.one_of_each(docs, ngram_join.jaccard_links(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark text go."""
+    """Documents that overlap a benchmark text go. Null and empty texts overlap nothing and stay; repeated rows stay or go together;
+    with an empty benchmark all stay."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked and n_chars brought up to date; every document stays, with nulls, repeats and other columns as they are."""
     return secrets.redacted_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document with its place in a sequence of 4096 tokens."""
+    """Each piece of each document with its place in a sequence of 4096 tokens. A null text has the end token alone; repeated rows are
+    packed each; pieces of one length are interchangeable; an empty table gives an empty result."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
