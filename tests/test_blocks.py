@@ -39,3 +39,10 @@ def test_pairs_are_not_dealt(spark):
     assert "Join" not in retrieval.dense_top(base, queries, "vec_id", "embedding", 3)._jdf.queryExecution().executedPlan().toString()
 
 
+
+
+def test_candidates_are_made_once(spark):
+    made = spark.range(12).selectExpr("0 AS query", "id AS k", "id / 20.0D AS score", "array(1.0D, id / 10.0D) AS v")
+    made = made.mapInArrow(lambda batches: batches, made.schema)
+    chosen = retrieval.diverse(made, "k", "v", 3)
+    assert chosen.count() == 3 and "MapInArrow" not in chosen._jdf.queryExecution().executedPlan().toString()
