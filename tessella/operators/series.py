@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,20 +171,6 @@ def hours_between(events: DataFrame, key: str, time: str, ties: str) -> DataFram
     return joined.select(key, ties, (micros / 3.6e9).alias("hours"))
 
 
-def _whole(obs: DataFrame, fill: Callable[[np.ndarray], np.ndarray], keys: list[str]) -> DataFrame:
-    """Applies fill to the values of each group, in order; groups are short (a series, or a patient)."""
-    types = dict(obs.dtypes)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([k for k in (*SERIES, "day") if k not in keys])
-        v = group["value"].to_numpy(float)
-        out = fill(v)
-        return group.assign(value=out, imputed=(np.isnan(v) & ~np.isnan(out)).astype("int32"))[[*SERIES, "day", "value", "imputed"]]
-
-    schema = f"patient {types['patient']}, measure string, day {types['day']}, value double, imputed int"
-    return obs.groupBy(*keys).applyInPandas(one, schema)
-
-
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline with free ends through (x, y)."""
     n, h = len(x), np.diff(x).astype(float)
@@ -198,20 +185,77 @@ def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (m[k] * u**3 + m[k + 1] * v**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * v
 
 
-def impute_spline(obs: DataFrame, max_gap: int = 3) -> DataFrame:
-    """Fills inner gaps of up to max_gap by a cubic through all observed days (at least 4, else the line of two neighbours)."""
-
-    def fill(v: np.ndarray) -> np.ndarray:
-        seen, out = np.flatnonzero(~np.isnan(v)), v.copy()
-        if len(seen) < 2:
-            return out
-        for left, right in zip(seen[:-1], seen[1:], strict=True):
-            if 1 <= right - left - 1 <= max_gap:
-                at = np.arange(left + 1, right)
-                out[at] = natural_spline(seen, v[seen], at) if len(seen) >= 4 else np.interp(at, seen, v[seen])
+def _curvatures(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Second derivatives of the natural splines through the first n points (x, y) of each row, by elimination along all rows at once."""
+    h = np.diff(x, axis=1)
+    inner = np.arange(1, x.shape[1] - 1)[None, :] < (n - 1)[:, None]
+    slope = np.diff(y, axis=1) / np.where(h > 0, h, 1.0)
+    low, high = np.where(inner, h[:, :-1], 0.0), np.where(inner, h[:, 1:], 0.0)
+    middle, right = np.where(inner, 2 * (low + high), 1.0), np.where(inner, 6 * (slope[:, 1:] - slope[:, :-1]), 0.0)
+    m = np.zeros(x.shape)
+    above, value = np.zeros(inner.shape), np.zeros(inner.shape)
+    for i in range(inner.shape[1]):
+        pivot = middle[:, i] - (low[:, i] * above[:, i - 1] if i else 0.0)
+        above[:, i] = high[:, i] / pivot
+        value[:, i] = (right[:, i] - (low[:, i] * value[:, i - 1] if i else 0.0)) / pivot
+    for i in reversed(range(inner.shape[1])):
+        m[:, i + 1] = value[:, i] - above[:, i] * m[:, i + 2]
+    return m
+
+
+def _splined(v: np.ndarray, max_gap: int) -> np.ndarray:
+    """The rows of v with inner gaps of up to max_gap filled (see impute_spline)."""
+    seen, at = ~np.isnan(v), np.arange(v.shape[1])
+    left = np.maximum.accumulate(np.where(seen, at, -1), 1)
+    right = np.minimum.accumulate(np.where(seen, at, v.shape[1])[:, ::-1], 1)[:, ::-1]
+    row, day = np.nonzero(~seen & (left >= 0) & (right < v.shape[1]) & (right - left - 1 <= max_gap))
+    out = v.copy()
+    if not len(row):
         return out
+    n = seen.sum(1)
+    order = np.argsort(~seen, 1, kind="stable")[:, : max(int(n.max()), 3)]
+    known = np.arange(order.shape[1])[None, :] < n[:, None]
+    last = np.take_along_axis(order, np.maximum(n - 1, 0)[:, None], 1)
+    x = np.where(known, order, last).astype(float)
+    y = np.where(known, np.take_along_axis(v, order, 1), 0.0)
+    m = _curvatures(x, y, n)
+    k = (np.cumsum(seen, 1) - 1)[row, day]
+    a, b = left[row, day], right[row, day]
+    h, up, down = (b - a).astype(float), (b - day).astype(float), (day - a).astype(float)
+    ya, yb, ma, mb = y[row, k], y[row, k + 1], m[row, k], m[row, k + 1]
+    curve = (ma * up**3 + mb * down**3) / (6 * h) + (ya / h - ma * h / 6) * up + (yb / h - mb * h / 6) * down
+    out[row, day] = np.where(n[row] >= 4, curve, ya + (yb - ya) / h * down)
+    return out
 
-    filled = _whole(obs, fill, SERIES)
+
+def impute_spline(obs: DataFrame, max_gap: int = 3) -> DataFrame:
+    """Fills inner gaps of up to max_gap by a cubic through all observed days (at least 4, else the line of two neighbours).
+
+    A series is a row with an array of its values by day; a task fills all series of a batch at once.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("day", F.col("value").cast("double").alias("value"))))
+    series = obs.groupBy(*SERIES).agg(cells.alias("cells")).select(*SERIES, F.col("cells.day").alias("days"), F.col("cells.value").alias("values"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("values")
+            flat = np.asarray(values.flatten().fill_null(np.nan), float)
+            sizes = pc.list_value_length(values).to_numpy()
+            begins, done = np.cumsum(sizes) - sizes, flat.copy()
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                step = max(1, 1_000_000 // max(1, int(size)))
+                for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    places = begins[some][:, None] + np.arange(size)
+                    done[places] = _splined(flat[places], max_gap) if size > 2 else flat[places]
+            offsets = pa.array(np.r_[begins, len(flat)], pa.int32())
+            filled = pa.array((np.isnan(flat) & ~np.isnan(done)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in (pa.array(done, mask=np.isnan(done)), filled)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*SERIES, "days")], *lists], names=[*SERIES, "days", "values", "imputed"])
+
+    types = dict(obs.dtypes)
+    schema = f"patient {types['patient']}, measure string, days array<{types['day']}>, values array<double>, imputed array<int>"
+    filled = series.mapInArrow(fill, schema).select(*SERIES, F.inline(F.arrays_zip(F.col("days").alias("day"), F.col("values").alias("value"), "imputed")))
     return filled.withColumn("value", F.when(F.col("imputed") == 1, clipped(F.col("value"), F.col("measure"))).otherwise(F.col("value")))
 
 
