@@ -153,8 +153,15 @@ def advised(rules: DataFrame) -> DataFrame:
 
 def rebuilt(words: DataFrame, key: str) -> DataFrame:
     """Text of each page from scanned words (key, line, place, word, confidence): words by line, lines in order, mean confidence."""
-    line = words.groupBy(key, "line").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("said"), F.avg("confidence").alias("c")
-    )
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"])
-    return line.groupBy(key).agg(F.array_join(lines, "\n").alias("text"), F.avg("c").alias("confidence"))
+    return rebuilt_lines(words.groupBy(key, "line").agg(F.collect_list(F.struct("place", "word", "confidence")).alias("words")), key)
+
+
+def rebuilt_lines(lines: DataFrame, key: str) -> DataFrame:
+    """As rebuilt, from (key, line, words): a line's words as an array of (place, word, confidence). A line is joined where it is
+    read, so that its text alone is shuffled; lines without words are left out."""
+    said = F.array_join(F.transform(F.sort_array("words"), lambda w: w["word"]), " ")
+    known = F.filter(F.transform("words", lambda w: w["confidence"].cast("double")), lambda c: c.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, c: a + c), F.size(known))
+    line = lines.where(F.size("words") > 0).select(key, "line", said.alias("said"), mean.alias("c"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"])
+    return line.groupBy(key).agg(F.array_join(each, "\n").alias("text"), F.avg("c").alias("confidence"))
