@@ -170,13 +170,25 @@ class VectorIndex:
         _commit(spark, path, {"batch": "000001", "batch_number": 1, "version": VERSION, "kind": f"vectors by {key}", "made_from": whole, **whole})
         return cls(spark, path, key)
 
-    def _read(self, wanted: DataFrame, k: int) -> DataFrame:
-        """The k best of each query among the cells that it wants (query, cell, q); other cells aren't read."""
-        cells = sorted(r[0] for r in wanted.select("cell").distinct().collect())  # at most CENTRES
-        rows = self.vectors.where(F.col("cell").isin(cells)).select(self.key, "vector", "cell")
-        pairs = rows.join(if_small(wanted), "cell").where(F.col(self.key) != F.col("query"))
-        pairs = pairs.select("query", self.key, F.round(retrieval.dot(F.col("vector"), F.col("q")), 9).alias("score"))
-        return top(pairs, "query", [F.desc("score"), F.col(self.key)], k)
+    def _read(self, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """The k best of each query among the cells that it wants (query, cell), and cells beside them; cells that no query wants
+        aren't read.
+
+        Cells are dealt to blocks, large ones to several, which tasks multiply by the queries (query, q) that want any of them.
+        """
+        shape = sorted((r["cell"], r["rows"]) for r in self.cells.join(F.broadcast(wanted.select("cell").distinct()), "cell", "left_semi").select("cell", "rows").collect())  # at most CENTRES
+        dealt, block, held = [], 0, 0
+        for cell, rows in shape:
+            if held and held + rows > retrieval.BLOCK_ROWS:
+                block, held = block + 1, 0
+            parts = -(-rows // retrieval.BLOCK_ROWS)
+            dealt.append((cell, block, parts))
+            block, held = block + parts - 1, rows if parts == 1 else retrieval.BLOCK_ROWS
+        blocks = F.broadcast(self.spark.createDataFrame(dealt, "cell int, first int, parts int"))
+        rows = self.vectors.where(F.col("cell").isin([c for c, _ in shape])).join(blocks, "cell")
+        rows = rows.select(self.key, "vector", (F.col("first") + F.pmod(F.xxhash64(self.key), F.col("parts"))).cast("int").alias("block"))
+        asked = wanted.join(blocks, "cell").select("query", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("block")).distinct()
+        return retrieval.best_in_blocks(rows, asked.join(queries.select("query", "q"), "query"), self.key, k)
 
     def plan(self, queries: DataFrame) -> DataFrame:
         """query, q, cell, bound, place: the cells of each query (query, q), those first that may hold the largest products. No vector
@@ -190,18 +202,17 @@ class VectorIndex:
         """The k largest inner products of each query (query, q) with the vectors of other keys: query, key, score, rank from 0.
 
         Exact, in two rounds: what the most promising cells hold tells how large the k-th product is at least; then every
-        other cell that may exceed it is read."""
-        plan = written(self.plan(queries))
-        first = written(self._read(plan.where(F.col("place") <= FIRST_CELLS), k))
-        least = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        rest = plan.where(F.col("place") > FIRST_CELLS).join(if_small(least), "query", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-        both = first.drop("rank").unionByName(self._read(written(rest.select("query", "q", "cell")), k).drop("rank"))
-        return top(both, "query", [F.desc("score"), F.col(self.key)], k).withColumn("rank", F.col("rank") - 1)
+        cell that may hold as much is read."""
+        plan = written(self.plan(queries).drop("q"))
+        first = self._read(plan.where(F.col("place") <= FIRST_CELLS), queries, k)
+        least = written(first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least")))
+        every = plan.join(if_small(least), "query", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        return self._read(written(every.select("query", "cell")), queries, k).withColumn("rank", F.col("rank") - 1)
 
     def share_read(self, queries: DataFrame, k: int) -> float:
         """The share of (query, cell) pairs that search reads."""
         plan = written(self.plan(queries))
-        first = self._read(plan.where(F.col("place") <= FIRST_CELLS), k)
+        first = self._read(plan.where(F.col("place") <= FIRST_CELLS), queries, k)
         least = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
         read = (F.col("place") <= FIRST_CELLS) | F.col("least").isNull() | (F.col("bound") >= F.col("least"))
         return plan.join(least, "query", "left").agg(F.avg(read.cast("double"))).first()[0]
