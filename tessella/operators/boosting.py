@@ -2,13 +2,14 @@
 
 Rows stay where they are: a level sums gradients and hessians by node, feature and bin with partial aggregates, windows over the
 sums find the best cut of each node, and only that cut comes to the driver. Several models, such as those of folds, are trained in
-the same jobs. Missing values have a bin of their own and go to whichever side gains more.
+the same jobs. Rows are dealt to tasks by their number, since they are few bytes and much work. Missing values have a bin of their own and go to whichever side gains more.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ from tessella.functions.shared import written
 TREE = "struct<feature:array<int>,cut:array<double>,left:array<boolean>,value:array<double>>"
 #: Hessians of a side, at least.
 LEAST_HESSIAN = 1e-3
+#: Rows of a task, about. Rows are short and a level makes one of each for every model, class and feature, so bytes tell little of the work.
+TASK_ROWS = 4096
 
 
 @dataclass
@@ -60,10 +63,20 @@ def _leaf(values: Column, tree: Column, depth: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: what a lambda refers to is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    raised = lambda own: _bound(F.array_max(own), lambda top: F.transform(own, lambda s: F.exp(s - top)))
+    share = lambda r: _bound(F.aggregate(r, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(r, lambda e: e / total))
+    return _bound(scores, lambda own: _bound(raised(own), share))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a written table over tasks of about TASK_ROWS each, however few bytes they take."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)))
 
 
 def _one_row(spark: SparkSession, schema: str, *values) -> DataFrame:
@@ -123,9 +136,10 @@ def started(df: DataFrame, features: list[str], label: str, weights: list[str],
     rows = df.where(F.col(label).isNotNull()).select(
         F.col(label).cast("int").alias("y"), _values(features).alias("values"), F.array(*[F.coalesce(F.col(w).cast("double"), F.lit(0.0)) for w in weights]).alias("weights")
     )
+    rows = written(rows)
     edges = bin_edges(rows, len(features), bins) if edges is None else edges
     bin_of = F.zip_with("values", "edges", lambda x, e: F.when(x.isNull(), -1).otherwise(F.size(F.filter(e, lambda v: v < x))))
-    state = written(rows.crossJoin(_one_row(spark, "edges array<array<double>>", edges)).select("y", "values", bin_of.alias("bins"), "weights"))
+    state = written(spread(rows).crossJoin(_one_row(spark, "edges array<array<double>>", edges)).select("y", "values", bin_of.alias("bins"), "weights"))
     counts = state.groupBy("y").agg(*[F.sum(F.get("weights", F.lit(m))).alias(f"w{m}") for m in range(models)]).collect()  # a row for each class
     out = []
     for m in range(models):

@@ -80,7 +80,7 @@ def fold_weights(df: DataFrame, label: str, folds: int) -> tuple[DataFrame, list
 def train_and_evaluate(df: DataFrame, key: str, label: str, features: list[str], folds: int = 3, rounds: int = 50) -> DataFrame:
     """Rows (part, accuracy, macro_f1, ..., auc) of each fold of the training part and of the holdout. The models of the folds
     and of the whole training part are fitted in the same jobs. Labels are 0 and up."""
-    split = written(stratified_split(df, key, label))
+    split = written(stratified_split(written(df), key, label))
     classes = [r[0] for r in split.groupBy(label).count().orderBy(label).collect() if r[0] is not None]  # a row for each class
     train = split.where("split = 'train'")
     n = usable_folds(train, label, folds)
@@ -91,7 +91,7 @@ def train_and_evaluate(df: DataFrame, key: str, label: str, features: list[str],
     out = None
     for k, model in enumerate(models):
         held = weighted.where("fold IS NULL" if k == n else f"fold = {k}")
-        scored = written(boosting.predict(model, held))
+        scored = written(boosting.predict(model, boosting.spread(held)))
         row = agreement(scored.select((F.col(label) + 1).alias("truth"), (F.col("predicted") + 1).alias("predicted"))).withColumn("part", F.lit("holdout" if k == n else f"fold {k}"))
         row = row.crossJoin(F.broadcast(ovr_auc(scored, label, "probability", tuple(range(max(classes, default=0) + 1)))))
         out = row if out is None else out.unionByName(row)
