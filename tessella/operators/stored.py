@@ -69,7 +69,7 @@ def _bucket(term: str, buckets: int) -> Column:
 
 
 class TermIndex:
-    """Postings (term, key, tf, size) by bucket, the number of texts with each term, and each batch's texts and words."""
+    """Postings (term, key, tf, size) by bucket, within it as texts came (a bucket is read whole), the number of texts with each term, and each batch's texts and words."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, markers: list[dict]):
         self.spark, self.path, self.key, self.markers = spark, path, key, markers
@@ -95,7 +95,7 @@ class TermIndex:
             _check(old, path, f"terms by {key}", None)
             buckets = old[0]["buckets"]
         post = retrieval.postings(docs, key, text).withColumn("bucket", _bucket("term", buckets))
-        post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+        post.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
         post = spark.read.parquet(f"{path}/postings/batch={batch}")
         post.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/terms/batch={batch}")
         words = post.agg(F.sum("tf")).first()[0] or 0
